@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans.heavy import with_previous
+from .session import new_path, streaming_session
+from .streaming.run import run_available
 
 # The gap that groups autocommit rows of the derived changelog: half a day.
 DERIVED_WINDOW_MS = 43_200_000
@@ -69,3 +71,36 @@ def changelog(spark: SparkSession, sf_dir: str, images: bool = True) -> DataFram
         "transaction_id",
         "created_at",
     )
+
+
+def run_in_slices(spark: SparkSession, source: DataFrame, build, name: str, slices: int = 2):
+    """Feed ``source`` to a stream in time slices and return the table that ``build`` produces.
+
+    ``build(stream)`` makes the streaming frame. Each slice is written, then the query is started
+    on its checkpoint again. A row far in the future closes what is open; callers filter
+    ``entity_type`` or ``table_name`` 'sentinel' out.
+    """
+    session = streaming_session(spark)
+    inputs, output, state = (new_path(spark, f"{name}-{part}") for part in ("in", "out", "state"))
+    first, last = source.agg(F.min("created_at"), F.max("created_at")).first()
+    step = (last - first) / slices
+    sentinel = _sentinel(source)
+    for number in range(slices):
+        begin = F.lit(True) if number == 0 else F.col("created_at") > first + step * number
+        final = number == slices - 1
+        end = F.lit(True) if final else F.col("created_at") <= first + step * (number + 1)
+        slice_ = source.filter(begin & end)
+        (slice_.unionByName(sentinel) if final else slice_).write.parquet(f"{inputs}/{number}")
+        stream = (
+            session.readStream.schema(source.schema)
+            .option("recursiveFileLookup", "true")
+            .parquet(inputs)
+        )
+        result = run_available(build(stream), output, state)
+    return spark.read.schema(result.schema).parquet(output)
+
+
+def _sentinel(source: DataFrame) -> DataFrame:
+    values = {"timestamp": F.lit("2100-01-01 00:00:00").cast("timestamp"), "string": F.lit("sentinel")}
+    values["bigint"] = F.lit(-1).cast("long")
+    return source.sparkSession.range(1).select(*[values[t].alias(c) for c, t in source.dtypes])
