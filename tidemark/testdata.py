@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans.heavy import with_previous
 from .session import new_path, streaming_session
+from .sources.catalog import catalog_columns, column_list, foreign_keys
 from .streaming.run import run_available
 
 # The gap that groups autocommit rows of the derived changelog: half a day.
@@ -104,3 +105,209 @@ def _sentinel(source: DataFrame) -> DataFrame:
     values = {"timestamp": F.lit("2100-01-01 00:00:00").cast("timestamp"), "string": F.lit("sentinel")}
     values["bigint"] = F.lit(-1).cast("long")
     return source.sparkSession.range(1).select(*[values[t].alias(c) for c, t in source.dtypes])
+
+
+def skewed_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived changelog with a third of all rows in one entity, without images."""
+    hot = F.col("id") % 3 == 0
+    return changelog(spark, sf_dir, images=False).withColumns(
+        {
+            "entity_type": F.when(hot, "course").otherwise(F.col("entity_type")),
+            "entity_id": F.when(hot, "hot").otherwise(F.col("entity_id")),
+        }
+    )
+
+
+# ---------------------------------------------------------------------------------------------
+# A fleet of databases out of `lineitem`: one database per supplier, forty tables in each, with
+# columns and references by line number and order. Tables 0-3 are referred to by others, 4-11
+# refer to those and are referred to by 12-33, the rest stands alone.
+# ---------------------------------------------------------------------------------------------
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("l_partkey") % 40
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("db"), F.col("l_suppkey").cast("string")).alias("schema_name"),
+        _table_name(number).alias("table_name"),
+        F.col("l_suppkey").alias("s"),
+        number.alias("t"),
+        F.col("l_linenumber").cast("long").alias("n"),
+        F.col("l_orderkey").alias("o"),
+    )
+
+
+def _table_name(number: Column) -> Column:
+    prefix = F.when(number == 38, "__tidemark_t").otherwise("t")
+    return F.concat(prefix, F.lpad(number.cast("string"), 2, "0"))
+
+
+def _references(lines: DataFrame) -> DataFrame:
+    t, n, o = F.col("t"), F.col("n"), F.col("o")
+    child = t.between(12, 33)
+    target = (
+        F.when(t.between(4, 11) & (n <= 2), o % 4)
+        .when(child & n.isin(1, 7) & (o % 3 == 0), o % 8 + 4)
+        .when(child & (n == 2), o % 4)
+        .when(child & (n == 3) & (t % 5 == 0), t)
+    )
+    column = F.concat(F.lit("r"), F.col("u").cast("string"), F.lit("_"), n.cast("string"))
+    return (
+        lines.withColumn("u", target)
+        .filter("u IS NOT NULL")
+        .select(
+            "schema_name",
+            "table_name",
+            column.alias("column_name"),
+            F.col("u"),
+            n,
+            F.concat("table_name", F.lit("_"), column, F.lit("_fkey")).alias("constraint_name"),
+        )
+        .distinct()
+    )
+
+
+def _type(n: Column) -> Column:
+    return F.when(n % 3 == 0, "integer").when(n % 3 == 1, "varchar").otherwise("timestamptz")
+
+
+def fleet_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir).select("schema_name", "table_name", "t").distinct()
+    kind = F.when(F.col("t") == 39, "VIEW").otherwise("BASE TABLE")
+    return lines.select("schema_name", "table_name", kind.alias("table_type"))
+
+
+def fleet_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    n, table_name = F.col("n"), ["schema_name", "table_name"]
+    keyless = F.col("t") % 13 == 7
+    first = lines.select(
+        *table_name,
+        F.when(keyless, "payload").otherwise("id").alias("column_name"),
+        F.lit(1).cast("long").alias("ordinal"),
+        F.when(keyless, "jsonb").otherwise("integer").alias("data_type"),
+        F.when(keyless, "YES").otherwise("NO").alias("is_nullable"),
+    )
+    attributes = lines.select(
+        *table_name,
+        F.concat(F.lit("c"), n.cast("string")),
+        n + 1,
+        _type(n),
+        F.when(n % 2 == 0, "YES").otherwise("NO"),
+    )
+    references = _references(lines).select(
+        *table_name, "column_name", F.col("u") * 8 + n + 10, F.lit("integer"), F.lit("YES")
+    )
+    return first.union(attributes).distinct().union(references)
+
+
+def fleet_pk_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    single = lines.filter(F.col("t") % 13 != 7).withColumn("column_name", F.lit("id"))
+    second = lines.filter((F.col("t") % 11 == 3) & (F.col("n") == 1)).withColumn(
+        "column_name", F.lit("c1")
+    )
+    return single.union(second).select("schema_name", "table_name", "column_name").distinct()
+
+
+def fleet_constraints(
+    spark: SparkSession, sf_dir: str
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(constraints, key usage, referenced usage)"""
+    name = ["schema_name", "constraint_name"]
+    references = _references(_lines(spark, sf_dir))
+    keys = fleet_pk_columns(spark, sf_dir).withColumn(
+        "constraint_name", F.concat("table_name", F.lit("_pkey"))
+    )
+    constraints = references.select(
+        *name, F.lit("FOREIGN KEY").alias("constraint_type")
+    ).unionByName(keys.select(*name, F.lit("PRIMARY KEY").alias("constraint_type")).distinct())
+    usage = references.select(*name, "table_name", "column_name").unionByName(
+        keys.select(*name, "table_name", "column_name")
+    )
+    referenced = references.select(
+        *name, _table_name(F.col("u")).alias("table_name"), F.lit("id").alias("column_name")
+    )
+    return constraints, usage, referenced
+
+
+def fleet_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog_columns(
+        fleet_tables(spark, sf_dir),
+        fleet_columns(spark, sf_dir),
+        fleet_pk_columns(spark, sf_dir),
+    )
+
+
+def fleet_foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return foreign_keys(*fleet_constraints(spark, sf_dir))
+
+
+# Four states of each table's columns. The first three are snapshots, the last is the live schema.
+_STATES = [0, 1, 2]
+_LIVE = 3
+
+
+def _stated_columns(spark: SparkSession, sf_dir: str, states: list[int]) -> DataFrame:
+    """Columns of every table in the given states: columns come in over time, number 6 goes and
+    comes back, number 5 gets wider, 4 becomes nullable, 7 at last does too."""
+    k, n = F.col("k"), F.col("n")
+    seen = (
+        _lines(spark, sf_dir)
+        .groupBy("schema_name", "table_name", "s", "t", "n")
+        .agg(F.min(F.col("o") % 3).alias("since"))
+    )
+    attributes = (
+        seen.withColumn("k", F.explode(F.array(*map(F.lit, states))))
+        .filter((F.col("since") <= k) & ~((n == 6) & (k == 2)))
+        .select(
+            "schema_name",
+            "table_name",
+            "s",
+            "t",
+            "k",
+            (n + 1).cast("int").alias("ordinal"),
+            F.concat(F.lit("c"), n.cast("string")).alias("name"),
+            F.when((n == 5) & (k >= 2), "bigint").otherwise(_type(n)).alias("data_type"),
+            F.when(n == 4, k >= 1)
+            .when(n == 7, k >= 3)
+            .otherwise(n % 2 == 0)
+            .alias("nullable"),
+            F.lit(False).alias("is_pk"),
+        )
+    )
+    ids = (
+        seen.select("schema_name", "table_name", "s", "t")
+        .distinct()
+        .withColumn("k", F.explode(F.array(*map(F.lit, states))))
+        .selectExpr("*", "1 ordinal", "'id' name", "'integer' data_type", "false nullable", "true is_pk")
+    )
+    return ids.unionByName(attributes)
+
+
+def fleet_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        _stated_columns(spark, sf_dir, _STATES)
+        .groupBy("schema_name", "table_name", "s", "t", "k")
+        .agg(column_list().alias("columns"))
+        .select(
+            ((F.col("s") * 40 + F.col("t")) * 4 + F.col("k")).alias("id"),
+            "schema_name",
+            "table_name",
+            "columns",
+            F.timestamp_seconds(F.col("k") * 86_400 + 1_704_067_200).alias("captured_at"),
+        )
+    )
+
+
+def fleet_live_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live schema; tables with number 5, 22 and 39 have been dropped."""
+    return (
+        _stated_columns(spark, sf_dir, [_LIVE])
+        .filter(F.col("t") % 17 != 5)
+        .select("schema_name", "table_name", "ordinal", "name", "data_type", "nullable", "is_pk")
+    )
+
+
+def fleet_watched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).filter(F.col("t") < 34).select("schema_name", "table_name").distinct()
