@@ -105,7 +105,8 @@ def check_foreign_keys(spark, sf):
 
 @registered
 def schema_snapshot(spark, sf):
-    snapshot = catalog.schema_snapshot(td.fleet_catalog(spark, sf), CAPTURED_AT)
+    columns = td.stored(spark, sf, td.fleet_catalog)
+    snapshot = catalog.schema_snapshot(columns, CAPTURED_AT)
     return snapshot.withColumn("columns", columns_text())
 
 
@@ -357,7 +358,7 @@ def delete_fields(spark, sf):
 
 @registered
 def schema_change_diff(spark, sf):
-    entries = drift.schema_timeline(td.fleet_snapshots(spark, sf))
+    entries = drift.schema_timeline(td.stored(spark, sf, td.fleet_snapshots))
     return diff.schema_change_diff(entries).drop("created_at")
 
 
@@ -382,7 +383,7 @@ def render_text_verbose(spark, sf):
 @registered
 def render_schema_text(spark, sf):
     """Schema changes as text, one database as one history."""
-    entries = drift.schema_timeline(td.fleet_snapshots(spark, sf))
+    entries = drift.schema_timeline(td.stored(spark, sf, td.fleet_snapshots))
     scope = ["schema_name", "entity_type", "entity_id"]
     return render.render_text(entries, 0, scope=scope)
 
@@ -415,7 +416,8 @@ def changesets_json(spark, sf):
 
 def _classes(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(catalog, foreign keys, classes) of the fleet"""
-    columns, fks = td.fleet_catalog(spark, sf), td.fleet_foreign_keys(spark, sf)
+    columns = td.stored(spark, sf, td.fleet_catalog)
+    fks = td.stored(spark, sf, td.fleet_foreign_keys)
     degrees = entities.fk_degrees(columns.select("schema_name", "table_name").distinct(), fks)
     return columns, fks, entities.classify_tables(degrees)
 
@@ -431,8 +433,8 @@ def _map_text(entity_map: DataFrame) -> DataFrame:
 
 @registered
 def fk_degrees(spark, sf):
-    tables = td.fleet_catalog(spark, sf).select("schema_name", "table_name").distinct()
-    return entities.fk_degrees(tables, td.fleet_foreign_keys(spark, sf))
+    tables = td.stored(spark, sf, td.fleet_catalog).select("schema_name", "table_name").distinct()
+    return entities.fk_degrees(tables, td.stored(spark, sf, td.fleet_foreign_keys))
 
 
 @registered
@@ -508,15 +510,15 @@ def validate_entity_map(spark, sf):
 
 @registered
 def latest_snapshot(spark, sf):
-    return drift.latest_snapshot(td.fleet_snapshots(spark, sf)).withColumn(
+    return drift.latest_snapshot(td.stored(spark, sf, td.fleet_snapshots)).withColumn(
         "columns", columns_text()
     )
 
 
 def _drift(spark, sf) -> DataFrame:
     return drift.schema_drift(
-        td.fleet_live_catalog(spark, sf), td.fleet_snapshots(spark, sf),
-        td.fleet_watched(spark, sf),
+        td.stored(spark, sf, td.fleet_live_catalog), td.stored(spark, sf, td.fleet_snapshots),
+        td.stored(spark, sf, td.fleet_watched),
     )
 
 
@@ -529,7 +531,7 @@ def schema_drift(spark, sf):
 @registered
 def record_schema_changes(spark, sf):
     entries, _ = drift.record_schema_changes(
-        _drift(spark, sf), td.fleet_live_catalog(spark, sf), td.fleet_snapshots(spark, sf),
+        _drift(spark, sf), td.stored(spark, sf, td.fleet_live_catalog), td.stored(spark, sf, td.fleet_snapshots),
         CAPTURED_AT,
     )
     return entries
@@ -538,7 +540,7 @@ def record_schema_changes(spark, sf):
 @registered
 def recorded_snapshots(spark, sf):
     _, recorded = drift.record_schema_changes(
-        _drift(spark, sf), td.fleet_live_catalog(spark, sf), td.fleet_snapshots(spark, sf),
+        _drift(spark, sf), td.stored(spark, sf, td.fleet_live_catalog), td.stored(spark, sf, td.fleet_snapshots),
         CAPTURED_AT,
     )
     return recorded.withColumn("columns", columns_text())
@@ -546,7 +548,7 @@ def recorded_snapshots(spark, sf):
 
 @registered
 def schema_timeline(spark, sf):
-    return drift.schema_timeline(td.fleet_snapshots(spark, sf), td.fleet_watched(spark, sf))
+    return drift.schema_timeline(td.stored(spark, sf, td.fleet_snapshots), td.stored(spark, sf, td.fleet_watched))
 
 
 @registered

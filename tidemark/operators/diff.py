@@ -20,13 +20,33 @@ CONTEXT = [
 COLUMN_LIST = "array<struct<name:string,dataType:string,nullable:boolean>>"
 
 
-def changed_fields(old: str | Column, new: str | Column) -> Column:
+def with_parsed(log: DataFrame, verbose: bool = False) -> DataFrame:
+    """``log`` with its images parsed as far as a diff needs them: maps ``_before`` and ``_after``,
+    column lists ``_columns_before`` and ``_columns_after``.
+
+    As columns of their own they are parsed once per row; inside a lambda function Spark would
+    parse them again for every element.
+    """
+    operation = F.col("operation")
+    shown_old = (operation == UPDATE) | (F.lit(verbose) & (operation == DELETE))
+    is_schema = operation == SCHEMA_CHANGE
+    return log.withColumns(
+        {
+            "_before": F.when(shown_old, image_map("old_values")),
+            "_after": F.when(operation.isin(INSERT, UPDATE), image_map("new_values")),
+            "_columns_before": F.when(is_schema, F.from_json("old_values", COLUMN_LIST)),
+            "_columns_after": F.when(is_schema, F.from_json("new_values", COLUMN_LIST)),
+        }
+    )
+
+
+def changed_fields() -> Column:
     """array<struct<field, old_value, new_value, was_missing>> over the keys of the new image.
 
     A key only in the old image is not a change. A key only in the new image is one, even when it
     is null there. Values are compared as JSON, so 1 and "1" differ and 1 and 1.0 do not.
     """
-    before, after = image_map(old), image_map(new)
+    before, after = F.col("_before"), F.col("_after")
     # Two passes, so that the JSON text of a value is made once and only changes are printed.
     pairs = F.transform(
         F.map_entries(after),
@@ -58,10 +78,10 @@ def changed_fields(old: str | Column, new: str | Column) -> Column:
     )
 
 
-def listed_fields(image: str | Column, hide_id: bool) -> Column:
+def listed_fields(image: str, hide_id: bool) -> Column:
     """array<struct<field, value>> of an image; ``hide_id`` leaves out the key named ``id``."""
     texts = F.transform(
-        F.map_entries(image_map(image)),
+        F.map_entries(image),
         lambda e: F.struct(
             e["key"].alias("field"), e["value"].alias("v"), F.to_json(e["value"]).alias("text")
         ),
@@ -81,7 +101,7 @@ def field_diff(log: DataFrame) -> DataFrame:
         # Equal texts hold no change; they need not be parsed.
         & (F.col("old_values") != F.col("new_values"))
     )
-    return updates.select(*CONTEXT, F.inline(changed_fields("old_values", "new_values")))
+    return with_parsed(updates).select(*CONTEXT, F.inline(changed_fields()))
 
 
 def field_change_counts(log: DataFrame) -> DataFrame:
@@ -97,22 +117,21 @@ def image_fields(log: DataFrame, operation: str, verbose: bool = False) -> DataF
     of deletes the old image if verbose, else nothing."""
     if operation not in (INSERT, DELETE):
         raise ValueError("operation must be INSERT or DELETE")
-    image = "new_values" if operation == INSERT else "old_values"
+    image = "_after" if operation == INSERT else "_before"
     shown = log.filter(F.col("operation") == operation)
     if operation == DELETE and not verbose:
         shown = shown.filter(F.lit(False))
     hide_id = operation == INSERT and not verbose
-    return shown.select(*CONTEXT, F.inline(listed_fields(image, hide_id)))
+    return with_parsed(shown, verbose).select(*CONTEXT, F.inline(listed_fields(image, hide_id)))
 
 
-def column_changes(old: str | Column, new: str | Column) -> Column:
+def column_changes() -> Column:
     """array<struct<change, name, data_type, nullable>>: added columns, then removed ones, by name."""
-    before, after = F.from_json(old, COLUMN_LIST), F.from_json(new, COLUMN_LIST)
+    before, after = F.col("_columns_before"), F.col("_columns_after")
 
     def missing_from(other: Column, change: str, source: Column) -> Column:
-        names = F.transform(other, lambda c: c["name"])
         return F.transform(
-            F.filter(source, lambda c: ~F.array_contains(names, c["name"])),
+            F.filter(source, lambda c: ~F.array_contains(other["name"], c["name"])),
             lambda c: F.struct(
                 F.lit(change).alias("change"),
                 c["name"].alias("name"),
@@ -126,6 +145,5 @@ def column_changes(old: str | Column, new: str | Column) -> Column:
 
 def schema_change_diff(log: DataFrame) -> DataFrame:
     """One row per added or removed column of every SCHEMA_CHANGE entry."""
-    return log.filter(F.col("operation") == SCHEMA_CHANGE).select(
-        *CONTEXT, F.inline(column_changes("old_values", "new_values"))
-    )
+    changes = with_parsed(log.filter(F.col("operation") == SCHEMA_CHANGE))
+    return changes.select(*CONTEXT, F.inline(column_changes()))

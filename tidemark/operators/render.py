@@ -9,11 +9,11 @@ from ..functions.images import iso_millis, utc_seconds
 from ..plans.heavy import HEAVY_ROWS
 from ..schemas import DEFAULT_WINDOW_MS, DELETE, ENTITY_SCOPE, INSERT, SCHEMA_CHANGE, UPDATE
 from .changesets import ROWS_PER_PART, gather_parts, place_operations
-from .diff import changed_fields, column_changes, listed_fields
+from .diff import changed_fields, column_changes, listed_fields, with_parsed
 
 
 def operation_text(verbose: bool = False) -> Column:
-    """The block of one entry: a line naming table and row, then what happened to it."""
+    """The block of one parsed entry: a line naming table and row, then what happened to it."""
     operation = F.col("operation")
     has_old, has_new = F.col("old_values").isNotNull(), F.col("new_values").isNotNull()
 
@@ -28,24 +28,24 @@ def operation_text(verbose: bool = False) -> Column:
         return F.coalesce(F.array_join(shown, ", "), F.lit(""))
 
     changes = F.transform(
-        changed_fields("old_values", "new_values"),
+        changed_fields(),
         lambda c: F.concat(c["field"], F.lit(": "), c["old_value"], F.lit(" -> "), c["new_value"]),
     )
     update = F.coalesce(F.array_join(changes, ", "), F.lit(""))
     data = (
-        F.when((operation == INSERT) & has_new, line(INSERT, values("new_values", not verbose)))
+        F.when((operation == INSERT) & has_new, line(INSERT, values("_after", not verbose)))
         .when(operation == INSERT, line(INSERT))
         .when((operation == UPDATE) & has_old & has_new, line(UPDATE, update))
         .when(operation == UPDATE, line(UPDATE))
     )
     if verbose:
         data = data.when(
-            (operation == DELETE) & has_old, line(DELETE, values("old_values", False))
+            (operation == DELETE) & has_old, line(DELETE, values("_before", False))
         )
     data = data.when(operation == DELETE, line(DELETE))
 
     columns = F.transform(
-        column_changes("old_values", "new_values"),
+        column_changes(),
         lambda c: F.when(
             c["change"] == "added",
             F.concat(
@@ -97,8 +97,8 @@ def render_text(
     Every entry is printed before the grouping, so only finished blocks travel.
     """
     placed = place_operations(log, window_ms, scope, rows_per_part, heavy_rows)
-    item = F.struct(operation_text(verbose).alias("block"), "operation")
-    parts = gather_parts(placed, scope, item, "items")
+    printed = with_parsed(placed, verbose).withColumn("block", operation_text(verbose))
+    parts = gather_parts(printed, scope, F.struct("block", "operation"), "items")
     blocks = F.array_join("items.block", "\n")
     header = header_text(F.col("items")[0]["operation"])
     text = F.when(F.col("part") == 0, F.concat_ws("\n", header, blocks)).otherwise(blocks)

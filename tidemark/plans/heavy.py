@@ -91,8 +91,7 @@ def carried(pieces: DataFrame, keys: list[str], **carry: tuple[Column, str]) ->
     """Per piece, what the earlier pieces of the same key pass on.
 
     Each ``name=(aggregate, how)`` is summarised per (key, piece) and carried over: ``how`` is
-    ``sum`` or ``max`` over all earlier pieces. One row per (heavy key, piece), so at most the
-    number of range partitions plus the number of heavy keys.
+    ``sum`` or ``max`` over all earlier pieces.
     """
     summary = pieces.groupBy(*keys, PART).agg(*[agg.alias(n) for n, (agg, _) in carry.items()])
     earlier = window_over(keys, [PART]).rowsBetween(Window.unboundedPreceding, -1)
@@ -103,8 +102,12 @@ def carried(pieces: DataFrame, keys: list[str], **carry: tuple[Column, str]) ->
 def with_carried(
     pieces: DataFrame, keys: list[str], **carry: tuple[Column, str]
 ) -> DataFrame:
-    carry_rows = broadcast_checked(carried(pieces, keys, **carry))
-    return match(pieces, carry_rows, [*keys, PART], "left")
+    """``pieces`` with what is carried into each.
+
+    The carried frame may be broadcast unchecked: pieces are contiguous, so its rows are fewer than
+    the pieces (one per range partition) plus the heavy keys (at most rows/limit).
+    """
+    return match(pieces, F.broadcast(carried(pieces, keys, **carry)), [*keys, PART], "left")
 
 
 def number_light(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:

@@ -33,7 +33,9 @@ class LastImage(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         image, seq = self.last.get() if self.last.exists() else (None, None)
-        batch = pd.concat(list(rows)).sort_values(self.seq, kind="stable")
+        chunks = list(rows)
+        batch = chunks[0] if len(chunks) == 1 else pd.concat(chunks)
+        batch = batch.sort_values(self.seq, kind="stable")
         operations, before, late = [], [], []
         for number, current in zip(batch[self.seq], batch["image"]):
             is_late = seq is not None and number <= seq

@@ -13,9 +13,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from . import ship
 from ..schemas import DEFAULT_WINDOW_MS, ENTITY_SCOPE
 
-OPEN_KEY = T.StructType([T.StructField("transaction_id", T.StringType())])
-OPEN_VALUE = T.StructType(
+OPEN = T.StructType(
     [
+        T.StructField("transaction_id", T.StringType()),
         T.StructField("rows", T.LongType()),
         T.StructField("first_us", T.LongType()),
         T.StructField("first_id", T.LongType()),
@@ -35,41 +35,51 @@ OUTPUT = [
 ship(__name__)
 
 
+def combine(records) -> dict[str, tuple]:
+    """Partial records (transaction, rows, first µs, first id, last µs) -> one per transaction."""
+    known: dict[str, tuple] = {}
+    for tx, rows, us, number, last in records:
+        if tx in known:
+            rows_, us_, number_, last_ = known[tx]
+            known[tx] = (rows_ + rows, *min((us_, number_), (us, number)), max(last_, last))
+        else:
+            known[tx] = (rows, us, number, last)
+    return known
+
+
 class OpenTransactions(StatefulProcessor):
-    """Open transactions of one entity, one small record each, and its next version number."""
+    """Open transactions of one entity as small records, and its next version number.
+
+    Input only appends to the list, one call per chunk; it is combined when a timer reads it.
+    """
 
     def __init__(self, scope: list[str], window_ms: int, tx_timeout_ms: int):
         self.scope, self.window_ms, self.tx_timeout_ms = scope, window_ms, tx_timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", OPEN_KEY, OPEN_VALUE)
+        self.open = handle.getListState("open", OPEN)
         self.next = handle.getValueState("next", NEXT)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        newest = None
+        newest = 0
         for chunk in rows:
             # Chunk by chunk: a hot entity is never held whole.
-            for tx, part in chunk.groupby("transaction_id", sort=False):
-                first = min(zip(part["us"], part["id"]))
-                seen = (len(part), int(first[0]), int(first[1]), int(part["us"].max()))
-                if self.open.containsKey((tx,)):
-                    known = self.open.getValue((tx,))
-                    first = min((known[1], known[2]), seen[1:3])
-                    seen = (known[0] + seen[0], *first, max(known[3], seen[3]))
-                self.open.updateValue((tx,), seen)
-                newest = max(newest or seen[3], seen[3])
-        if newest is not None:
-            hold = max(self.window_ms, self.tx_timeout_ms)
-            self.handle.registerTimer(newest // 1000 + hold + 1)
-        yield self.frame(key, [])
+            us, number = chunk["us"].tolist(), chunk["id"].tolist()
+            seen = combine(zip(chunk["transaction_id"], [1] * len(us), us, number, us))
+            self.open.appendList([(tx, *record) for tx, record in seen.items()])
+            newest = max(newest, max(us))
+        hold = max(self.window_ms, self.tx_timeout_ms)
+        self.handle.registerTimer(newest // 1000 + hold + 1)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
+        still_open = combine(self.open.get())
         # (start ms, autocommit, first us, first id, transaction, rows, last ms), in entry order
         known = sorted(
-            (v[1] // 1000, v[0] == 1, v[1], v[2], k[0], v[0], v[3] // 1000)
-            for k, v in self.open.iterator()
+            (us // 1000, rows == 1, us, number, tx, rows, last // 1000)
+            for tx, (rows, us, number, last) in still_open.items()
         )
         groups: list[list[tuple]] = [[t] for t in known if not t[1]]
         last = None
@@ -90,21 +100,21 @@ class OpenTransactions(StatefulProcessor):
             grouped = group[0][1] and size > 1
             for t in group:
                 out.append((version, t[4], t[5], group[0][4], group[0][0], grouped))
-                self.open.removeKey((t[4],))
+                del still_open[t[4]]
             version += 1
         if out:
             self.next.update((version,))
-        yield self.frame(key, out)
+        if still_open:
+            self.open.put([(tx, *record) for tx, record in still_open.items()])
+        else:
+            self.open.clear()
+        if out:
+            yield self.frame(key, out)
 
     def frame(self, key, rows: list[tuple]) -> pd.DataFrame:
-        types = {"version": "int64", "rows": "int64", "start_ms": "int64"}
-        types |= {"transaction_id": "object", "changeset_transaction_id": "object"}
-        types |= {"is_autocommit_grouped": "bool"}
-        names = [f.name for f in OUTPUT]
-        made = pd.DataFrame(rows, columns=names).astype(types)
-        for position, (name, value) in enumerate(zip(self.scope, key)):
-            made.insert(position, name, pd.Series([value] * len(made), dtype="object"))
-        return made
+        columns = {name: [value] * len(rows) for name, value in zip(self.scope, key)}
+        columns |= zip((f.name for f in OUTPUT), map(list, zip(*rows)))
+        return pd.DataFrame(columns)
 
     def close(self) -> None:
         pass

@@ -125,24 +125,36 @@ def skewed_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------------------------
 
 
+TABLE = ["schema_name", "table_name"]
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number = F.col("l_partkey") % 40
     return table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("db"), F.col("l_suppkey").cast("string")).alias("schema_name"),
-        _table_name(number).alias("table_name"),
         F.col("l_suppkey").alias("s"),
-        number.alias("t"),
+        (F.col("l_partkey") % 40).alias("t"),
         F.col("l_linenumber").cast("long").alias("n"),
         F.col("l_orderkey").alias("o"),
     )
 
 
+def _named(df: DataFrame) -> DataFrame:
+    """Names for the numbers of databases and tables; made after reducing to what is needed."""
+    schema = F.concat(F.lit("db"), F.col("s").cast("string"))
+    return df.withColumns({"schema_name": schema, "table_name": _table_name(F.col("t"))})
+
+
 def _table_name(number: Column) -> Column:
     prefix = F.when(number == 38, "__tidemark_t").otherwise("t")
     return F.concat(prefix, F.lpad(number.cast("string"), 2, "0"))
 
 
-def _references(lines: DataFrame) -> DataFrame:
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(database, table, line number) with the earliest order class; read once for all frames."""
+    lines = _lines(spark, sf_dir)
+    return lines.groupBy("s", "t", "n").agg(F.min(F.col("o") % 3).alias("since"))
+
+
+def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, n, o = F.col("t"), F.col("n"), F.col("o")
     child = t.between(12, 33)
     target = (
@@ -151,19 +163,14 @@ def _references(lines: DataFrame) -> DataFrame:
         .when(child & (n == 2), o % 4)
         .when(child & (n == 3) & (t % 5 == 0), t)
     )
+    edges = _lines(spark, sf_dir).select("s", "t", "n", target.alias("u"))
     column = F.concat(F.lit("r"), F.col("u").cast("string"), F.lit("_"), n.cast("string"))
-    return (
-        lines.withColumn("u", target)
-        .filter("u IS NOT NULL")
-        .select(
-            "schema_name",
-            "table_name",
-            column.alias("column_name"),
-            F.col("u"),
-            n,
-            F.concat("table_name", F.lit("_"), column, F.lit("_fkey")).alias("constraint_name"),
-        )
-        .distinct()
+    return _named(edges.filter("u IS NOT NULL").distinct()).select(
+        *TABLE,
+        column.alias("column_name"),
+        "u",
+        "n",
+        F.concat("table_name", F.lit("_"), column, F.lit("_fkey")).alias("constraint_name"),
     )
 
 
@@ -172,42 +179,43 @@ def _type(n: Column) -> Column:
 
 
 def fleet_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir).select("schema_name", "table_name", "t").distinct()
     kind = F.when(F.col("t") == 39, "VIEW").otherwise("BASE TABLE")
-    return lines.select("schema_name", "table_name", kind.alias("table_type"))
+    tables = _named(_numbers(spark, sf_dir).select("s", "t").distinct())
+    return tables.select(*TABLE, kind.alias("table_type"))
 
 
 def fleet_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir)
-    n, table_name = F.col("n"), ["schema_name", "table_name"]
+    numbers = _numbers(spark, sf_dir)
+    n = F.col("n")
     keyless = F.col("t") % 13 == 7
-    first = lines.select(
-        *table_name,
+    first = _named(numbers.select("s", "t").distinct()).select(
+        *TABLE,
         F.when(keyless, "payload").otherwise("id").alias("column_name"),
         F.lit(1).cast("long").alias("ordinal"),
         F.when(keyless, "jsonb").otherwise("integer").alias("data_type"),
         F.when(keyless, "YES").otherwise("NO").alias("is_nullable"),
     )
-    attributes = lines.select(
-        *table_name,
+    attributes = _named(numbers).select(
+        *TABLE,
         F.concat(F.lit("c"), n.cast("string")),
         n + 1,
         _type(n),
         F.when(n % 2 == 0, "YES").otherwise("NO"),
     )
-    references = _references(lines).select(
-        *table_name, "column_name", F.col("u") * 8 + n + 10, F.lit("integer"), F.lit("YES")
+    references = _references(spark, sf_dir).select(
+        *TABLE, "column_name", F.col("u") * 8 + n + 10, F.lit("integer"), F.lit("YES")
     )
-    return first.union(attributes).distinct().union(references)
+    return first.union(attributes).union(references)
 
 
 def fleet_pk_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir)
-    single = lines.filter(F.col("t") % 13 != 7).withColumn("column_name", F.lit("id"))
-    second = lines.filter((F.col("t") % 11 == 3) & (F.col("n") == 1)).withColumn(
-        "column_name", F.lit("c1")
+    numbers = _numbers(spark, sf_dir)
+    single = numbers.select("s", "t").distinct().filter(F.col("t") % 13 != 7)
+    second = numbers.filter((F.col("t") % 11 == 3) & (F.col("n") == 1)).select("s", "t")
+    keys = single.withColumn("column_name", F.lit("id")).union(
+        second.withColumn("column_name", F.lit("c1"))
     )
-    return single.union(second).select("schema_name", "table_name", "column_name").distinct()
+    return _named(keys).select(*TABLE, "column_name")
 
 
 def fleet_constraints(
@@ -215,7 +223,7 @@ def fleet_constraints(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(constraints, key usage, referenced usage)"""
     name = ["schema_name", "constraint_name"]
-    references = _references(_lines(spark, sf_dir))
+    references = _references(spark, sf_dir)
     keys = fleet_pk_columns(spark, sf_dir).withColumn(
         "constraint_name", F.concat("table_name", F.lit("_pkey"))
     )
@@ -231,6 +239,23 @@ def fleet_constraints(
     return constraints, usage, referenced
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, derive) -> DataFrame:
+    """What ``derive(spark, sf_dir)`` gives, as a table in the shared folder.
+
+    Catalogs and snapshots are stored tables in real use; deriving them again for every operator
+    would time the derivation instead. Each application derives them once per data folder.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, derive.__name__)
+    if key not in _STORED:
+        path = new_path(spark, derive.__name__)
+        derive(spark, sf_dir).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def fleet_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog_columns(
         fleet_tables(spark, sf_dir),
@@ -252,17 +277,12 @@ def _stated_columns(spark: SparkSession, sf_dir: str, states: list[int]) -> Data
     """Columns of every table in the given states: columns come in over time, number 6 goes and
     comes back, number 5 gets wider, 4 becomes nullable, 7 at last does too."""
     k, n = F.col("k"), F.col("n")
-    seen = (
-        _lines(spark, sf_dir)
-        .groupBy("schema_name", "table_name", "s", "t", "n")
-        .agg(F.min(F.col("o") % 3).alias("since"))
-    )
+    seen = _numbers(spark, sf_dir)
+    state = F.explode(F.array(*map(F.lit, states))).alias("k")
     attributes = (
-        seen.withColumn("k", F.explode(F.array(*map(F.lit, states))))
+        seen.select("*", state)
         .filter((F.col("since") <= k) & ~((n == 6) & (k == 2)))
         .select(
-            "schema_name",
-            "table_name",
             "s",
             "t",
             "k",
@@ -277,9 +297,9 @@ def _stated_columns(spark: SparkSession, sf_dir: str, states: list[int]) -> Data
         )
     )
     ids = (
-        seen.select("schema_name", "table_name", "s", "t")
+        seen.select("s", "t")
         .distinct()
-        .withColumn("k", F.explode(F.array(*map(F.lit, states))))
+        .select("*", state)
         .selectExpr("*", "1 ordinal", "'id' name", "'integer' data_type", "false nullable", "true is_pk")
     )
     return ids.unionByName(attributes)
@@ -287,9 +307,11 @@ def _stated_columns(spark: SparkSession, sf_dir: str, states: list[int]) -> Data
 
 def fleet_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        _stated_columns(spark, sf_dir, _STATES)
-        .groupBy("schema_name", "table_name", "s", "t", "k")
-        .agg(column_list().alias("columns"))
+        _named(
+            _stated_columns(spark, sf_dir, _STATES)
+            .groupBy("s", "t", "k")
+            .agg(column_list().alias("columns"))
+        )
         .select(
             ((F.col("s") * 40 + F.col("t")) * 4 + F.col("k")).alias("id"),
             "schema_name",
@@ -303,11 +325,11 @@ def fleet_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fleet_live_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The live schema; tables with number 5, 22 and 39 have been dropped."""
     return (
-        _stated_columns(spark, sf_dir, [_LIVE])
-        .filter(F.col("t") % 17 != 5)
+        _named(_stated_columns(spark, sf_dir, [_LIVE]).filter(F.col("t") % 17 != 5))
         .select("schema_name", "table_name", "ordinal", "name", "data_type", "nullable", "is_pk")
     )
 
 
 def fleet_watched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).filter(F.col("t") < 34).select("schema_name", "table_name").distinct()
+    tables = _numbers(spark, sf_dir).select("s", "t").distinct()
+    return _named(tables.filter(F.col("t") < 34)).select(*TABLE)
