@@ -32,6 +32,7 @@ from ..plans.heavy import (
     with_carried,
 )
 from ..schemas import DEFAULT_WINDOW_MS, ENTITY_SCOPE
+from ..session import materialise
 
 START = ["start_at", "start_id", "start_tx"]
 FIRST = ["first_at", "first_id", "transaction_id"]
@@ -89,7 +90,7 @@ def _members_light(log: DataFrame, scope: list[str], window_ms: int) -> DataFram
 
 def _members_heavy(log: DataFrame, scope: list[str], window_ms: int) -> DataFrame:
     """The same for heavy scopes: map-side combined transactions, then pieces of a scope."""
-    transactions = _transactions(log, scope)
+    transactions = materialise(_transactions(log, scope), "transactions")
     explicit = transactions.filter(~F.col("is_autocommit")).withColumns(
         {"start_ms": F.col("first_ms"), **dict(zip(START, map(F.col, FIRST)))}
     )
@@ -175,9 +176,9 @@ def _versions_heavy(
     members = _members_heavy(log, scope, window_ms)
     changesets = number_heavy(_summaries(members, scope), scope, CHANGESET_ORDER, "version")
     on = [*scope, "start_ms", "is_autocommit", *START]
-    return _as_versions(
-        join_weighted(members, changesets, on, "n_members", ["transaction_id"], heavy_rows), scope
-    )
+    joined = join_weighted(members, changesets, on, "n_members", ["transaction_id"], heavy_rows)
+    # Written once: the joins to it count, broadcast and read it.
+    return materialise(_as_versions(joined, scope), "versions")
 
 
 def _as_versions(members: DataFrame, scope: list[str]) -> DataFrame:
@@ -256,11 +257,10 @@ def place_operations(
             .drop("in_table")
         )
     if heavy is not None:
-        tables = changeset_tables(heavy, scope, with_size=True)
-        heavy = join_weighted(
-            number_heavy(heavy, keys, ENTRY_ORDER, "position"),
-            tables, keys, "table_rows", ["id"], heavy_rows,
-        ).drop("table_rows")
+        placed = number_heavy(heavy, keys, ENTRY_ORDER, "position")
+        tables = materialise(changeset_tables(placed, scope, with_size=True), "tables")
+        heavy = join_weighted(placed, tables, keys, "table_rows", ["id"], heavy_rows)
+        heavy = heavy.drop("table_rows")
     part = F.floor((F.col("position") - 1) / F.lit(rows_per_part)).cast("long")
     return both(light, heavy).withColumn("part", part)
 

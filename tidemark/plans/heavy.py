@@ -170,7 +170,7 @@ def join_weighted(
     rows/limit. Their dim row is copied once per salt and their facts are spread over the salts
     by a hash of ``spread``; every fact still meets exactly one copy.
     """
-    copies = F.ceil(F.col(weight) / F.lit(limit)).cast("int")
+    copies = F.ceil(F.col(weight) / F.lit(max(limit, 1))).cast("int")
     hot = broadcast_checked(
         dim.filter(F.col(weight) > limit).select(*on, copies.alias("_copies"))
     )
