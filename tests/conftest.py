@@ -16,7 +16,7 @@ def spark():
         "tidemark-tests",
         **{
             "spark.master": "local[8]",
-            "spark.sql.shuffle.partitions": "2",
+            "spark.sql.shuffle.partitions": "3",
             # Tiny frames: compiling would take longer than running. The comparisons compile.
             "spark.sql.codegen.wholeStage": "false",
             "spark.sql.codegen.factoryMode": "NO_CODEGEN",

@@ -83,8 +83,10 @@ def ordered_pieces(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     """
     from ..session import materialise
 
-    ranged = df.repartitionByRange(*keys, *order).withColumn(PART, F.spark_partition_id())
-    return materialise(ranged, "pieces")
+    # A given number, so that adaptive execution does not merge the pieces again.
+    pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(pieces, *keys, *order)
+    return materialise(ranged.withColumn(PART, F.spark_partition_id()), "pieces")
 
 
 def carried(pieces: DataFrame, keys: list[str], **carry: tuple[Column, str]) -> DataFrame:
@@ -122,16 +124,6 @@ def number_heavy(df: DataFrame, keys: list[str], order: list[str], out: str) ->
     return joined.withColumn(out, inside + F.coalesce("_before", F.lit(0))).drop("_before", PART)
 
 
-def numbered(
-    df: DataFrame, keys: list[str], order: list[str], out: str, limit: int = HEAVY_ROWS
-) -> DataFrame:
-    light, heavy = split_heavy(df, keys, limit)
-    return both(
-        None if light is None else number_light(light, keys, order, out),
-        None if heavy is None else number_heavy(heavy, keys, order, out),
-    )
-
-
 def with_previous(
     df: DataFrame, keys: list[str], order: list[str], columns: list[str], limit: int = HEAVY_ROWS
 ) -> DataFrame:
