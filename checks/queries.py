@@ -148,7 +148,7 @@ def capture_snapshot_diff(spark, sf):
 def _feed(spark, sf) -> DataFrame:
     """The changelog as a feed without entity columns; odd rows carry no native transaction."""
     native = F.when(F.col("id") % 2 == 0, F.col("transaction_id"))
-    return td.changelog(spark, sf).select(
+    return td.log(spark, sf).select(
         F.col("id").alias("seq"), "table_name", F.lower("operation").alias("operation"),
         "old_values", "new_values", native.alias("transaction_id"), "created_at",
     )
@@ -165,7 +165,7 @@ def capture_change_feed(spark, sf):
 
 @registered
 def resolve_entity_ids(spark, sf):
-    changes = td.changelog(spark, sf)
+    changes = td.log(spark, sf)
     return capture.resolve_entity_ids(changes, _entity_map(spark, FEED_MAP)).select(
         "id", "table_name", "operation", "entity_type", "entity_id", "row_id"
     )
@@ -173,7 +173,7 @@ def resolve_entity_ids(spark, sf):
 
 @registered
 def capture_stream_rows(spark, sf):
-    source = td.changelog(spark, sf).select(
+    source = td.log(spark, sf).select(
         "table_name", "row_id", F.col("id").alias("seq"), F.col("new_values").alias("image"),
         "transaction_id", "created_at",
     )
@@ -194,7 +194,7 @@ def row_images(spark, sf):
 @registered
 def assign_transaction_id(spark, sf):
     native = F.when(F.col("id") % 2 == 0, F.col("transaction_id"))
-    rows = td.changelog(spark, sf, images=False).withColumn("transaction_id", native)
+    rows = td.log_keys(spark, sf).withColumn("transaction_id", native)
     return capture.assign_transaction_id(rows.withColumnRenamed("id", "seq")).select(
         "seq", "transaction_id"
     )
@@ -205,32 +205,32 @@ def assign_transaction_id(spark, sf):
 
 @registered
 def query_changelog(spark, sf):
-    return query.query_changelog(td.changelog(spark, sf), entity_type="course")
+    return query.query_changelog(td.stored_changelog(spark, sf), entity_type="course")
 
 
 @registered
 def query_changelog_range(spark, sf):
-    return query.query_changelog(td.changelog(spark, sf), since=SINCE, until=UNTIL)
+    return query.query_changelog(td.stored_changelog(spark, sf), since=SINCE, until=UNTIL)
 
 
 @registered
 def query_changelog_topk(spark, sf):
-    return query.query_changelog(td.changelog(spark, sf), entity_type="billing", limit=100)
+    return query.query_changelog(td.stored_changelog(spark, sf), entity_type="billing", limit=100)
 
 
 @registered
 def transaction_groups(spark, sf):
-    return query.transaction_groups(td.changelog(spark, sf, images=False))
+    return query.transaction_groups(td.log_keys(spark, sf))
 
 
 @registered
 def changelog_stats(spark, sf):
-    return query.changelog_stats(td.changelog(spark, sf, images=False))
+    return query.changelog_stats(td.log_keys(spark, sf))
 
 
 @registered
 def entity_stats(spark, sf):
-    return query.entity_stats(td.changelog(spark, sf, images=False))
+    return query.entity_stats(td.log_keys(spark, sf))
 
 
 # --- changesets -----------------------------------------------------------------------------
@@ -238,29 +238,29 @@ def entity_stats(spark, sf):
 
 @registered
 def classify_transactions(spark, sf):
-    return changesets.classify_transactions(td.changelog(spark, sf, images=False)).select(
+    return changesets.classify_transactions(td.log_keys(spark, sf)).select(
         "id", "entity_type", "entity_id", "transaction_id", "transaction_rows", "is_explicit"
     )
 
 
 @registered
 def sessionize_autocommit(spark, sf):
-    return changesets.sessionize_autocommit(td.changelog(spark, sf, images=False), WINDOW)
+    return changesets.sessionize_autocommit(td.log_keys(spark, sf), WINDOW)
 
 
 @registered
 def build_changesets(spark, sf):
-    return changesets.build_changesets(td.changelog(spark, sf, images=False), WINDOW)
+    return changesets.build_changesets(td.log_keys(spark, sf), WINDOW)
 
 
 @registered
 def changesets_all_entities(spark, sf):
-    return changesets.assign_versions(td.changelog(spark, sf), WINDOW)
+    return changesets.assign_versions(td.log(spark, sf), WINDOW)
 
 
 @registered
 def changesets_unscoped(spark, sf):
-    log = td.changelog(spark, sf, images=False)
+    log = td.log_keys(spark, sf)
     return changesets.build_changesets(log, WINDOW, scope=[], heavy_rows=5_000)
 
 
@@ -280,26 +280,26 @@ def versions_hot_entity(spark, sf):
 @registered
 def entity_history(spark, sf):
     return changesets.entity_history(
-        td.changelog(spark, sf), *ENTITY, since=SINCE, until=UNTIL, window_ms=WINDOW
+        td.log(spark, sf), *ENTITY, since=SINCE, until=UNTIL, window_ms=WINDOW
     )
 
 
 @registered
 def entity_history_full(spark, sf):
     return changesets.entity_history(
-        td.changelog(spark, sf), *ENTITY, since=SINCE, until=UNTIL, window_ms=WINDOW,
+        td.log(spark, sf), *ENTITY, since=SINCE, until=UNTIL, window_ms=WINDOW,
         versions="full",
     )
 
 
 @registered
 def entity_history_version(spark, sf):
-    return changesets.entity_history(td.changelog(spark, sf), *ENTITY, version=3, window_ms=WINDOW)
+    return changesets.entity_history(td.log(spark, sf), *ENTITY, version=3, window_ms=WINDOW)
 
 
 @registered
 def changeset_tables(spark, sf):
-    entries = changesets.assign_versions(td.changelog(spark, sf, images=False), WINDOW)
+    entries = changesets.assign_versions(td.log_keys(spark, sf), WINDOW)
     return changesets.changeset_tables(entries).withColumn("tables", text_list("tables"))
 
 
@@ -307,7 +307,7 @@ def changeset_tables(spark, sf):
 def nested_changesets(spark, sf):
     """Nested operations in parts of three, shown by their ids."""
     nested = changesets.nest_operations(
-        td.changelog(spark, sf, images=False), WINDOW, rows_per_part=3
+        td.log_keys(spark, sf), WINDOW, rows_per_part=3
     )
     ids = text_list(F.transform("operations", lambda o: o["id"].cast("string")))
     return nested.select("entity_type", "entity_id", "version", "part", ids.alias("ids"))
@@ -315,7 +315,7 @@ def nested_changesets(spark, sf):
 
 @registered
 def stream_sessions_closed(spark, sf):
-    log = td.changelog(spark, sf, images=False)
+    log = td.log_keys(spark, sf)
     rows = log.withColumn("transaction_id", F.col("id").cast("string"))
     return td.run_in_slices(
         spark, rows, lambda s: stream_sessions(s, WINDOW, "1 hour"), "sessions"
@@ -326,7 +326,7 @@ def stream_sessions_closed(spark, sf):
 def stream_changesets_closed(spark, sf):
     versions = td.run_in_slices(
         spark,
-        td.changelog(spark, sf, images=False),
+        td.log_keys(spark, sf),
         lambda s: stream_changesets(s, WINDOW, tx_timeout_ms=86_400_000, delay="1 hour"),
         "changesets",
     )
@@ -338,22 +338,22 @@ def stream_changesets_closed(spark, sf):
 
 @registered
 def field_diff(spark, sf):
-    return diff.field_diff(td.changelog(spark, sf))
+    return diff.field_diff(td.log(spark, sf))
 
 
 @registered
 def field_change_counts(spark, sf):
-    return diff.field_change_counts(td.changelog(spark, sf))
+    return diff.field_change_counts(td.log(spark, sf))
 
 
 @registered
 def insert_fields(spark, sf):
-    return diff.image_fields(td.changelog(spark, sf), "INSERT")
+    return diff.image_fields(td.log(spark, sf), "INSERT")
 
 
 @registered
 def delete_fields(spark, sf):
-    return diff.image_fields(td.changelog(spark, sf), "DELETE", verbose=True)
+    return diff.image_fields(td.log(spark, sf), "DELETE", verbose=True)
 
 
 @registered
@@ -364,7 +364,7 @@ def schema_change_diff(spark, sf):
 
 @registered
 def format_values(spark, sf):
-    log = td.changelog(spark, sf).filter(F.col("new_values").isNotNull())
+    log = td.log(spark, sf).filter(F.col("new_values").isNotNull())
     return log.select("id", F.explode(image_map("new_values")).alias("field", "v")).select(
         "id", "field", format_value(F.col("v")).alias("text")
     )
@@ -372,12 +372,13 @@ def format_values(spark, sf):
 
 @registered
 def render_text(spark, sf):
-    return render.newest_first(render.render_text(td.changelog(spark, sf), WINDOW))
+    return render.render_text(td.log(spark, sf), WINDOW)
 
 
 @registered
 def render_text_verbose(spark, sf):
-    return render.render_text(td.changelog(spark, sf), WINDOW, verbose=True)
+    """In printing order."""
+    return render.newest_first(render.render_text(td.log(spark, sf), WINDOW, verbose=True))
 
 
 @registered
@@ -397,7 +398,7 @@ def changesets_json(spark, sf):
         "operations array<struct<id:string, operation:string, createdAt:string, "
         "newValues:struct<kind:string>>>",
     )
-    documents = render.changesets_json(td.changelog(spark, sf), WINDOW)
+    documents = render.changesets_json(td.log(spark, sf), WINDOW)
     return documents.select("entity_type", "entity_id", parsed.alias("d")).select(
         "entity_type",
         "entity_id",
@@ -553,13 +554,13 @@ def schema_timeline(spark, sf):
 
 @registered
 def capture_coverage(spark, sf):
-    log = td.changelog(spark, sf, images=False)
+    log = td.log_keys(spark, sf)
     return drift.capture_coverage(_entity_map(spark, COVERAGE_MAP), log)
 
 
 @registered
 def capture_health(spark, sf):
-    log = td.changelog(spark, sf, images=False)
+    log = td.log_keys(spark, sf)
     coverage = drift.capture_coverage(_entity_map(spark, COVERAGE_MAP), log)
     return drift.capture_health(coverage, _drift(spark, sf))
 

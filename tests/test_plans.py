@@ -20,14 +20,15 @@ def exchanges(df) -> int:
 
 @pytest.fixture(scope="module")
 def log(spark):
-    return td.changelog(spark, DATA, images=False)
+    return td.log_keys(spark, DATA)
 
 
 def test_changesets_shuffle_once(log):
     found = changesets.build_changesets(log)
     assert exchanges(found) == 1
     # Neither images nor anything else but the keys is read for them.
-    assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint>" in plan(found)
+    read = "ReadSchema: struct<id:bigint,entity_id:string,transaction_id:string,created_at:timestamp>"
+    assert read in plan(found)
 
 
 def test_joined_versions_reuse_the_scope_exchange(spark, log):
@@ -48,6 +49,15 @@ def test_transaction_groups_combine_before_the_shuffle(log):
     assert "partial_count" in plan(found)
 
 
+def test_history_filters_reach_the_scan(spark):
+    stored = td.stored_changelog(spark, DATA)
+    found = query.query_changelog(stored, "course", "3", since="2024-01-05 00:00:00")
+    text = plan(found)
+    folders, pushed = text.split("PartitionFilters: ")[1].split("PushedFilters: ")
+    assert "entity_type" in folders and "created_date" in folders
+    assert "EqualTo(entity_id,3)" in pushed and "GreaterThanOrEqual(created_at" in pushed
+
+
 def test_topk_is_no_full_sort(make_log):
     found = query.query_changelog(make_log(("t", 0)), "course", limit=5)
     assert "TakeOrderedAndProject" in plan(found)

@@ -115,3 +115,28 @@ def test_capture_keeps_the_last_image(spark, tmp_path):
     )
     assert rows(applied) == rows(batch)
     assert rows(late, "seq", "old_values", "new_values") == [(2, None, "old")]
+
+
+def test_feed_streams_into_the_stored_changelog(spark, tmp_path):
+    from tidemark.operators.capture import capture_change_feed
+    from tidemark.schemas import ENTITY_MAP
+    from tidemark.sources.changelog import append_stream, read_changelog
+
+    session = streaming_session(spark)
+    schema = (
+        "seq long, table_name string, operation string, old_values string, new_values string, "
+        "transaction_id string, created_at timestamp"
+    )
+    entity_map = session.createDataFrame([("course", "upsell", False, "courseId", ["id"])], ENTITY_MAP)
+    for number in (1, 2):
+        image = f'{{"id":{number},"courseId":42}}'
+        row = (number, "upsell", "INSERT", None, image, None, START + timedelta(days=number))
+        spark.createDataFrame([row], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = session.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        query = append_stream(
+            capture_change_feed(stream, entity_map), str(tmp_path / "log"), str(tmp_path / "state")
+        )
+        query.awaitTermination()
+    stored = read_changelog(spark, str(tmp_path / "log"))
+    assert rows(stored, "id", "entity_id", "row_id") == [(1, "42", "1"), (2, "42", "2")]
+    assert (tmp_path / "log" / "entity_type=course" / "created_date=2026-02-16").is_dir()

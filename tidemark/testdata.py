@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans.heavy import with_previous
+from .schemas import CHANGELOG_COLUMNS
 from .session import new_path, streaming_session
 from .sources.catalog import catalog_columns, column_list, foreign_keys
+from .sources.changelog import read_changelog, write_changelog
 from .streaming.run import run_available
 
 # The gap that groups autocommit rows of the derived changelog: half a day.
@@ -54,17 +56,18 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def changelog(spark: SparkSession, sf_dir: str, images: bool = True) -> DataFrame:
-    """The derived changelog; without ``images`` the old and new values are left out."""
+def changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = _entries(spark, sf_dir)
-    columns = ["id", "entity_type", "entity_id", "table_name", "row_id", "operation"]
-    if not images:
-        return entries.select(*columns, "transaction_id", "created_at")
     entries = with_previous(entries, ["entity_type", "entity_id"], ["created_at", "id"], ["image"])
     operation, image = F.col("operation"), F.col("image")
     none = F.lit('{"id":-1,"k":-1,"kind":"none"}')
     return entries.select(
-        *columns,
+        "id",
+        "entity_type",
+        "entity_id",
+        "table_name",
+        "row_id",
+        "operation",
         F.when(operation == "DELETE", image)
         .when(operation == "UPDATE", F.coalesce("previous.image", none))
         .alias("old_values"),
@@ -74,6 +77,42 @@ def changelog(spark: SparkSession, sf_dir: str, images: bool = True) -> DataFram
     )
 
 
+# Tables derived once per application and data folder: (application, folder, name) -> path.
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _path(spark: SparkSession, sf_dir: str, derive, write) -> str:
+    key = (spark.sparkContext.applicationId, sf_dir, derive.__name__)
+    if key not in _STORED:
+        path = new_path(spark, derive.__name__)
+        write(derive(spark, sf_dir), path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
+def stored(spark: SparkSession, sf_dir: str, derive) -> DataFrame:
+    """What ``derive(spark, sf_dir)`` gives, as a table in the shared folder.
+
+    Catalogs, snapshots and changelogs are stored tables in real use; deriving them again for every
+    operator would time the derivation instead.
+    """
+    path = _path(spark, sf_dir, derive, lambda df, path: df.write.parquet(path))
+    return spark.read.parquet(path)
+
+
+def stored_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived changelog as ``write_changelog`` lays it out, with its ``created_date``."""
+    return read_changelog(spark, _path(spark, sf_dir, changelog, write_changelog))
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_changelog(spark, sf_dir).select(*CHANGELOG_COLUMNS)
+
+
+def log_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log(spark, sf_dir).drop("old_values", "new_values")
+
+
 def run_in_slices(spark: SparkSession, source: DataFrame, build, name: str, slices: int = 2):
     """Feed ``source`` to a stream in time slices and return the table that ``build`` produces.
 
@@ -110,7 +149,7 @@ def _sentinel(source: DataFrame) -> DataFrame:
 def skewed_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived changelog with a third of all rows in one entity, without images."""
     hot = F.col("id") % 3 == 0
-    return changelog(spark, sf_dir, images=False).withColumns(
+    return log_keys(spark, sf_dir).withColumns(
         {
             "entity_type": F.when(hot, "course").otherwise(F.col("entity_type")),
             "entity_id": F.when(hot, "hot").otherwise(F.col("entity_id")),
@@ -239,23 +278,6 @@ def fleet_constraints(
     return constraints, usage, referenced
 
 
-_STORED: dict[tuple[str, str, str], str] = {}
-
-
-def stored(spark: SparkSession, sf_dir: str, derive) -> DataFrame:
-    """What ``derive(spark, sf_dir)`` gives, as a table in the shared folder.
-
-    Catalogs and snapshots are stored tables in real use; deriving them again for every operator
-    would time the derivation instead. Each application derives them once per data folder.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir, derive.__name__)
-    if key not in _STORED:
-        path = new_path(spark, derive.__name__)
-        derive(spark, sf_dir).write.parquet(path)
-        _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
-
-
 def fleet_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog_columns(
         fleet_tables(spark, sf_dir),
