@@ -128,6 +128,16 @@ def test_random_log_against_model(random_log, window_ms, limit):
     assert found == expected_versions(entries, window_ms)
 
 
+def test_more_heavy_keys_than_are_listed(random_log, monkeypatch):
+    from tidemark.plans import heavy
+
+    monkeypatch.setattr(heavy, "LISTED_KEYS", 2)
+    log, entries = random_log
+    found = cs.assign_versions(log, 30, heavy_rows=100)
+    versions = {r.id: (r.version, r.n_operations, r.is_autocommit_grouped) for r in found.collect()}
+    assert versions == expected_versions(entries, 30)
+
+
 @pytest.mark.parametrize("limit", [10_000, 500])
 def test_unscoped_random_log(random_log, limit):
     log, entries = random_log

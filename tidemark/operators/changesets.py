@@ -11,6 +11,8 @@ Rules, for the entries of one scope (by default one entity) in the order (create
 A changeset is known by its first entry (start_at, start_id, start_tx). The work is done on one
 row per (scope, transaction) and never carries row images. Scopes with more than ``heavy_rows``
 entries leave the one-task-per-scope windows and take the range-partitioned way, with equal results.
+
+Scope columns and transaction ids are never null in a changelog; ``capture.split_rejects`` sees to it.
 """
 
 from __future__ import annotations

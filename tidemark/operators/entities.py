@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.heavy import HEAVY_ROWS, with_previous
+
 TABLE = ["schema_name", "table_name"]
 LOOKUP, ROOT, ISOLATED, OTHER = "lookup", "root", "isolated", "other"
 
@@ -232,31 +234,28 @@ def ignored_tables(classes: DataFrame, conflicts: DataFrame) -> DataFrame:
     )
 
 
-def validate_entity_map(entity_map: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
+def validate_entity_map(
+    entity_map: DataFrame, schemas: DataFrame | None = None, heavy_rows: int = HEAVY_ROWS
+) -> DataFrame:
     """Errors: a table with two owners (one error per further owner), a schema without entities.
 
-    Owners of a table are told in map order: by ``position`` if there is one, else roots first,
-    then by name. The list is as long as the table has owners.
+    Owners of a table are told in map order: by ``position`` if there is one, else by entity name.
     """
-    position = "position" if "position" in entity_map.columns else "entity_type"
-    owner = F.struct(F.col(position).alias("p"), (~F.col("is_root")).alias("c"), "entity_type")
-    owned = entity_map.groupBy(*TABLE).agg(F.array_sort(F.collect_list(owner)).alias("owners"))
-    further = F.explode(F.sequence(F.lit(1), F.size("owners") - 1))
-    errors = (
-        owned.filter(F.size("owners") > 1)
-        .withColumn("n", further)
-        .select(
-            *TABLE,
-            F.concat(
-                F.lit("Table '"),
-                "table_name",
-                F.lit("' is assigned to both '"),
-                F.col("owners")[F.col("n") - 1]["entity_type"],
-                F.lit("' and '"),
-                F.col("owners")[F.col("n")]["entity_type"],
-                F.lit("'"),
-            ).alias("error"),
-        )
+    order = ["position"] if "position" in entity_map.columns else []
+    owned = with_previous(
+        entity_map, TABLE, [*order, "entity_type", "is_root"], ["entity_type"], heavy_rows
+    )
+    errors = owned.filter(F.col("previous").isNotNull()).select(
+        *TABLE,
+        F.concat(
+            F.lit("Table '"),
+            "table_name",
+            F.lit("' is assigned to both '"),
+            "previous.entity_type",
+            F.lit("' and '"),
+            "entity_type",
+            F.lit("'"),
+        ).alias("error"),
     )
     if schemas is None:
         return errors

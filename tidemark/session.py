@@ -34,9 +34,9 @@ def streaming_session(spark: SparkSession) -> SparkSession:
     sibling = spark.newSession()
     for key, value in SETTINGS.items():
         sibling.conf.set(key, value)
-    sibling.conf.set(
-        "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
-    )
+    # State partitions are fixed for the life of a query: as many as there are cores.
+    cores = spark.sparkContext.defaultParallelism
+    sibling.conf.set("spark.sql.shuffle.partitions", str(cores))
     return sibling
 
 
