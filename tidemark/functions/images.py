@@ -7,13 +7,14 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import NULL_TEXT
+
 # Nulls stay visible and timestamps keep their microseconds.
 IMAGE_OPTIONS = {
     "ignoreNullFields": "false",
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
 }
-NULL_TEXT = "NULL"
 
 
 def row_image(columns: Iterable[str | Column]) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.images import canonical, image_map, printed
+from ..functions.text import UNKNOWN_TYPE
 from ..schemas import DELETE, INSERT, SCHEMA_CHANGE, UPDATE
 
 CONTEXT = [
@@ -135,7 +136,7 @@ def column_changes() -> Column:
             lambda c: F.struct(
                 F.lit(change).alias("change"),
                 c["name"].alias("name"),
-                F.coalesce(c["dataType"], F.lit("unknown")).alias("data_type"),
+                F.coalesce(c["dataType"], F.lit(UNKNOWN_TYPE)).alias("data_type"),
                 F.coalesce(c["nullable"], F.lit(False)).alias("nullable"),
             ),
         )

@@ -9,6 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import (
+    CHILD_WITHOUT_KEY,
+    NO_ENTITY,
+    OWNED_TWICE,
+    ROOT_WITHOUT_KEY,
+    filled,
+)
 from ..plans.heavy import HEAVY_ROWS, with_previous
 
 TABLE = ["schema_name", "table_name"]
@@ -156,9 +163,7 @@ def entity_warnings(fks: DataFrame, classes: DataFrame, catalog: DataFrame) -> D
         *TABLE,
         F.lit("").alias("root_table"),
         F.lit("").alias("constraint_name"),
-        F.concat(
-            F.lit("Table '"), "table_name", F.lit("' has no primary key, skipping as entity root")
-        ).alias("message"),
+        filled(ROOT_WITHOUT_KEY, "table_name").alias("message"),
     )
     children = (
         _claims(fks, facts)
@@ -168,13 +173,7 @@ def entity_warnings(fks: DataFrame, classes: DataFrame, catalog: DataFrame) -> D
             F.col("from_table").alias("table_name"),
             F.col("to_table").alias("root_table"),
             "constraint_name",
-            F.concat(
-                F.lit("Table '"),
-                "from_table",
-                F.lit("' has no primary key, skipping as child of '"),
-                "to_table",
-                F.lit("'"),
-            ).alias("message"),
+            filled(CHILD_WITHOUT_KEY, "from_table", "to_table").alias("message"),
         )
     )
     return roots.unionByName(children)
@@ -247,15 +246,7 @@ def validate_entity_map(
     )
     errors = owned.filter(F.col("previous").isNotNull()).select(
         *TABLE,
-        F.concat(
-            F.lit("Table '"),
-            "table_name",
-            F.lit("' is assigned to both '"),
-            "previous.entity_type",
-            F.lit("' and '"),
-            "entity_type",
-            F.lit("'"),
-        ).alias("error"),
+        filled(OWNED_TWICE, "table_name", "previous.entity_type", "entity_type").alias("error"),
     )
     if schemas is None:
         return errors
@@ -266,7 +257,7 @@ def validate_entity_map(
         .select(
             "schema_name",
             F.lit("").alias("table_name"),
-            F.lit("At least one entity is required").alias("error"),
+            F.lit(NO_ENTITY).alias("error"),
         )
     )
     return errors.unionByName(empty)

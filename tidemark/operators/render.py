@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.images import iso_millis, utc_seconds
+from ..functions.text import filled
 from ..plans.heavy import HEAVY_ROWS
 from ..schemas import DEFAULT_WINDOW_MS, DELETE, ENTITY_SCOPE, INSERT, SCHEMA_CHANGE, UPDATE
 from .changesets import ROWS_PER_PART, gather_parts, place_operations
@@ -18,20 +20,23 @@ def operation_text(verbose: bool = False) -> Column:
     has_old, has_new = F.col("old_values").isNotNull(), F.col("new_values").isNotNull()
 
     def line(label: str, fields: Column | None = None) -> Column:
-        start = f"     {label}"
-        return F.lit(start) if fields is None else F.concat(F.lit(start + "  "), fields)
+        if fields is None:
+            return F.lit(text.OPERATION_LINE.format(label))
+        return filled(text.OPERATION_FIELDS_LINE, F.lit(label), fields)
+
+    def joined(parts: Column) -> Column:
+        return F.coalesce(F.array_join(parts, text.LIST_SEPARATOR), F.lit(""))
 
     def values(image: str, hide_id: bool) -> Column:
-        shown = F.transform(
-            listed_fields(image, hide_id), lambda f: F.concat(f["field"], F.lit("="), f["value"])
-        )
-        return F.coalesce(F.array_join(shown, ", "), F.lit(""))
+        shown = listed_fields(image, hide_id)
+        return joined(F.transform(shown, lambda f: filled(text.FIELD, f["field"], f["value"])))
 
-    changes = F.transform(
-        changed_fields(),
-        lambda c: F.concat(c["field"], F.lit(": "), c["old_value"], F.lit(" -> "), c["new_value"]),
+    update = joined(
+        F.transform(
+            changed_fields(),
+            lambda c: filled(text.CHANGED_FIELD, c["field"], c["old_value"], c["new_value"]),
+        )
     )
-    update = F.coalesce(F.array_join(changes, ", "), F.lit(""))
     data = (
         F.when((operation == INSERT) & has_new, line(INSERT, values("_after", not verbose)))
         .when(operation == INSERT, line(INSERT))
@@ -39,47 +44,40 @@ def operation_text(verbose: bool = False) -> Column:
         .when(operation == UPDATE, line(UPDATE))
     )
     if verbose:
-        data = data.when(
-            (operation == DELETE) & has_old, line(DELETE, values("_before", False))
-        )
+        data = data.when((operation == DELETE) & has_old, line(DELETE, values("_before", False)))
     data = data.when(operation == DELETE, line(DELETE))
 
     columns = F.transform(
         column_changes(),
         lambda c: F.when(
             c["change"] == "added",
-            F.concat(
-                F.lit("     + column '"),
+            filled(
+                text.ADDED_COLUMN,
                 c["name"],
-                F.lit("' ("),
                 c["data_type"],
-                F.when(c["nullable"], ", nullable").otherwise(""),
-                F.lit(")"),
+                F.when(c["nullable"], text.NULLABLE).otherwise(""),
             ),
-        ).otherwise(F.concat(F.lit("     - column '"), c["name"], F.lit("'"))),
+        ).otherwise(filled(text.REMOVED_COLUMN, c["name"])),
     )
     lines = F.when(F.size(columns) > 0, F.array_join(columns, "\n"))
     schema = F.when(has_old & has_new, lines).otherwise(line(SCHEMA_CHANGE))
-    title = F.concat(F.lit("  -- "), F.col("table_name"))
-    return F.when(operation == SCHEMA_CHANGE, F.concat_ws("\n", title, schema)).otherwise(
-        F.concat_ws("\n", F.concat(title, F.lit(" (id="), F.col("row_id"), F.lit(")")), data)
-    )
+    return F.when(
+        operation == SCHEMA_CHANGE,
+        F.concat_ws("\n", filled(text.TABLE_TITLE, "table_name"), schema),
+    ).otherwise(F.concat_ws("\n", filled(text.ROW_TITLE, "table_name", "row_id"), data))
 
 
 def header_text(first_operation: Column) -> Column:
     date = utc_seconds("timestamp")
-    changeset = F.concat(
-        F.lit("changeset v"),
+    changeset = filled(
+        text.CHANGESET_HEADER,
         F.col("version").cast("string"),
-        F.lit("  [tx: "),
-        F.substring("transaction_id", 1, 8),
-        F.lit("]  "),
+        F.substring("transaction_id", 1, text.TX_LENGTH),
         date,
-        F.lit("\n  tables: "),
-        F.array_join("tables", ", "),
+        F.array_join("tables", text.LIST_SEPARATOR),
     )
     return F.when(
-        first_operation == SCHEMA_CHANGE, F.concat(F.lit("schema change  "), date)
+        first_operation == SCHEMA_CHANGE, filled(text.SCHEMA_HEADER, date)
     ).otherwise(changeset)
 
 
@@ -101,8 +99,8 @@ def render_text(
     parts = gather_parts(printed, scope, F.struct("block", "operation"), "items")
     blocks = F.array_join("items.block", "\n")
     header = header_text(F.col("items")[0]["operation"])
-    text = F.when(F.col("part") == 0, F.concat_ws("\n", header, blocks)).otherwise(blocks)
-    return parts.select(*scope, "version", "part", text.alias("text"))
+    whole = F.when(F.col("part") == 0, F.concat_ws("\n", header, blocks)).otherwise(blocks)
+    return parts.select(*scope, "version", "part", whole.alias("text"))
 
 
 def newest_first(rendered: DataFrame, scope: list[str] = ENTITY_SCOPE) -> DataFrame:
@@ -131,8 +129,8 @@ def changesets_json(
         F.col("transaction_id").alias("transactionId"),
         iso_millis("created_at").alias("createdAt"),
     )
-    text = F.to_json(operation, {"ignoreNullFields": "false"})
-    parts = gather_parts(placed, scope, text, "items")
+    document = F.to_json(operation, {"ignoreNullFields": "false"})
+    parts = gather_parts(placed, scope, document, "items")
     head = F.struct(
         "version",
         F.col("transaction_id").alias("transactionId"),
