@@ -14,7 +14,7 @@ from .common import quoted, text_of
 
 # The template. Escaped texts and roles never hold "<|", so the marks are unambiguous.
 START, BETWEEN, END = "<|turn|>", "<|next|>", "<|end|>\n"
-TURNS_PER_PART = 512
+TURNS_PER_PART = 32
 
 
 def escape(text: Column) -> Column:
