@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, secret_scan, token_counts, url_filter
+from tidemark.session import new_path
+
+from . import chat, mixing, secret_scan, token_counts, token_ids, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,3 +61,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
+@registered
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "token-ids")
+    token_ids.write_token_ids(table(spark, sf_dir, "documents"), folder)
+    return token_ids.read_token_ids(spark, folder, with_ids=False)
