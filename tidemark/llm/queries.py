@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import new_path
 
-from . import chat, mixing, secret_scan, token_counts, token_ids, url_filter
+from . import chat, mixing, secret_scan, token_counts, token_ids, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,8 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "token-ids")
     token_ids.write_token_ids(table(spark, sf_dir, "documents"), folder)
     return token_ids.read_token_ids(spark, folder, with_ids=False)
+
+
+@registered
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
