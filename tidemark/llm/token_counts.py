@@ -19,7 +19,8 @@ from pyspark.sql.types import LongType
 from .common import quoted, text_of
 
 TOKENIZER = "byte_bpe_50k.json"
-CACHED_PIECES = 300_000
+CACHED_PIECES = 500_000
+CACHED_PAIRS = 1_000_000
 CACHED_PREFIXES = 1_000_000
 CACHED_LENGTH = 48
 # Contractions that fall apart when their last letter is cut off.
@@ -61,10 +62,13 @@ class PrefixCounter:
         model = described["model"]
         self.ids = {to_bytes(token): number for token, number in model["vocab"].items()}
         self.merges = {}
+        self.made = {}
         for rank, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             left, right = to_bytes(left), to_bytes(right)
-            self.merges[self.ids[left], self.ids[right]] = (rank, self.ids[left + right])
+            pair, merged = (self.ids[left], self.ids[right]), self.ids[left + right]
+            self.merges[pair] = (rank, merged)
+            self.made[merged] = (rank, *pair)
         self.bytes_of = {number: token for token, number in self.ids.items()}
         self.longest = max(map(len, self.ids))
         self.special = [t["content"] for t in described["added_tokens"]]
@@ -72,8 +76,9 @@ class PrefixCounter:
         self.pieces = regex.compile(public_tokenizers.PATTERN)
         self.fits: dict[tuple[int, int], bool] = {}
         self.stands: dict[int, bool] = {}
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
         self.prefixes: dict[bytes, tuple[int, int]] = {}
+        self.spaces = regex.compile(r"\s\s")
         self.unknown = regex.compile("[" + "".join(map(chr, UNKNOWN)) + "]")
 
     def encode_bytes(self, data: bytes) -> list[int]:
@@ -95,13 +100,31 @@ class PrefixCounter:
         return self.stands[token]
 
     def _fits(self, left: int, right: int) -> bool:
+        """Whether the two tokens, put together, encode to themselves.
+
+        Undoes merges from the last to the first and asks whether the neighbours at the border would
+        have merged before the merge that was undone; at equal rank the one further left goes first.
+        """
         pair = (left, right)
-        if pair not in self.fits:
-            if len(self.fits) > 4_000_000:
+        fits = self.fits.get(pair)
+        if fits is None:
+            if len(self.fits) > CACHED_PAIRS:
                 self.fits.clear()
-            data = self.bytes_of[left] + self.bytes_of[right]
-            self.fits[pair] = self.encode_bytes(data) == [left, right]
-        return self.fits[pair]
+            merges, made, before, fits = self.merges, self.made, len(self.merges), True
+            while fits:
+                merge = merges.get((left, right))
+                if merge is not None and merge[0] < before:
+                    fits = False
+                    break
+                undo_left, undo_right = made.get(left), made.get(right)
+                if undo_left is not None and (undo_right is None or undo_left[0] > undo_right[0]):
+                    before, left = undo_left[0], undo_left[2]
+                elif undo_right is not None:
+                    before, right = undo_right[0] + 1, undo_right[1]
+                else:
+                    break
+            self.fits[pair] = fits
+        return fits
 
     def byte_counts(self, data: bytes) -> list[int]:
         """Tokens of data[:0], data[:1], ... up to the whole.
@@ -116,7 +139,9 @@ class PrefixCounter:
         for end in range(1, len(data) + 1):
             known = prefixes.get(data[:end]) if end <= CACHED_LENGTH else None
             if known is None:
-                for start in range(max(0, end - longest), end):
+                # Exactly one start fits. Mostly the last token grows, or the new byte stands alone.
+                grown = end - 1 - len(self.bytes_of[last[-1]]) if end > 1 else 0
+                for start in (grown, end - 1, *range(max(0, end - longest), end - 1)):
                     token = ids.get(data[start:end])
                     if token is not None and (
                         self._fits(last[start], token) if start else self._stands(token)
@@ -129,23 +154,30 @@ class PrefixCounter:
             counts.append(known[1])
         return counts
 
-    def piece_counts(self, piece: str) -> np.ndarray:
+    def piece_counts(self, piece: str) -> list[int]:
         """Tokens of each prefix of one piece, by code points, without the empty one."""
-        found = self.known.get(piece)
-        if found is None:
-            counts = np.array(self.byte_counts(piece.encode()), np.int32)
-            if piece.isascii():
-                found = counts[1:]
-            else:
-                ends = np.cumsum([len(c.encode()) for c in piece])
-                found = counts[ends]
-            if piece in SPLIT_CONTRACTIONS:
-                found[1] = 2
-            if len(piece) <= CACHED_LENGTH:
-                if len(self.known) >= CACHED_PIECES:
-                    self.known.clear()
-                self.known[piece] = found
-        return found
+        found = self.byte_counts(piece.encode())
+        if not piece.isascii():
+            ends, at = [0], 0
+            for letter in piece:
+                at += len(letter.encode())
+                ends.append(at)
+            found = [found[end] for end in ends]
+        if piece in SPLIT_CONTRACTIONS:
+            found[2] = 2
+        return found[1:]
+
+    def _learn(self, pieces: list[str]) -> bool:
+        """Remembers the counts of short pieces; whether all pieces are short."""
+        short = True
+        if len(self.known) > CACHED_PIECES:
+            self.known.clear()
+        for piece in pieces:
+            if len(piece) > CACHED_LENGTH:
+                short = False
+            elif piece not in self.known:
+                self.known[piece] = bytes(self.piece_counts(piece))
+        return short
 
     def _pieces(self, text: str) -> list[str]:
         if text.isascii() or not self.unknown.search(text):
@@ -158,19 +190,27 @@ class PrefixCounter:
         if not text:
             return np.zeros(0, np.int32)
         pieces = self._pieces(text)
-        known, make = self.known, self.piece_counts
-        arrays = [known[p] if p in known else make(p) for p in pieces]
-        lengths = np.fromiter(map(len, arrays), np.int64, len(arrays))
+        try:
+            counts = np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.uint8)
+        except KeyError:
+            if self._learn(pieces):
+                counts = np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.uint8)
+            else:
+                known = self.known
+                counts = np.concatenate(
+                    [list(known[p]) if p in known else self.piece_counts(p) for p in pieces]
+                )
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ends = np.cumsum(lengths)
-        counts = np.concatenate(arrays)
-        totals = counts[ends - 1]
+        totals = counts[ends - 1].astype(np.int64)
         base = np.cumsum(totals) - totals
         counts = counts + np.repeat(base, lengths)
-        # A prefix that ends in white space has the whole run as its last piece.
-        for n in range(len(pieces) - 1):
-            if pieces[n].isspace() and pieces[n + 1][0].isspace():
-                run = make(pieces[n] + pieces[n + 1][0])
-                counts[ends[n]] = base[n] + run[-1]
+        if self.spaces.search(text):
+            # A prefix that ends in white space has the whole run as its last piece.
+            for n in range(len(pieces) - 1):
+                if pieces[n].isspace() and pieces[n + 1][0].isspace():
+                    run = self.piece_counts(pieces[n] + pieces[n + 1][0])
+                    counts[ends[n]] = base[n] + run[-1]
         return counts
 
     def prefix_counts(self, text: str) -> np.ndarray:
