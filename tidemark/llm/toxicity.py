@@ -15,7 +15,7 @@ from .common import quoted, text_of
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
 CHOSEN_BUCKETS = 1 << 12
-TRAINING_ROWS = 10_000  # labelled rows that a model is fitted on at most
+TRAINING_ROWS = 8_000  # labelled rows that a model is fitted on at most
 MULTIPLIER, MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -55,26 +55,25 @@ class Model:
 def fit(features: list[np.ndarray], labels: np.ndarray, *, rounds: int = 100, penalty: float = 1.0) -> Model:
     """Logistic regression on presence of buckets times their naive Bayes log-count ratio.
 
-    Full gradients with per-weight step sizes, from zero, so the same rows give the same model. With
+    ``features`` has the distinct buckets of each row. Full gradients with per-weight step sizes, from zero, so the same rows give the same model. With
     one class only, all texts score that class's smoothed share.
     """
     positive, rows = int(labels.sum()), len(labels)
     bias = float(np.log((positive + 1) / (rows - positive + 1)))
     if not 0 < positive < rows:
         return Model(np.zeros(BUCKETS, np.float32), bias)
-    columns, lengths = np.concatenate(features), np.array([len(f) for f in features])
-    row_of = np.repeat(np.arange(rows, dtype=np.int32), lengths)
-    is_positive = labels.astype(bool)[row_of]
-    with_label = 1.0 + np.bincount(columns[is_positive], minlength=BUCKETS)
-    without = 1.0 + np.bincount(columns[~is_positive], minlength=BUCKETS)
+    with_label, without = np.ones(BUCKETS), np.ones(BUCKETS)
+    for buckets, label in zip(features, labels):
+        (with_label if label else without)[buckets] += 1
     ratio = np.log(with_label / with_label.sum()) - np.log(without / without.sum())
     # Buckets that tell the classes apart; the many that occur everywhere have ratios near zero.
     telling = np.abs(ratio) * np.sqrt(with_label + without - 2)
     chosen = np.zeros(BUCKETS, bool)
     chosen[np.argsort(-telling, kind="stable")[:CHOSEN_BUCKETS]] = True
     ratio = np.where(chosen, ratio, 0.0)
-    kept = chosen[columns]
-    columns, row_of = columns[kept], row_of[kept]
+    kept = [buckets[chosen[buckets]] for buckets in features]
+    columns = np.concatenate(kept)
+    row_of = np.repeat(np.arange(rows, dtype=np.int32), [len(buckets) for buckets in kept])
     weights, seen, seen_bias = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8), 1e-8
     values = ratio[columns]
     for _ in range(rounds):
