@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import new_path
 
-from . import chat, mixing, secret_scan, token_counts, token_ids, toxicity, url_filter
+from . import chat, mixing, near_dup, secret_scan, token_counts, token_ids, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +73,9 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@registered
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "is_first")
