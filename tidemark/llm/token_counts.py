@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .common import quoted, text_of
+from .pieces import special_tokens, split
 
 TOKENIZER = "byte_bpe_50k.json"
 CACHED_PIECES = 500_000
@@ -26,18 +27,6 @@ CACHED_LENGTH = 48
 # Contractions that fall apart when their last letter is cut off.
 SPLIT_CONTRACTIONS = ("'re", "'ve", "'ll")
 
-# Letters and digits that the tokenizer library's character tables do not know yet,
-# and a character of the same kind (other than letter, digit or space) to stand for them.
-UNKNOWN_LETTERS = [
-    (0x11DE0, 0x11DE9),
-    (0x1246F, 0x1246F),
-    (0x12475, 0x1247F),
-    (0x12550, 0x12686),
-    (0x16FF4, 0x16FF6),
-]
-UNKNOWN = {n: "\U0010ffff" for first, last in UNKNOWN_LETTERS for n in range(first, last + 1)}
-
-
 def _byte_letters() -> dict[str, int]:
     """Letters that stand for bytes in byte-level vocabularies: printable ones for themselves, the
     others for letters from U+0100 on."""
@@ -71,15 +60,12 @@ class PrefixCounter:
             self.made[merged] = (rank, *pair)
         self.bytes_of = {number: token for token, number in self.ids.items()}
         self.longest = max(map(len, self.ids))
-        self.special = [t["content"] for t in described["added_tokens"]]
-        self.whole = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
-        self.pieces = regex.compile(public_tokenizers.PATTERN)
+        self.whole = special_tokens(described)
         self.fits: dict[tuple[int, int], bool] = {}
         self.stands: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.prefixes: dict[bytes, tuple[int, int]] = {}
         self.spaces = regex.compile(r"\s\s")
-        self.unknown = regex.compile("[" + "".join(map(chr, UNKNOWN)) + "]")
 
     def encode_bytes(self, data: bytes) -> list[int]:
         """Merge by rank; for the short strings of one or two tokens."""
@@ -179,17 +165,11 @@ class PrefixCounter:
                 self.known[piece] = bytes(self.piece_counts(piece))
         return short
 
-    def _pieces(self, text: str) -> list[str]:
-        if text.isascii() or not self.unknown.search(text):
-            return self.pieces.findall(text)
-        spans = (m.span() for m in self.pieces.finditer(text.translate(UNKNOWN)))
-        return [text[start:end] for start, end in spans]
-
     def _plain(self, text: str) -> np.ndarray:
         """Counts of the non-empty prefixes of a text without special tokens."""
         if not text:
             return np.zeros(0, np.int32)
-        pieces = self._pieces(text)
+        pieces = split(text)
         try:
             counts = np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.uint8)
         except KeyError:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -16,13 +18,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import quoted, text_of
+from .pieces import special_tokens, split
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 MAGIC = b"DAC1"
 SUPERBLOCK = 512  # bits per entry of a rank directory
 SEGMENT_TOKENS = 1 << 15
-ENCODED_BYTES = 1 << 19  # of text given to the tokenizer at once
+CACHED_PIECES, CACHED_LENGTH = 500_000, 48
 
 
 def dac_encode(ids: np.ndarray) -> bytes:
@@ -95,25 +98,53 @@ class DacReader:
         return values
 
 
-@cache
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    from tokenizers import Tokenizer
+class Encoder:
+    """Ids as the tokenizer library gives them for the whole text.
+
+    The library cuts a text at special tokens, then into pieces, and encodes each piece by itself. So
+    it is asked for each different piece once, and texts are put together from what it said.
+    """
 
-    return Tokenizer.from_file(path)
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            self.special = special_tokens(json.load(file))
+        self.known: dict[str, bytes] = {}
+
+    def _ask(self, pieces: list[str]) -> Iterator[bytes]:
+        for start in range(0, len(pieces), 4096):
+            some = pieces[start : start + 4096]
+            for encoding in self.library.encode_batch_fast(some, add_special_tokens=False):
+                yield array("I", encoding.ids).tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        pieces = split(text)
+        try:
+            return b"".join(map(self.known.__getitem__, pieces))
+        except KeyError:
+            fresh = list({piece for piece in pieces if piece not in self.known})
+            if len(self.known) + len(fresh) > CACHED_PIECES:
+                self.known.clear()
+                fresh = list(set(pieces))
+            found = dict(zip(fresh, self._ask(fresh)))
+            ids = b"".join([found.get(piece) or self.known[piece] for piece in pieces])
+            self.known.update((piece, value) for piece, value in found.items() if len(piece) <= CACHED_LENGTH)
+            return ids
+
+    def encode(self, text: str) -> np.ndarray:
+        parts, at = [], 0
+        for special in self.special.finditer(text):
+            parts += [self._plain(text[at : special.start()]), *self._ask([special[0]])]
+            at = special.end()
+        return np.frombuffer(b"".join([*parts, self._plain(text[at:])]), np.uint32)
 
 
-def _encoded(texts: list[str], path: str) -> Iterator[list[int]]:
-    """Ids of each text, encoded in groups so that little is held at once."""
-    group, size = [], 0
-    for text in texts:
-        group.append(text)
-        size += len(text)
-        if size >= ENCODED_BYTES:
-            yield from (e.ids for e in _tokenizer(path).encode_batch_fast(group, add_special_tokens=False))
-            group, size = [], 0
-    if group:
-        yield from (e.ids for e in _tokenizer(path).encode_batch_fast(group, add_special_tokens=False))
+@cache
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def write_token_ids(
@@ -159,10 +190,10 @@ def write_token_ids(
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema)], schema=schema)
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), _encoded(batch.column(1).to_pylist(), path)):
-                ids.append(end_id)
-                parts.append(np.array(ids, np.uint32))
-                size += len(ids)
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = encoder(path).encode(text.as_py())
+                parts += [ids, np.array([end_id], np.uint32)]
+                size += len(ids) + 1
                 keys.append(doc)
                 ends.append(size)
                 if size >= SEGMENT_TOKENS:
