@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import new_path
 
-from . import chat, mixing, near_dup, secret_scan, token_counts, token_ids, toxicity, url_filter
+from . import chat, decontam, mixing, near_dup, secret_scan, token_counts, token_ids, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "is_first")
+
+
+@registered
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontam.find_contained(docs, items).drop("row")

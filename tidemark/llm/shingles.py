@@ -18,9 +18,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def stream(seeds: np.ndarray, number: int) -> np.ndarray:
+def stream(seeds: np.ndarray, number: int | np.ndarray) -> np.ndarray:
     """The number-th random value of each seed."""
-    return mix(seeds + _GOLDEN * np.uint64(number))
+    return mix(seeds + _GOLDEN * np.atleast_1d(np.asarray(number, np.uint64)))
 
 
 _BYTES = stream(np.arange(256, dtype=np.uint64), 1)
