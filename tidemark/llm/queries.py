@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import new_path
 
-from . import chat, decontam, mixing, near_dup, secret_scan, token_counts, token_ids, toxicity, url_filter
+from . import ann, chat, decontam, mixing, near_dup, secret_scan, token_counts, token_ids, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,8 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontam.find_contained(docs, items).drop("row")
+
+
+@registered
+def op6_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)

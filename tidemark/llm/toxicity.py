@@ -151,6 +151,20 @@ def score_toxicity(docs: DataFrame, model: Model, *, key: str = "doc_id", text:
     return texts.mapInArrow(score, "key long, score double").withColumnRenamed("key", key)
 
 
+def drop_toxic(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text scores below the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted, last = shared.value, np.zeros(BUCKETS, np.int32)
+        for batch in batches:
+            scores = [fitted.score(t.as_py() or "", last) for t in batch.column(place)]
+            yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def judge_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id") -> DataFrame:
     """(key, held_out, score, predicted) with a model trained on the rows that are not held out."""
     scored = score_toxicity(docs, train(docs, labels, key=key), key=key)
