@@ -17,14 +17,14 @@ from .shingles import WORDS_PER_SHINGLE, mix, shingle_hashes, stream, words_of
 
 THRESHOLD = 0.8
 HASHES = 64
-SMALLEST_CLASS = 3  # items of up to 16 shingles share a class
+SMALLEST_CLASS = 0
 CHUNK = 4096  # shingles hashed at once
 FILTER_BITS = 27  # a filter of item keys has at most 2^27 bits, 16 MB
 _MULTIPLIERS = stream(np.arange(HASHES, dtype=np.uint64), 7) | np.uint64(1)
 
 
 def size_class(length: int) -> int:
-    """Items of 2^c to 2^(c+1) - 1 shingles are of class c; small ones share the smallest class."""
+    """Items of 2^c to 2^(c+1) - 1 shingles are of class c."""
     return max(SMALLEST_CLASS, length.bit_length() - 1)
 
 
