@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
 import public_tokenizers
 import regex
 
@@ -16,7 +19,32 @@ UNKNOWN_LETTERS = [
 ]
 UNKNOWN = {n: "\U0010ffff" for first, last in UNKNOWN_LETTERS for n in range(first, last + 1)}
 _PIECES = regex.compile(public_tokenizers.PATTERN)
-_UNKNOWN = regex.compile("[" + "".join(map(chr, UNKNOWN)) + "]")
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+_UNKNOWN = re.compile("[" + "".join(map(chr, UNKNOWN)) + "]")
+
+
+def _ranges(kind: str) -> str:
+    """The characters below U+10000 of a kind, as the inside of a character class."""
+    wanted, found = regex.compile(kind), []
+    for n in range(0x10000):
+        if not 0xD800 <= n < 0xE000 and wanted.match(chr(n)):
+            if found and found[-1][1] == n - 1:
+                found[-1][1] = n
+            else:
+                found.append([n, n])
+    return "".join(f"\\u{first:04x}-\\u{last:04x}" for first, last in found)
+
+
+@cache
+def _basic() -> re.Pattern:
+    """The same pattern for texts without characters above U+FFFF, with its classes spelled out: tables
+    of this kind are looked up several times as fast."""
+    pattern = public_tokenizers.PATTERN
+    outside = "[^" + _ranges(r"\s") + _ranges(r"\p{L}") + _ranges(r"\p{N}") + "]"
+    pattern = pattern.replace(r"[^\s\p{L}\p{N}]", outside)
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        pattern = pattern.replace(kind, f"[{_ranges(kind)}]")
+    return re.compile(pattern.replace(r"\S", f"[^{_ranges(chr(92) + 's')}]"))
 
 
 def special_tokens(described: dict) -> regex.Pattern:
@@ -27,7 +55,9 @@ def special_tokens(described: dict) -> regex.Pattern:
 
 def split(text: str) -> list[str]:
     """The pieces of a text without special tokens; put together, they are the text."""
-    if text.isascii() or not _UNKNOWN.search(text):
+    if text.isascii() or not _BEYOND.search(text):
+        return _basic().findall(text)
+    if not _UNKNOWN.search(text):
         return _PIECES.findall(text)
     spans = (m.span() for m in _PIECES.finditer(text.translate(UNKNOWN)))
     return [text[start:end] for start, end in spans]
