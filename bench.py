@@ -29,12 +29,16 @@ HEADLINE = [
     "changelog_roundtrip",
     "field_diff",
     "render_text",
+    "changesets_json",
+    "nested_changesets",
+    "entity_history",
     "profile_keys",
     "resolve_entities",
     "schema_drift",
     "schema_timeline",
     "stream_sessions",
     "stream_changesets",
+    "capture_stream",
 ]
 
 

@@ -18,7 +18,7 @@ from .queries import (
 LOG = """
 e0 AS (
   SELECT event_id AS id,
-    CASE user_id % 3 WHEN 0 THEN 'course' WHEN 1 THEN 'billing' ELSE 'class' END AS entity_type,
+    CASE user_id % 3 WHEN 0 THEN 'vessel' WHEN 1 THEN 'voyage' ELSE 'crew' END AS entity_type,
     CAST(user_id AS VARCHAR) AS entity_id,
     CASE WHEN event_id % 4 = 0 THEN 'root' ELSE 'child' || (event_id % 3) END AS table_name,
     CAST(event_id % 50 AS VARCHAR) AS row_id,
@@ -39,7 +39,7 @@ log AS (
 
 SKEWED = """,
 skewed AS (
-  SELECT id, CASE WHEN id % 3 = 0 THEN 'course' ELSE entity_type END AS entity_type,
+  SELECT id, CASE WHEN id % 3 = 0 THEN 'vessel' ELSE entity_type END AS entity_type,
     CASE WHEN id % 3 = 0 THEN 'hot' ELSE entity_id END AS entity_id,
     table_name, row_id, operation, transaction_id, created_at
   FROM log)"""
@@ -90,8 +90,20 @@ RANGE = f"created_at >= TIMESTAMP '{SINCE}' AND created_at <= TIMESTAMP '{UNTIL}
 ONE_ENTITY = f"entity_type = '{ENTITY[0]}' AND entity_id = '{ENTITY[1]}'"
 
 
+def joined_parts(*parts: str) -> str:
+    text = "CAST({} AS VARCHAR)"
+    return " || ".join(
+        f"coalesce(length({text.format(p)}) || ':' || {text.format(p)}, '-')" for p in parts
+    )
+
+
 def content_id(*parts: str) -> str:
-    return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 15) AS BIGINT)"
+    bits = f"CAST('0x' || substr(md5({joined_parts(*parts)}), 1, 16) AS UBIGINT)"
+    return f"CAST({bits} & CAST(9223372036854775807 AS UBIGINT) AS BIGINT)"
+
+
+def content_hash(*parts: str) -> str:
+    return f"sha256({joined_parts(*parts)})"
 
 
 def values_list(rows) -> str:
@@ -132,7 +144,8 @@ def _changed() -> str:
     return f"array_to_string(list_transform({changed}, lambda k: {pair}), ', ')"
 
 
-def text_sql(verbose: bool) -> str:
+def text_lines_sql(verbose: bool) -> str:
+    """Common table expressions up to ``lines``: (entity, version, position, text)."""
     deleted = f"'     DELETE  ' || {_fields('old_values', False)}" if verbose else "'     DELETE'"
     return f"""
 WITH {LOG}{versions()},
@@ -145,16 +158,24 @@ blocks AS (
 named AS (
   SELECT entity_type, entity_id, version, string_agg(table_name, ', ' ORDER BY p) AS tables
   FROM (SELECT entity_type, entity_id, version, table_name, min(position) AS p
-        FROM versioned GROUP BY ALL) GROUP BY ALL)
-SELECT entity_type, entity_id, version, CAST(0 AS BIGINT) AS part,
-  'changeset v' || version || '  [tx: ' || substr(any_value(changeset_transaction_id), 1, 8) || ']  '
-  || strftime(any_value("timestamp"), '%Y-%m-%d %H:%M:%S') || ' UTC' || chr(10)
-  || '  tables: ' || any_value(tables) || chr(10)
-  || string_agg(block, chr(10) ORDER BY position) AS text
-FROM blocks JOIN named USING (entity_type, entity_id, version) GROUP BY entity_type, entity_id, version
+        FROM versioned GROUP BY ALL) GROUP BY ALL),
+lines AS (
+  SELECT entity_type, entity_id, version, position, block AS text FROM blocks
+  UNION ALL
+  SELECT entity_type, entity_id, version, 0,
+    'changeset v' || version || '  [tx: ' || substr(any_value(changeset_transaction_id), 1, 8) || ']  '
+    || strftime(any_value("timestamp"), '%Y-%m-%d %H:%M:%S') || ' UTC' || chr(10)
+    || '  tables: ' || any_value(tables)
+  FROM blocks JOIN named USING (entity_type, entity_id, version) GROUP BY entity_type, entity_id, version)
 """
 
 
+def text_sql() -> str:
+    return f"""{text_lines_sql(False)}
+SELECT entity_type, entity_id, version, string_agg(text, chr(10) ORDER BY position) AS text
+FROM lines GROUP BY entity_type, entity_id, version"""
+
+
 # --- the fleet of databases ------------------------------------------------------------------
 
 
@@ -290,8 +311,7 @@ drift AS (
     coalesce(string_agg(name, ',' ORDER BY new_ordinal) FILTER (WHERE change = 'modified'), '') AS modified_columns
   FROM pairs GROUP BY ALL HAVING count(change) > 0)"""
 
-RECORDED_TX = f"""sha256(concat_ws(':', schema_name, table_name,
-  epoch_us(TIMESTAMP '{CAPTURED_AT}')))"""
+RECORDED_TX = content_hash("schema_name", "table_name", f"epoch_us(TIMESTAMP '{CAPTURED_AT}')")
 
 RECORDED = f"""{DRIFT},
 recorded AS (
@@ -308,7 +328,7 @@ followed AS (
   FROM snaps WHERE k < 3
   WINDOW w AS (PARTITION BY schema_name, table_name ORDER BY captured_at, id)),
 timeline AS (
-  SELECT *, sha256(concat_ws(':', schema_name, table_name, epoch_us(captured_at), id)) AS transaction_id
+  SELECT *, {content_hash('schema_name', 'table_name', 'epoch_us(captured_at)', 'id')} AS transaction_id
   FROM followed WHERE old_json IS NOT NULL AND old_compared <> compared),
 timeline_changes AS (
   SELECT tl.schema_name, tl.table_name, tl.k, tl.transaction_id, tl.captured_at, c.*
@@ -347,7 +367,8 @@ def _key_check(a: str, x: str, b: str, y: str) -> str:
 def _resolved_changes(source: str) -> str:
     image = "CASE WHEN operation = 'DELETE' THEN old_values ELSE new_values END"
     key = "json_extract_string({i}, '$.' || {k})"
-    row = f"array_to_string(list_transform(row_key_cols, lambda c: {key.format(i=image, k='c')}), ',')"
+    keys = f"list_transform(row_key_cols, lambda c: {key.format(i=image, k='c')})"
+    row = f"CASE WHEN len(row_key_cols) > 1 THEN CAST(to_json({keys}) AS VARCHAR) ELSE {keys}[1] END"
     return f""",
 resolved AS (
   SELECT l.*, m_entity_type AS r_entity_type,
@@ -390,7 +411,7 @@ changes AS (
     WHERE a.c <> b.c OR a.st <> b.st OR a.p <> b.p
   UNION ALL SELECT 'INSERT', k, c, NULL, a FROM after a WHERE k NOT IN (SELECT k FROM before)
   UNION ALL SELECT 'DELETE', k, c, b, NULL FROM before b WHERE k NOT IN (SELECT k FROM after))
-SELECT {content_id("'orders'", 'k', 'operation', "'snapshot-1'")} AS id, 'customer' AS entity_type,
+SELECT {content_id("'customer'", "'orders'", 'k', 'operation', "'snapshot-1'", f"epoch_us(TIMESTAMP '{CAPTURED_AT}')")} AS id, 'customer' AS entity_type,
   CAST(c AS VARCHAR) AS entity_id, 'orders' AS table_name, CAST(k AS VARCHAR) AS row_id, operation,
   '{{"k":' || o.k || ',"c":' || o.c || ',"st":"' || o.st || '","p":' || o.p || '}}' AS old_values,
   '{{"k":' || n.k || ',"c":' || n.c || ',"st":"' || n.st || '","p":' || n.p || '}}' AS new_values,
@@ -400,7 +421,7 @@ FROM changes""",
 SELECT id, r_entity_type AS entity_type, r_entity_id AS entity_id, table_name, r_row_id AS row_id,
   operation, old_values, new_values,
   CASE WHEN id % 2 = 0 THEN transaction_id ELSE
-    sha256(concat_ws(':', table_name, r_row_id, operation, epoch_us(created_at), id)) END
+    {content_hash('table_name', 'r_row_id', 'operation', 'epoch_us(created_at)', 'id')} END
     AS transaction_id, created_at
 FROM resolved""",
     "capture_stream": f"""WITH {LOG},
@@ -416,11 +437,11 @@ SELECT id, table_name, operation, r_entity_type AS entity_type, r_entity_id AS e
   CASE WHEN o_orderpriority = '1-URGENT' THEN '"1-URGENT"' ELSE 'null' END || '}' AS image FROM orders""",
     "assign_transaction_id": f"""WITH {LOG}
 SELECT id AS seq, CASE WHEN id % 2 = 0 THEN transaction_id ELSE
-  sha256(concat_ws(':', table_name, row_id, operation, epoch_us(created_at), id)) END AS transaction_id
+  {content_hash('table_name', 'row_id', 'operation', 'epoch_us(created_at)', 'id')} END AS transaction_id
 FROM log""",
-    "query_changelog": f"WITH {LOG} SELECT * FROM log WHERE entity_type = 'course' ORDER BY created_at, id",
+    "query_changelog": f"WITH {LOG} SELECT * FROM log WHERE entity_type = 'vessel' ORDER BY created_at, id",
     "query_changelog_range": f"WITH {LOG} SELECT * FROM log WHERE {RANGE} ORDER BY created_at, id",
-    "query_changelog_topk": f"""WITH {LOG} SELECT * FROM log WHERE entity_type = 'billing'
+    "query_changelog_topk": f"""WITH {LOG} SELECT * FROM log WHERE entity_type = 'voyage'
 ORDER BY created_at, id LIMIT 100""",
     "transaction_groups": f"""WITH {LOG}
 SELECT transaction_id, count(*) AS "count", min(created_at) AS min_created_at,
@@ -493,8 +514,8 @@ FROM timeline_changes""",
     "format_value": f"""WITH {LOG},
 fields AS (SELECT id, new_values, unnest(json_keys(new_values)) AS field FROM log WHERE new_values IS NOT NULL)
 SELECT id, field, {_value('new_values', 'field')} AS text FROM fields""",
-    "render_text": text_sql(verbose=False),
-    "render_text_verbose": text_sql(verbose=True),
+    "render_text": text_sql(),
+    "render_text_verbose": f"{text_lines_sql(True)} SELECT * FROM lines",
     "render_schema_text": f"""WITH {TIMELINE},
 lines_of AS (
   SELECT transaction_id, string_agg(CASE change
@@ -506,7 +527,7 @@ entries AS (
   SELECT {SCHEMA_ENTRY}, schema_name, transaction_id, captured_at AS created_at,
     '  -- ' || table_name || coalesce(chr(10) || changes, '') AS block
   FROM timeline LEFT JOIN lines_of USING (transaction_id)){versions('entries', 'schema_name, entity_type, entity_id', 0)}
-SELECT schema_name, entity_type, entity_id, version, CAST(0 AS BIGINT) AS part,
+SELECT schema_name, entity_type, entity_id, version,
   'schema change  ' || strftime(any_value("timestamp"), '%Y-%m-%d %H:%M:%S') || ' UTC' || chr(10)
   || string_agg(block, chr(10) ORDER BY position) AS text
 FROM versioned GROUP BY schema_name, entity_type, entity_id, version""",

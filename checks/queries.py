@@ -21,7 +21,7 @@ from tidemark.streaming.sessions import stream_sessions
 WINDOW = td.DERIVED_WINDOW_MS
 CAPTURED_AT = "2024-03-01 12:00:00"
 SINCE, UNTIL = "2024-01-10 00:00:00", "2024-01-20 12:00:00"
-ENTITY = ("billing", "7")
+ENTITY = ("voyage", "7")
 
 CANDIDATE_KEYS = [
     ("nation", "n_regionkey", "region", "r_regionkey"),
@@ -38,14 +38,14 @@ CANDIDATE_KEYS = [
     ("orders", "o_orderkey", "lineitem", "l_orderkey"),
 ]
 FEED_MAP = [
-    ("course", "root", True, "id", ["id"]),
-    ("course", "child0", False, "k", ["id"]),
-    ("course", "child1", False, "k", ["id"]),
-    ("billing", "child2", False, "kind", ["k", "id"]),
+    ("vessel", "root", True, "id", ["id"]),
+    ("vessel", "child0", False, "k", ["id"]),
+    ("vessel", "child1", False, "k", ["id"]),
+    ("voyage", "child2", False, "kind", ["k", "id"]),
 ]
 COVERAGE_MAP = [
     (entity, name, name == "root", "id", ["id"])
-    for entity in ("billing", "class", "course")
+    for entity in ("voyage", "crew", "vessel")
     for name in ("root", "child0", "child1", "child2", "child3")
 ]
 
@@ -205,7 +205,7 @@ def assign_transaction_id(spark, sf):
 
 @registered
 def query_changelog(spark, sf):
-    return query.query_changelog(td.stored_changelog(spark, sf), entity_type="course")
+    return query.query_changelog(td.stored_changelog(spark, sf), entity_type="vessel")
 
 
 @registered
@@ -215,7 +215,7 @@ def query_changelog_range(spark, sf):
 
 @registered
 def query_changelog_topk(spark, sf):
-    return query.query_changelog(td.stored_changelog(spark, sf), entity_type="billing", limit=100)
+    return query.query_changelog(td.stored_changelog(spark, sf), entity_type="voyage", limit=100)
 
 
 @registered
@@ -279,17 +279,18 @@ def versions_hot_entity(spark, sf):
 
 @registered
 def entity_history(spark, sf):
+    """On the stored changelog, so that type and dates prune folders."""
     return changesets.entity_history(
-        td.log(spark, sf), *ENTITY, since=SINCE, until=UNTIL, window_ms=WINDOW
-    )
+        td.stored_changelog(spark, sf), *ENTITY, since=SINCE, until=UNTIL, window_ms=WINDOW
+    ).drop("created_date", "schema_name")
 
 
 @registered
 def entity_history_full(spark, sf):
     return changesets.entity_history(
-        td.log(spark, sf), *ENTITY, since=SINCE, until=UNTIL, window_ms=WINDOW,
+        td.stored_changelog(spark, sf), *ENTITY, since=SINCE, until=UNTIL, window_ms=WINDOW,
         versions="full",
-    )
+    ).drop("created_date", "schema_name")
 
 
 @registered
@@ -372,12 +373,12 @@ def format_values(spark, sf):
 
 @registered
 def render_text(spark, sf):
-    return render.render_text(td.log(spark, sf), WINDOW)
+    return render.whole_text(render.render_text(td.log(spark, sf), WINDOW))
 
 
 @registered
 def render_text_verbose(spark, sf):
-    """In printing order."""
+    """Line by line, in printing order."""
     return render.newest_first(render.render_text(td.log(spark, sf), WINDOW, verbose=True))
 
 
@@ -386,7 +387,7 @@ def render_schema_text(spark, sf):
     """Schema changes as text, one database as one history."""
     entries = drift.schema_timeline(td.stored(spark, sf, td.fleet_snapshots))
     scope = ["schema_name", "entity_type", "entity_id"]
-    return render.render_text(entries, 0, scope=scope)
+    return render.whole_text(render.render_text(entries, 0, scope=scope), scope)
 
 
 @registered
@@ -398,7 +399,7 @@ def changesets_json(spark, sf):
         "operations array<struct<id:string, operation:string, createdAt:string, "
         "newValues:struct<kind:string>>>",
     )
-    documents = render.changesets_json(td.log(spark, sf), WINDOW)
+    documents = render.whole_documents(render.changesets_json(td.log(spark, sf), WINDOW))
     return documents.select("entity_type", "entity_id", parsed.alias("d")).select(
         "entity_type",
         "entity_id",

@@ -39,9 +39,9 @@ def make_log(spark):
         for number, (tx, offset, *more) in enumerate(rows, start=1):
             entry = {
                 "id": number,
-                "entity_type": "course",
+                "entity_type": "vessel",
                 "entity_id": "42",
-                "table_name": "course",
+                "table_name": "vessel",
                 "row_id": "42",
                 "operation": "UPDATE",
                 "old_values": None,

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import START, rows
+from tidemark.functions.ids import content_hash
 from tidemark.operators import capture
 from tidemark.schemas import ENTITY_MAP
 
@@ -75,14 +76,14 @@ def test_capture_repeats_itself(spark):
 def feed(spark):
     return spark.createDataFrame(
         [
-            (1, "course", "insert", None, '{"id":42,"name":"x"}', "t1", START),
-            (2, "upsell", "INSERT", None, '{"id":7,"courseId":42}', "t1", START),
-            (3, "upsell", "UPDATE", '{"id":7,"courseId":42}', '{"id":7,"courseId":43}', "t2", START),
-            (4, "upsell", "DELETE", '{"id":7,"courseId":43}', None, None, START),
-            (5, "course", "UPDATE", '{"id":42}', '{"id":42}', "t3", START),
-            (6, "upsell", "INSERT", None, '{"id":8,"courseId":null}', "t4", START),
+            (1, "vessel", "insert", None, '{"id":42,"name":"x"}', "t1", START),
+            (2, "cabin", "INSERT", None, '{"id":7,"vesselId":42}', "t1", START),
+            (3, "cabin", "UPDATE", '{"id":7,"vesselId":42}', '{"id":7,"vesselId":43}', "t2", START),
+            (4, "cabin", "DELETE", '{"id":7,"vesselId":43}', None, None, START),
+            (5, "vessel", "UPDATE", '{"id":42}', '{"id":42}', "t3", START),
+            (6, "cabin", "INSERT", None, '{"id":8,"vesselId":null}', "t4", START),
             (7, "other", "INSERT", None, '{"id":1}', "t5", START),
-            (8, "course", "TRUNCATE", None, '{"id":42}', "t6", START),
+            (8, "vessel", "TRUNCATE", None, '{"id":42}', "t6", START),
         ],
         "seq long, table_name string, operation string, old_values string, new_values string, "
         "transaction_id string, created_at timestamp",
@@ -92,7 +93,7 @@ def feed(spark):
 @pytest.fixture
 def entity_map(spark):
     return spark.createDataFrame(
-        [("course", "course", True, "id", ["id"]), ("course", "upsell", False, "courseId", ["id"])],
+        [("vessel", "vessel", True, "id", ["id"]), ("vessel", "cabin", False, "vesselId", ["id"])],
         ENTITY_MAP,
     )
 
@@ -100,11 +101,11 @@ def entity_map(spark):
 def test_change_feed(feed, entity_map):
     entries, rejects = capture.split_rejects(capture.capture_change_feed(feed, entity_map))
     assert rows(entries, "id", "entity_type", "entity_id", "row_id", "operation") == [
-        (1, "course", "42", "42", "INSERT"),
-        (2, "course", "42", "7", "INSERT"),
-        (3, "course", "43", "7", "UPDATE"),
-        (4, "course", "43", "7", "DELETE"),
-        (5, "course", "42", "42", "UPDATE"),
+        (1, "vessel", "42", "42", "INSERT"),
+        (2, "vessel", "42", "7", "INSERT"),
+        (3, "vessel", "43", "7", "UPDATE"),
+        (4, "vessel", "43", "7", "DELETE"),
+        (5, "vessel", "42", "42", "UPDATE"),
     ]
     # No owner, unknown operation; the table outside the map is not captured at all.
     assert rows(rejects, "id") == [(6,), (8,)]
@@ -114,6 +115,48 @@ def test_change_feed(feed, entity_map):
     assert {(r.old_values, r.new_values) for r in bare.collect()} == {(None, None)}
 
 
+def test_every_row_of_a_mapped_table_is_an_entry_or_a_reject(spark, feed, entity_map, tmp_path):
+    from tidemark.sources.changelog import read_changelog, write_changelog
+
+    log, rejects = str(tmp_path / "log"), str(tmp_path / "rejects")
+    captured = capture.capture_change_feed(feed, entity_map)
+    write_changelog(captured, log, rejects)
+    kept, refused = read_changelog(spark, log), spark.read.parquet(rejects)
+    mapped = feed.join(entity_map, "table_name", "left_semi")
+    assert kept.count() + refused.count() == mapped.count() and rows(refused, "id") == [(6,), (8,)]
+    with pytest.raises(Exception, match="not a changelog entry"):
+        write_changelog(captured, str(tmp_path / "other"))
+
+
+def test_a_table_has_one_owner(spark, feed, entity_map):
+    twice = entity_map.unionByName(entity_map.limit(1).withColumn("entity_type", F.lit("other")))
+    with pytest.raises(ValueError, match="owners"):
+        capture.capture_change_feed(feed, twice)
+
+
+def test_one_map_for_many_databases(spark, feed, entity_map):
+    databases = spark.createDataFrame([("north",), ("south",)], "schema_name string")
+    own = F.concat("schema_name", F.lit("/"), "entity_type")
+    fleet_map = entity_map.crossJoin(databases).withColumn("entity_type", own)
+    fleet = feed.filter("seq <= 5").crossJoin(databases)
+    got = capture.capture_change_feed(fleet, fleet_map)
+    assert got.count() == 10 and got.filter("entity_type <> concat(schema_name, '/vessel')").count() == 0
+
+
+def test_keys_and_ids_tell_rows_apart(spark):
+    key = spark.createDataFrame([("a,b", "c"), ("a", "b,c"), (None, "c")], "x string, `y.z` string")
+    none = key.limit(0)
+    got = capture.capture_snapshot_diff(
+        none, key, ["x", "y.z"], table_name="t", entity_type="e", entity_key_col="y.z",
+        captured_at=START, transaction_id="s",
+    )
+    assert rows(got, "row_id") == [('["a","b,c"]',), ('["a,b","c"]',), (None,)]
+    assert rows(got, "entity_id") == [("b,c",), ("c",), ("c",)]
+    assert got.select("id").distinct().count() == 3 and got.filter("id < 0").count() == 0
+    parts = spark.createDataFrame([("a:b", "c"), ("a", "b:c"), (None, ""), ("", None)], "x string, y string")
+    assert parts.select(content_hash(F.col("x"), F.col("y"))).distinct().count() == 4
+
+
 @pytest.mark.parametrize("limit", [100, 0])
 def test_keyed_changes(spark, limit):
     changes = spark.createDataFrame(
@@ -132,12 +175,12 @@ def test_stored_changelog_prunes_folders(spark, make_log, tmp_path):
     from tidemark.sources.changelog import read_changelog, write_changelog
 
     day = 86_400_000
-    log = make_log(("t1", 0), ("t2", day), ("t3", 2 * day, {"entity_type": "class"}))
+    log = make_log(("t1", 0), ("t2", day), ("t3", 2 * day, {"entity_type": "crew"}))
     write_changelog(log, str(tmp_path / "log"))
     write_changelog(log.withColumn("id", F.col("id") + 10), str(tmp_path / "log"))
     stored = read_changelog(spark, str(tmp_path / "log"))
     assert stored.count() == 6
-    found = query_changelog(stored, "course", "42", since="2026-02-16 00:00:00")
+    found = query_changelog(stored, "vessel", "42", since="2026-02-16 00:00:00")
     assert [r.id for r in found.collect()] == [2, 12]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "created_date" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]

@@ -101,7 +101,7 @@ def random_log(spark):
         tx = f"x{random.randrange(400)}" if random.random() < 0.4 else f"a{number}"
         at = START + timedelta(microseconds=random.randrange(60_000) * 700)
         entries.append(
-            (number, "course", entity, f"t{number % 5}", str(number), "UPDATE", None, None, tx, at)
+            (number, "vessel", entity, f"t{number % 5}", str(number), "UPDATE", None, None, tx, at)
         )
     return spark.createDataFrame(entries, CHANGELOG).repartition(5), entries
 
@@ -201,15 +201,15 @@ def test_history_of_a_time_range(make_log):
     log = make_log(("tx1", 0), ("tx1", 1000), ("a1", 2000), ("a2", 9000), ("tx2", 9100))
     since = START + timedelta(milliseconds=1000)
     until = START + timedelta(milliseconds=9000)
-    sliced = cs.entity_history(log, "course", "42", since=since, until=until)
+    sliced = cs.entity_history(log, "vessel", "42", since=since, until=until)
     # Both bounds are inclusive; the cut transaction counts as autocommit.
     assert rows(sliced, "id", "version") == [(2, 1), (3, 2), (4, 3)]
-    whole = cs.entity_history(log, "course", "42", since=since, until=until, versions="full")
+    whole = cs.entity_history(log, "vessel", "42", since=since, until=until, versions="full")
     assert rows(whole, "id", "version") == [(2, 1), (3, 2), (4, 3)]
     assert rows(whole, "id", "n_operations") == [(2, 2), (3, 1), (4, 2)]
-    second = cs.entity_history(log, "course", "42", since=since, version=2)
+    second = cs.entity_history(log, "vessel", "42", since=since, version=2)
     assert rows(second, "id") == [(3,)]
-    assert cs.entity_history(log, "course", "43").count() == 0
+    assert cs.entity_history(log, "vessel", "43").count() == 0
 
 
 def test_empty_filter_values_mean_no_filter(make_log):
@@ -217,7 +217,7 @@ def test_empty_filter_values_mean_no_filter(make_log):
 
     log = make_log(("a1", 5), ("a2", 0), ("a3", 9))
     assert [r.id for r in query_changelog(log, "", "", limit=0).collect()] == [2, 1, 3]
-    assert [r.id for r in query_changelog(log, "course", limit=2).collect()] == [2, 1]
+    assert [r.id for r in query_changelog(log, "vessel", limit=2).collect()] == [2, 1]
 
 
 def test_statistics(make_log):
@@ -232,3 +232,24 @@ def test_statistics(make_log):
     stats = changelog_stats(log).first()
     assert (stats.total, stats.entity_types, stats.oldest) == (3, 1, START)
     assert changelog_stats(log.filter(F.lit(False))).first().total == 0
+
+
+@pytest.mark.parametrize("limit", [100, 0])
+def test_null_scopes_and_transactions_lose_no_entry(make_log, limit):
+    log = make_log(
+        ("t1", 0), ("t1", 1), ("t2", 2000, {"entity_id": None}), ("t2", 2001, {"entity_id": None}),
+        (None, 9000), ("t3", 9000, {"entity_id": None}),
+    )
+    flat = cs.assign_versions(log, heavy_rows=limit)
+    assert flat.count() == 6
+    sizes = cs.build_changesets(log, heavy_rows=limit)
+    assert sorted(rows(sizes, "n_operations")) == [(1,), (1,), (2,), (2,)]
+    assert cs.classify_transactions(log, heavy_rows=limit).count() == 6
+
+
+def test_equal_ids_keep_one_order(make_log):
+    log = make_log(*[("t1", 0, {"id": 1, "table_name": f"t{n % 7}", "row_id": str(n)}) for n in range(40)])
+    placed = [
+        rows(cs.place_operations(log.repartition(n)), "position", "table_name", "row_id") for n in (1, 7)
+    ]
+    assert placed[0] == placed[1]

@@ -8,63 +8,61 @@ from tests.conftest import rows
 from tidemark.operators import diff, render
 
 UPDATE = {
-    "old_values": '{"id":42,"endDate":"2026-05-01","name":"Test"}',
-    "new_values": '{"id":42,"endDate":"2026-06-01","name":"Test"}',
+    "old_values": '{"id":42,"name":"Gull","docked":"2026-01-30"}',
+    "new_values": '{"id":42,"name":"Gull","docked":"2026-02-14"}',
 }
-UPSELL = {
-    "table_name": "course_upsell",
-    "row_id": "108",
+CABIN = {
+    "table_name": "cabin",
+    "row_id": "9",
     "operation": "INSERT",
-    "new_values": '{"id":108,"licenses":10,"hourCostTraining":45.50}',
+    "new_values": '{"id":9,"berths":4,"rate":82.30}',
 }
 DELETE = {
     "operation": "DELETE",
-    "old_values": '{"id":42,"name":"Test Course","endDate":"2026-05-01"}',
+    "old_values": '{"id":42,"name":"Gull","docked":"2026-02-14"}',
 }
 COLUMNS = (
     '[{"name":"id","dataType":"integer","nullable":false},'
-    '{"name":"courseId","dataType":"integer","nullable":false}'
+    '{"name":"berths","dataType":"smallint","nullable":false}'
 )
-ADDED = COLUMNS + ',{"name":"targetWalletId","dataType":"bigint","nullable":true}]'
+ADDED = COLUMNS + ',{"name":"deck","dataType":"varchar","nullable":true}]'
 SCHEMA = {
     "entity_type": "__schema",
     "entity_id": "*",
-    "table_name": "course_upsell",
+    "table_name": "cabin",
     "row_id": "*",
     "operation": "SCHEMA_CHANGE",
 }
-TX = "8a3f2b1c4d5e6f70"
+TX = "tide-2026-0007"
 
 
 def text(log, **options):
-    return [r.text for r in render.newest_first(render.render_text(log, **options)).collect()]
+    whole = render.whole_text(render.render_text(log, **options))
+    return [r.text for r in whole.orderBy("version", ascending=False).collect()]
 
 
 def test_text_of_an_update(make_log):
     assert text(make_log((TX, 0, UPDATE))) == [
-        "changeset v1  [tx: 8a3f2b1c]  2026-02-15 14:23:07 UTC\n"
-        "  tables: course\n"
-        "  -- course (id=42)\n"
-        "     UPDATE  endDate: 2026-05-01 -> 2026-06-01"
+        "changeset v1  [tx: tide-202]  2026-02-15 14:23:07 UTC\n"
+        "  tables: vessel\n"
+        "  -- vessel (id=42)\n"
+        "     UPDATE  docked: 2026-01-30 -> 2026-02-14"
     ]
 
 
 def test_text_is_newest_first_with_tables_by_appearance(make_log):
-    log = make_log((TX, 0, UPDATE), (TX, 5, UPSELL), (TX, 7, UPDATE), ("a1", 9000, DELETE))
+    log = make_log((TX, 0, UPDATE), (TX, 5, CABIN), (TX, 7, UPDATE), ("a1", 9000, DELETE))
     newest, oldest = text(log)
     assert newest.splitlines()[0].startswith("changeset v2")
     assert newest.splitlines()[3] == "     DELETE"
-    assert oldest.splitlines()[1] == "  tables: course, course_upsell"
-    assert oldest.splitlines()[4:6] == [
-        "  -- course_upsell (id=108)",
-        "     INSERT  licenses=10, hourCostTraining=45.5",
-    ]
+    assert oldest.splitlines()[1] == "  tables: vessel, cabin"
+    assert oldest.splitlines()[4:6] == ["  -- cabin (id=9)", "     INSERT  berths=4, rate=82.3"]
 
 
 def test_verbose_shows_ids_and_deleted_values(make_log):
-    newest, oldest = text(make_log((TX, 0, UPSELL), ("a1", 9000, DELETE)), verbose=True)
-    assert newest.endswith("     DELETE  id=42, name=Test Course, endDate=2026-05-01")
-    assert oldest.endswith("     INSERT  id=108, licenses=10, hourCostTraining=45.5")
+    newest, oldest = text(make_log((TX, 0, CABIN), ("a1", 9000, DELETE)), verbose=True)
+    assert newest.endswith("     DELETE  id=42, name=Gull, docked=2026-02-14")
+    assert oldest.endswith("     INSERT  id=9, berths=4, rate=82.3")
 
 
 def test_missing_images_leave_only_the_label(make_log):
@@ -77,24 +75,23 @@ def test_schema_change_text(make_log):
     log = make_log((TX, 0, {**SCHEMA, "old_values": COLUMNS + "]", "new_values": ADDED}))
     assert text(log) == [
         "schema change  2026-02-15 14:23:07 UTC\n"
-        "  -- course_upsell\n"
-        "     + column 'targetWalletId' (bigint, nullable)"
+        "  -- cabin\n"
+        "     + column 'deck' (varchar, nullable)"
     ]
     back = make_log((TX, 0, {**SCHEMA, "old_values": ADDED, "new_values": COLUMNS + "]"}))
-    assert text(back)[0].endswith("     - column 'targetWalletId'")
+    assert text(back)[0].endswith("     - column 'deck'")
     blind = make_log((TX, 0, {**SCHEMA, "new_values": ADDED}))
-    assert text(blind)[0].endswith("  -- course_upsell\n     SCHEMA_CHANGE")
+    assert text(blind)[0].endswith("  -- cabin\n     SCHEMA_CHANGE")
     same = make_log((TX, 0, {**SCHEMA, "old_values": ADDED, "new_values": ADDED}))
-    assert text(same)[0].endswith("  -- course_upsell")
+    assert text(same)[0].endswith("  -- cabin")
 
 
 @pytest.mark.parametrize("limit", [1_000, 0])
-def test_long_changesets_continue_in_parts(make_log, limit):
+def test_a_changeset_of_any_size_has_one_row_per_operation(make_log, limit):
     log = make_log(*[(TX, t, UPDATE) for t in range(7)])
-    (whole,) = text(log, heavy_rows=limit)
-    parts = render.render_text(log, rows_per_part=3, heavy_rows=limit).orderBy("part").collect()
-    assert [p.part for p in parts] == [0, 1, 2]
-    assert "\n".join(p.text for p in parts) == whole
+    lines = render.newest_first(render.render_text(log, heavy_rows=limit)).collect()
+    assert [r.position for r in lines] == list(range(8))
+    assert "\n".join(r.text for r in lines) == text(log, heavy_rows=limit)[0]
 
 
 @pytest.mark.parametrize(
@@ -122,15 +119,15 @@ def test_field_diff(make_log, old, new, expected):
 
 
 def test_field_diff_needs_both_images_and_an_update(make_log):
-    log = make_log((TX, 0, {"new_values": '{"a":1}'}), (TX, 1, UPSELL), (TX, 2, DELETE))
+    log = make_log((TX, 0, {"new_values": '{"a":1}'}), (TX, 1, CABIN), (TX, 2, DELETE))
     assert diff.field_diff(log).count() == 0
 
 
 def test_listed_fields(make_log):
-    log = make_log((TX, 0, UPSELL), (TX, 1, DELETE))
+    log = make_log((TX, 0, CABIN), (TX, 1, DELETE))
     assert rows(diff.image_fields(log, "INSERT"), "field", "value") == [
-        ("hourCostTraining", "45.5"),
-        ("licenses", "10"),
+        ("berths", "4"),
+        ("rate", "82.3"),
     ]
     assert diff.image_fields(log, "INSERT", verbose=True).count() == 3
     assert diff.image_fields(log, "DELETE").count() == 0
@@ -140,13 +137,13 @@ def test_listed_fields(make_log):
 def test_schema_change_diff(make_log):
     log = make_log((TX, 0, {**SCHEMA, "old_values": COLUMNS + "]", "new_values": ADDED}))
     assert rows(diff.schema_change_diff(log), "change", "name", "data_type", "nullable") == [
-        ("added", "targetWalletId", "bigint", True)
+        ("added", "deck", "varchar", True)
     ]
 
 
 def test_json_documents(make_log):
-    log = make_log((TX, 0.5, UPDATE), (TX, 10, UPSELL))
-    (document,) = render.changesets_json(log).collect()
+    log = make_log((TX, 0.5, UPDATE), (TX, 10, CABIN))
+    (document,) = render.whole_documents(render.changesets_json(log)).collect()
     parsed = json.loads(document.json)
     assert list(parsed) == [
         "version", "transactionId", "timestamp", "operations", "isAutocommitGrouped",
@@ -154,13 +151,17 @@ def test_json_documents(make_log):
     assert parsed["timestamp"] == "2026-02-15T14:23:07.000Z"
     assert parsed["isAutocommitGrouped"] is False
     first, second = parsed["operations"]
-    assert first["id"] == "1" and first["oldValues"]["endDate"] == "2026-05-01"
-    assert second["oldValues"] is None and second["newValues"]["hourCostTraining"] == 45.5
+    assert first["id"] == "1" and first["oldValues"]["docked"] == "2026-01-30"
+    assert second["oldValues"] is None and second["newValues"]["rate"] == 82.3
 
 
-def test_json_export_keeps_order(spark, make_log, tmp_path):
-    log = make_log(*[(f"a{t}", 9000 * t, UPDATE) for t in (2, 0, 1)])
+def test_json_export_can_be_put_together_again(spark, make_log, tmp_path):
+    log = make_log(*[(f"a{t}", 9000 * t, UPDATE) for t in (2, 0, 1)], (TX, 90_000, CABIN), (TX, 90_001, UPDATE))
     render.write_json(render.changesets_json(log), str(tmp_path / "out"))
     files = sorted((tmp_path / "out").glob("part-*"))
     lines = [json.loads(line) for f in files for line in f.read_text().splitlines()]
-    assert [line["version"] for line in lines] == [1, 2, 3]
+    places = [(line["entity_type"], line["entity_id"], line["version"], line["position"]) for line in lines]
+    assert places == [("vessel", "42", v, p) for v in (1, 2, 3) for p in (0, 1)] + [
+        ("vessel", "42", 4, p) for p in (0, 1, 2)
+    ]
+    assert lines[-2]["document"]["tableName"] == "cabin" and lines[-3]["document"]["version"] == 4

@@ -8,8 +8,8 @@ from tests.conftest import START, rows
 from tidemark.operators import diff, drift
 from tidemark.schemas import CATALOG, ENTITY_MAP, SNAPSHOTS
 
-COURSE = [("id", "integer", False, True), ("name", "varchar", False, False)]
-COURSE_2 = [*COURSE, ("difficulty", "varchar", True, False)]
+VESSEL = [("id", "integer", False, True), ("name", "varchar", False, False)]
+WIDER = [*VESSEL, ("tonnage", "varchar", True, False)]
 
 
 @pytest.fixture
@@ -19,16 +19,16 @@ def snapshots(spark):
 
     return spark.createDataFrame(
         [
-            at(1, "course", COURSE),
-            at(2, "course", COURSE_2),
-            at(11, "upsell", COURSE),
-            at(12, "upsell", COURSE),
-            at(21, "billing", COURSE),
-            at(22, "billing", COURSE_2),
-            at(31, "dropped", COURSE),
+            at(1, "vessel", VESSEL),
+            at(2, "vessel", WIDER),
+            at(11, "cabin", VESSEL),
+            at(12, "cabin", VESSEL),
+            at(21, "voyage", VESSEL),
+            at(22, "voyage", WIDER),
+            at(31, "dropped", VESSEL),
             # the key flag alone is no change
-            at(41, "class", COURSE),
-            at(42, "class", [(n, t, y, False) for n, t, y, _ in COURSE]),
+            at(41, "crew", VESSEL),
+            at(42, "crew", [(n, t, y, False) for n, t, y, _ in VESSEL]),
         ],
         SNAPSHOTS,
     )
@@ -40,10 +40,10 @@ def live(spark):
         return [("app", table, n, *c) for n, c in enumerate(described, start=1)]
 
     return spark.createDataFrame(
-        columns("course", ("id", "bigint", False, True), ("difficulty", "varchar", False, False),
+        columns("vessel", ("id", "bigint", False, True), ("tonnage", "varchar", False, False),
                 ("level", "integer", True, False))
-        + columns("upsell", *COURSE)
-        + columns("new", *COURSE),
+        + columns("cabin", *VESSEL)
+        + columns("new", *VESSEL),
         CATALOG,
     )
 
@@ -53,25 +53,25 @@ def watched(spark, *tables):
 
 
 def test_drift(spark, snapshots, live):
-    found = drift.schema_drift(live, snapshots, watched(spark, "course", "upsell", "dropped", "new"))
+    found = drift.schema_drift(live, snapshots, watched(spark, "vessel", "cabin", "dropped", "new"))
     columns = ["table_name", "added_columns", "removed_columns", "modified_columns"]
     assert rows(found, *columns) == [
-        ("course", ["level"], ["name"], ["id", "difficulty"]),
         ("dropped", [], ["id", "name"], []),
+        ("vessel", ["level"], ["name"], ["id", "tonnage"]),
     ]
 
 
 def test_recorded_changes_end_the_drift(spark, snapshots, live):
-    tables = watched(spark, "course", "upsell", "dropped")
+    tables = watched(spark, "vessel", "cabin", "dropped")
     found = drift.schema_drift(live, snapshots, tables)
     entries, recorded = drift.record_schema_changes(found, live, snapshots, "2026-03-01 00:00:00")
     assert rows(entries, "entity_type", "entity_id", "table_name", "row_id", "operation") == [
-        ("__schema", "*", t, "*", "SCHEMA_CHANGE") for t in ("course", "dropped")
+        ("__schema", "*", t, "*", "SCHEMA_CHANGE") for t in ("dropped", "vessel")
     ]
     changes = rows(diff.schema_change_diff(entries), "table_name", "change", "name")
     assert changes == [
-        ("course", "added", "level"), ("course", "removed", "name"),
         ("dropped", "removed", "id"), ("dropped", "removed", "name"),
+        ("vessel", "added", "level"), ("vessel", "removed", "name"),
     ]
     after = snapshots.unionByName(recorded)
     assert drift.schema_drift(live, after, tables).count() == 0
@@ -80,25 +80,25 @@ def test_recorded_changes_end_the_drift(spark, snapshots, live):
 @pytest.mark.parametrize("limit", [100, 0])
 def test_timeline(spark, snapshots, limit):
     found = drift.schema_timeline(
-        snapshots, watched(spark, "course", "upsell", "class"), heavy_rows=limit
+        snapshots, watched(spark, "vessel", "cabin", "crew"), heavy_rows=limit
     )
-    assert rows(found, "table_name", "created_at") == [("course", START + timedelta(days=2))]
+    assert rows(found, "table_name", "created_at") == [("vessel", START + timedelta(days=2))]
     assert rows(diff.schema_change_diff(found), "change", "name", "nullable") == [
-        ("added", "difficulty", True)
+        ("added", "tonnage", True)
     ]
 
 
 def test_coverage(spark, make_log, snapshots, live):
     entity_map = spark.createDataFrame(
-        [("course", "course", True, "id", ["id"]), ("course", "upsell", False, "courseId", ["id"])],
+        [("vessel", "vessel", True, "id", ["id"]), ("vessel", "cabin", False, "vesselId", ["id"])],
         ENTITY_MAP,
     )
     log = make_log(("t1", 0), ("t2", 5), ("t3", 6, {"table_name": "other"}))
     coverage = drift.capture_coverage(entity_map, log)
     assert rows(coverage, "table_name", "entries", "is_missing") == [
-        ("course", 2, False), ("upsell", 0, True),
+        ("cabin", 0, True), ("vessel", 2, False),
     ]
-    none = drift.schema_drift(live, snapshots, watched(spark, "upsell"))
+    none = drift.schema_drift(live, snapshots, watched(spark, "cabin"))
     health = drift.capture_health(coverage, none).first()
     assert (health.expected_tables, health.seen_tables, health.drifted_tables, health.ok) == (2, 1, 0, False)
     complete = drift.capture_health(coverage.filter("NOT is_missing"), none).first()

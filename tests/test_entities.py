@@ -7,48 +7,40 @@ from tests.conftest import rows
 from tidemark.operators import entities
 from tidemark.schemas import CATALOG, FOREIGN_KEYS
 
-# Tables with the columns that refer to others (column>table). All have a key `id` but
-# bi_calendar, whose key is `date`, and tracking_event, which has none.
-EDTECH = """
-user language country course_state migrations bi_calendar tracking_event
-course languageId>language courseStateId>course_state
-course_upsell courseId>course
-course_service courseId>course
-course_users_user courseId>course userId>user
-course_teacher_blacklist courseId>course teacherId>user
-course_forum_topic courseId>course
-billing userId>user
-billing_line billingId>billing
-billing_rate_incentive billingId>billing
-billing_bonus_course_tutor invoiceId>billing courseId>course
-class courseId>course teacherId>user
-class_evaluations classId>class studentId>user
-class_feedback_teacher classId>class
-class_issue classId>class
-class_history classId>class
-chat classId>class userId>user
-category parentId>category
-activity_answer courseId>course classId>class studentId>user
-"""
-
-
-def parse(text, keyless=("tracking_event",)):
-    catalog, fks = [], []
-    for line in text.split("\n"):
-        words = line.split()
-        for name in [w for w in words if ">" not in w]:
-            key = "date" if name == "bi_calendar" else "id"
-            catalog.append(("app", name, 1, key, "integer", False, name not in keyless))
-        for position, word in enumerate(w for w in words if ">" in w):
-            column, target = word.split(">")
-            catalog.append(("app", words[0], 2 + position, column, "integer", True, False))
-            fks.append(("app", words[0], column, target, "id", f"{words[0]}_{column}_fkey"))
-    return catalog, fks
+# A shipping company. All tables have a key `id`, but `tide` is kept by `day` and `sensor` has none.
+TABLES = ["flag", "port", "sailor", "vessel", "voyage", "cabin", "engine", "survey", "log_line", "duty",
+          "cargo", "manifest", "beacon", "tide", "sensor"]
+KEYS = [
+    ("vessel", "flag_id", "flag"),
+    ("vessel", "home_id", "port"),
+    ("voyage", "vessel_id", "vessel"),
+    ("voyage", "from_id", "port"),
+    ("cabin", "vessel_id", "vessel"),
+    ("engine", "vessel_id", "vessel"),
+    ("survey", "vessel_id", "vessel"),
+    ("log_line", "voyage_id", "voyage"),
+    ("duty", "voyage_id", "voyage"),
+    ("duty", "sailor_id", "sailor"),
+    ("cargo", "voyage_id", "voyage"),
+    ("cargo", "vessel_id", "vessel"),
+    ("manifest", "voyage_id", "voyage"),
+    ("manifest", "vessel_id", "vessel"),
+    ("beacon", "beside_id", "beacon"),
+]
 
 
 class Analysed:
-    def __init__(self, spark, text, keyless=("tracking_event",)):
-        catalog, fks = parse(text, keyless)
+    def __init__(self, spark, tables, keys, keyless=("sensor",)):
+        catalog = [
+            ("fleet", name, 1, "day" if name == "tide" else "id", "integer", False, name not in keyless)
+            for name in tables
+        ]
+        catalog += [
+            ("fleet", table, 2 + n, column, "integer", True, False) for n, (table, column, _) in enumerate(keys)
+        ]
+        fks = [
+            ("fleet", table, column, target, "id", f"{table}_{column}_fkey") for table, column, target in keys
+        ]
         self.catalog = spark.createDataFrame(catalog, CATALOG)
         self.fks = spark.createDataFrame(fks, FOREIGN_KEYS)
         tables = self.catalog.select("schema_name", "table_name").distinct()
@@ -68,122 +60,131 @@ class Analysed:
 
 
 @pytest.fixture(scope="module")
-def edtech(spark):
-    return Analysed(spark, EDTECH)
+def shipping(spark):
+    return Analysed(spark, TABLES, KEYS)
 
 
-def test_classes(edtech):
-    assert edtech.of_class("lookup") == ["course_state", "language", "user"]
-    assert edtech.of_class("isolated") == [
-        "bi_calendar", "category", "country", "migrations", "tracking_event",
-    ]
-    assert edtech.of_class("root") == ["billing", "class", "course"]
+def test_classes(shipping):
+    assert shipping.of_class("lookup") == ["flag", "port", "sailor"]
+    assert shipping.of_class("isolated") == ["beacon", "sensor", "tide"]
+    assert shipping.of_class("root") == ["vessel", "voyage"]
 
 
-def test_degrees_leave_out_self_references(edtech):
-    degrees = {t: (o, i) for t, o, i in rows(edtech.degrees, "table_name", "out_degree", "in_degree")}
-    assert degrees["category"] == (0, 0)
-    assert degrees["user"] == (0, 7)
-    assert degrees["activity_answer"] == (3, 0)
+def test_degrees_leave_out_self_references(shipping):
+    degrees = {t: (o, i) for t, o, i in rows(shipping.degrees, "table_name", "out_degree", "in_degree")}
+    assert degrees["beacon"] == (0, 0)
+    assert degrees["port"] == (0, 2)
+    assert degrees["vessel"] == (2, 6)
+    assert degrees["cargo"] == (2, 0)
 
 
-def test_entities_and_conflicts(edtech):
-    counts = entities.entity_child_counts(edtech.map).collect()
-    assert [(r.entity_type, r.children) for r in counts] == [
-        ("course", 7), ("class", 6), ("billing", 3),
-    ]
-    assert edtech.children()["billing"] == {
-        "billing_bonus_course_tutor": "invoiceId",
-        "billing_line": "billingId",
-        "billing_rate_incentive": "billingId",
-    }
-    conflicts = entities.entity_conflicts(edtech.map)
+def test_entities_and_conflicts(shipping):
+    counts = entities.entity_child_counts(shipping.map).collect()
+    assert [(r.entity_type, r.children) for r in counts] == [("vessel", 5), ("voyage", 4)]
+    # A root is no child of another root, though it refers to it.
+    assert shipping.children()["vessel"] == dict.fromkeys(
+        ["cabin", "cargo", "engine", "manifest", "survey"], "vessel_id"
+    )
+    conflicts = entities.entity_conflicts(shipping.map)
     assert rows(conflicts, "table_name", "claimed_by") == [
-        ("activity_answer", ["class", "course"]),
-        ("billing_bonus_course_tutor", ["billing", "course"]),
+        ("cargo", ["vessel", "voyage"]),
+        ("manifest", ["vessel", "voyage"]),
+    ]
+    assert entities.unassigned_tables(shipping.classes, shipping.map).count() == 0
+    assert entities.entity_warnings(shipping.fks, shipping.classes, shipping.catalog).count() == 0
+
+
+def test_default_policy(shipping):
+    conflicts = entities.entity_conflicts(shipping.map)
+    default = entities.default_entity_map(shipping.map, conflicts)
+    assert {e: len(c) for e, c in shipping.children(default).items()} == {"vessel": 3, "voyage": 2}
+    ignored = rows(entities.ignored_tables(shipping.classes, conflicts), "table_name")
+    assert [t for (t,) in ignored] == [
+        "beacon", "cargo", "flag", "manifest", "port", "sailor", "sensor", "tide",
     ]
-    assert entities.unassigned_tables(edtech.classes, edtech.map).count() == 0
-    assert entities.entity_warnings(edtech.fks, edtech.classes, edtech.catalog).count() == 0
-
-
-def test_default_policy(edtech):
-    conflicts = entities.entity_conflicts(edtech.map)
-    default = entities.default_entity_map(edtech.map, conflicts)
-    assert {e: len(c) for e, c in edtech.children(default).items()} == {
-        "course": 5, "class": 5, "billing": 2,
-    }
-    ignored = entities.ignored_tables(edtech.classes, conflicts)
-    assert ignored.count() == 10
     assert entities.validate_entity_map(default).count() == 0
     for limit in (100, 0):
-        errors = rows(entities.validate_entity_map(edtech.map, heavy_rows=limit), "error")
+        errors = rows(entities.validate_entity_map(shipping.map, heavy_rows=limit), "error")
         assert errors == [
-            ("Table 'activity_answer' is assigned to both 'class' and 'course'",),
-            ("Table 'billing_bonus_course_tutor' is assigned to both 'billing' and 'course'",),
+            ("Table 'cargo' is assigned to both 'vessel' and 'voyage'",),
+            ("Table 'manifest' is assigned to both 'vessel' and 'voyage'",),
         ]
 
 
-def overrides(spark, edtech, exclude=(), reassign=()):
+def overrides(spark, analysed, exclude=(), reassign=()):
     excluded = spark.createDataFrame(
-        [("app", t) for t in exclude], "schema_name string, table_name string"
+        [("fleet", t) for t in exclude], "schema_name string, table_name string"
     )
     moves = spark.createDataFrame(
-        [("app", t, e, n) for n, (t, e) in enumerate(reassign)],
+        [("fleet", t, e, n) for n, (t, e) in enumerate(reassign)],
         "schema_name string, table_name string, to_entity string, position int",
     )
-    return edtech.children(entities.apply_overrides(edtech.map, excluded, moves))
+    return analysed.children(entities.apply_overrides(analysed.map, excluded, moves))
 
 
-def test_overrides(spark, edtech):
+def test_overrides(spark, shipping):
     changed = overrides(
-        spark, edtech,
-        exclude=["chat", "class_issue"],
+        spark, shipping,
+        exclude=["duty", "engine"],
         reassign=[
-            ("activity_answer", "course"),
-            ("billing_line", "course"),
-            ("course_upsell", "nobody"),
-            ("class_issue", "class"),
-            ("class_history", "nobody"),
-            ("class_history", "class"),
+            ("cargo", "vessel"),
+            ("log_line", "vessel"),
+            ("cabin", "nobody"),
+            ("engine", "vessel"),
+            ("survey", "nobody"),
+            ("survey", "vessel"),
         ],
     )
-    assert changed["course"]["activity_answer"] == "courseId"
-    assert "activity_answer" not in changed["class"]
+    assert changed["vessel"]["cargo"] == "vessel_id" and "cargo" not in changed["voyage"]
     # No key to the target: the first key to any entity is taken.
-    assert changed["course"]["billing_line"] == "billingId"
-    assert "billing_line" not in changed["billing"]
-    assert all("course_upsell" not in children for children in changed.values())
-    assert "chat" not in changed["class"]
+    assert changed["vessel"]["log_line"] == "voyage_id" and "log_line" not in changed["voyage"]
+    assert all("cabin" not in children and "duty" not in children for children in changed.values())
     # Excluded, then handed back; moved twice, the last counts.
-    assert changed["class"]["class_issue"] == "classId"
-    assert changed["class"]["class_history"] == "classId"
+    assert changed["vessel"]["engine"] == "vessel_id"
+    assert changed["vessel"]["survey"] == "vessel_id"
+
+
+def test_repeated_moves_need_an_order(spark, shipping):
+    excluded = spark.createDataFrame([], "schema_name string, table_name string")
+    moves = spark.createDataFrame(
+        [("fleet", "survey", "voyage"), ("fleet", "survey", "vessel")],
+        "schema_name string, table_name string, to_entity string",
+    )
+    with pytest.raises(ValueError, match="position"):
+        entities.apply_overrides(shipping.map, excluded, moves)
+    assert entities.apply_overrides(shipping.map, excluded, moves.limit(1)).count() == shipping.map.count()
 
 
 def test_tables_without_key(spark):
-    text = "lookup\nroot lookupId>lookup\nbare lookupId>lookup\nchild rootId>root bareId>bare\nloose rootId>root"
-    found = Analysed(spark, text, keyless=("bare", "loose"))
-    assert found.children() == {"root": {"child": "rootId"}}
+    found = Analysed(
+        spark,
+        ["grade", "mine", "pit", "shaft", "lamp"],
+        [("mine", "grade_id", "grade"), ("pit", "grade_id", "grade"), ("shaft", "mine_id", "mine"),
+         ("shaft", "pit_id", "pit"), ("lamp", "mine_id", "mine")],
+        keyless=("pit", "lamp"),
+    )
+    assert found.children() == {"mine": {"shaft": "mine_id"}}
     warnings = entities.entity_warnings(found.fks, found.classes, found.catalog)
     assert rows(warnings, "message") == [
-        ("Table 'bare' has no primary key, skipping as entity root",),
-        ("Table 'loose' has no primary key, skipping as child of 'root'",),
-    ]
-    assert rows(entities.unassigned_tables(found.classes, found.map), "table_name") == [
-        ("bare",), ("loose",),
+        ("Table 'lamp' has no primary key, skipping as child of 'mine'",),
+        ("Table 'pit' has no primary key, skipping as entity root",),
     ]
+    assert rows(entities.unassigned_tables(found.classes, found.map), "table_name") == [("lamp",), ("pit",)]
 
 
 def test_two_keys_to_one_root_make_one_child(spark):
-    text = "country\nuser countryId>country\nclass_history modifiedBy>user createdBy>user"
-    found = Analysed(spark, text)
-    assert found.children() == {"user": {"class_history": "createdBy"}}
+    found = Analysed(
+        spark, ["zone", "depot", "transfer"],
+        [("depot", "zone_id", "zone"), ("transfer", "to_depot", "depot"), ("transfer", "from_depot", "depot")],
+    )
+    assert found.children() == {"depot": {"transfer": "from_depot"}}
     assert entities.entity_conflicts(found.map).count() == 0
 
 
 def test_no_tables(spark):
-    found = Analysed(spark, "")
+    found = Analysed(spark, [], [])
     assert found.classes.count() == 0 and found.map.count() == 0
-    empty = spark.createDataFrame([("app",)], "schema_name string")
+    empty = spark.createDataFrame([("fleet",)], "schema_name string")
     assert rows(entities.validate_entity_map(found.map, empty), "error") == [
         ("At least one entity is required",)
     ]

@@ -51,7 +51,7 @@ def test_transaction_groups_combine_before_the_shuffle(log):
 
 def test_history_filters_reach_the_scan(spark):
     stored = td.stored_changelog(spark, DATA)
-    found = query.query_changelog(stored, "course", "3", since="2024-01-05 00:00:00")
+    found = query.query_changelog(stored, "vessel", "3", since="2024-01-05 00:00:00")
     text = plan(found)
     folders, pushed = text.split("PartitionFilters: ")[1].split("PushedFilters: ")
     assert "entity_type" in folders and "created_date" in folders
@@ -59,7 +59,7 @@ def test_history_filters_reach_the_scan(spark):
 
 
 def test_topk_is_no_full_sort(make_log):
-    found = query.query_changelog(make_log(("t", 0)), "course", limit=5)
+    found = query.query_changelog(make_log(("t", 0)), "vessel", limit=5)
     assert "TakeOrderedAndProject" in plan(found)
 
 

@@ -64,10 +64,10 @@ def test_changesets_equal_batch(spark, tmp_path):
     for number in range(400):
         tx = f"x{number // 9}" if random.random() < 0.4 else f"a{number}"
         at = START + timedelta(milliseconds=number * 40 + random.randrange(40))
-        entries.append((number, "course", str(random.randrange(4)), "t", "1", "UPDATE", None, None, tx, at))
+        entries.append((number, "vessel", str(random.randrange(4)), "t", "1", "UPDATE", None, None, tx, at))
     log = spark.createDataFrame(entries, CHANGELOG)
     end = spark.createDataFrame(
-        [(-1, "course", "sentinel", "t", "1", "UPDATE", None, None, "end", START + timedelta(days=9))],
+        [(-1, "vessel", "sentinel", "t", "1", "UPDATE", None, None, "end", START + timedelta(days=9))],
         CHANGELOG,
     )
     batches = [
@@ -127,10 +127,10 @@ def test_feed_streams_into_the_stored_changelog(spark, tmp_path):
         "seq long, table_name string, operation string, old_values string, new_values string, "
         "transaction_id string, created_at timestamp"
     )
-    entity_map = session.createDataFrame([("course", "upsell", False, "courseId", ["id"])], ENTITY_MAP)
+    entity_map = session.createDataFrame([("vessel", "cabin", False, "vesselId", ["id"])], ENTITY_MAP)
     for number in (1, 2):
-        image = f'{{"id":{number},"courseId":42}}'
-        row = (number, "upsell", "INSERT", None, image, None, START + timedelta(days=number))
+        image = f'{{"id":{number},"vesselId":42}}'
+        row = (number, "cabin", "INSERT", None, image, None, START + timedelta(days=number))
         spark.createDataFrame([row], schema).write.mode("append").parquet(str(tmp_path / "in"))
         stream = session.readStream.schema(schema).parquet(str(tmp_path / "in"))
         query = append_stream(
@@ -139,4 +139,4 @@ def test_feed_streams_into_the_stored_changelog(spark, tmp_path):
         query.awaitTermination()
     stored = read_changelog(spark, str(tmp_path / "log"))
     assert rows(stored, "id", "entity_id", "row_id") == [(1, "42", "1"), (2, "42", "2")]
-    assert (tmp_path / "log" / "entity_type=course" / "created_date=2026-02-16").is_dir()
+    assert (tmp_path / "log" / "entity_type=vessel" / "created_date=2026-02-16").is_dir()

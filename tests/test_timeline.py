@@ -1,4 +1,4 @@
-"""A small readable history from end to end: feed, entities, changesets, text."""
+"""A voyage from end to end: feed, entities, changesets, text."""
 
 from __future__ import annotations
 
@@ -13,31 +13,23 @@ from tidemark.operators.render import newest_first, render_text
 from tidemark.schemas import ENTITY_MAP
 
 MAP = [
-    ("course", "course", True, "id", ["id"]),
-    ("course", "course_upsell", False, "courseId", ["id"]),
-    ("course", "course_service", False, "courseId", ["id"]),
-    ("course", "course_users_user", False, "courseId", ["id"]),
-    ("billing", "billing", True, "id", ["id"]),
-    ("billing", "billing_line", False, "billingId", ["id"]),
+    ("vessel", "vessel", True, "id", ["id"]),
+    ("vessel", "engine", False, "vessel_id", ["id"]),
+    ("voyage", "voyage", True, "nr", ["nr"]),
+    ("voyage", "log_line", False, "voyage_nr", ["id"]),
 ]
+CALM, ROUGH = '{"id":9,"voyage_nr":70,"sea":"calm"}', '{"id":9,"voyage_nr":70,"sea":"rough"}'
 # (ms, transaction, table, operation, old, new)
 CHANGES = [
-    (0, "t1", "course", "INSERT", None, '{"id":1,"name":"Intro to TypeScript"}'),
-    (0, "t1", "course_upsell", "INSERT", None, '{"id":1,"courseId":1,"licenses":5}'),
-    (0, "t1", "course_service", "INSERT", None, '{"id":1,"courseId":1,"serviceName":"Live tutoring"}'),
-    (100, None, "course_users_user", "INSERT", None, '{"id":1,"courseId":1,"role":"teacher"}'),
-    (200, None, "course_users_user", "INSERT", None, '{"id":2,"courseId":1,"role":"student"}'),
-    (300, None, "course", "INSERT", None, '{"id":2,"name":"Advanced SQL"}'),
-    (2300, None, "course", "UPDATE", '{"id":1,"name":"Intro to TypeScript"}',
-     '{"id":1,"name":"TypeScript Fundamentals"}'),
-    (2400, None, "course_service", "INSERT", None, '{"id":2,"courseId":1,"serviceName":"Recorded sessions"}'),
-    (4400, "t2", "billing", "INSERT", None, '{"id":1,"amount":350,"status":"pending"}'),
-    (4400, "t2", "billing_line", "INSERT", None, '{"id":1,"billingId":1,"amount":250}'),
-    (4400, "t2", "billing_line", "INSERT", None, '{"id":2,"billingId":1,"amount":100}'),
-    (4500, None, "billing", "UPDATE", '{"id":1,"amount":350,"status":"pending"}',
-     '{"id":1,"amount":350,"status":"paid"}'),
-    (6500, None, "course_service", "DELETE",
-     '{"id":2,"courseId":1,"serviceName":"Recorded sessions"}', None),
+    (0, "launch", "vessel", "INSERT", None, '{"id":5,"name":"Petrel"}'),
+    (0, "launch", "engine", "INSERT", None, '{"id":31,"vessel_id":5,"kw":900}'),
+    (1000, None, "voyage", "INSERT", None, '{"nr":70,"from":"Oban"}'),
+    (1300, None, "log_line", "INSERT", None, CALM),
+    (3000, None, "log_line", "UPDATE", CALM, ROUGH),
+    (3100, "refit", "engine", "DELETE", '{"id":31,"vessel_id":5,"kw":900}', None),
+    (3100, "refit", "engine", "INSERT", None, '{"id":32,"vessel_id":5,"kw":1200}'),
+    (3600, None, "vessel", "UPDATE", '{"id":5,"name":"Petrel"}', '{"id":5,"name":"Storm Petrel"}'),
+    (9000, None, "log_line", "DELETE", ROUGH, None),
 ]
 
 
@@ -54,9 +46,9 @@ def captured(spark, native):
 
 
 @pytest.mark.parametrize("native, expected", [
-    (True, {("course", "1"): [3, 2, 2, 1], ("course", "2"): [1], ("billing", "1"): [3, 1]}),
+    (True, {("vessel", "5"): [2, 2, 1], ("voyage", "70"): [2, 1, 1]}),
     # Without native transactions time alone groups: all within half a second falls together.
-    (False, {("course", "1"): [5, 2, 1], ("course", "2"): [1], ("billing", "1"): [4]}),
+    (False, {("vessel", "5"): [2, 3], ("voyage", "70"): [2, 1, 1]}),
 ])
 def test_changesets(spark, native, expected):
     found = {}
@@ -67,30 +59,23 @@ def test_changesets(spark, native, expected):
 
 def test_text_of_one_entity(spark):
     log = captured(spark, True)
-    history = entity_history(log, "course", "1").select(*log.columns)
+    history = entity_history(log, "vessel", "5").select(*log.columns)
     lines = "\n".join(r.text for r in newest_first(render_text(history)).collect()).splitlines()
     assert [line for line in lines if not line.startswith("changeset")] == [
-        "  tables: course_service",
-        "  -- course_service (id=2)",
+        "  tables: vessel",
+        "  -- vessel (id=5)",
+        "     UPDATE  name: Petrel -> Storm Petrel",
+        "  tables: engine",
+        "  -- engine (id=31)",
         "     DELETE",
-        "  tables: course, course_service",
-        "  -- course (id=1)",
-        "     UPDATE  name: Intro to TypeScript -> TypeScript Fundamentals",
-        "  -- course_service (id=2)",
-        "     INSERT  courseId=1, serviceName=Recorded sessions",
-        "  tables: course_users_user",
-        "  -- course_users_user (id=1)",
-        "     INSERT  courseId=1, role=teacher",
-        "  -- course_users_user (id=2)",
-        "     INSERT  courseId=1, role=student",
-        "  tables: course, course_upsell, course_service",
-        "  -- course (id=1)",
-        "     INSERT  name=Intro to TypeScript",
-        "  -- course_upsell (id=1)",
-        "     INSERT  courseId=1, licenses=5",
-        "  -- course_service (id=1)",
-        "     INSERT  courseId=1, serviceName=Live tutoring",
+        "  -- engine (id=32)",
+        "     INSERT  vessel_id=5, kw=1200",
+        "  tables: vessel, engine",
+        "  -- vessel (id=5)",
+        "     INSERT  name=Petrel",
+        "  -- engine (id=31)",
+        "     INSERT  vessel_id=5, kw=900",
     ]
     assert [line[:12] for line in lines if line.startswith("changeset")] == [
-        "changeset v4", "changeset v3", "changeset v2", "changeset v1",
+        "changeset v3", "changeset v2", "changeset v1",
     ]

@@ -5,21 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.entries import valid_entry
 from ..functions.ids import content_hash, content_id
 from ..functions.images import image_text, row_image
 from ..plans.heavy import HEAVY_ROWS, broadcast_checked, with_previous
 from ..schemas import CHANGELOG_COLUMNS, DELETE, INSERT, UPDATE
 
-OPERATIONS = [INSERT, UPDATE, DELETE]
 
+def quoted(*path: str) -> Column:
+    """The column of exactly these names, whatever characters they have."""
+    return F.col(".".join("`" + name.replace("`", "``") + "`" for name in path))
 
-def _text_key(columns: list[str], side: str | None = None) -> Column:
-    """Key columns as text; several are joined by a comma, with null if any is null."""
-    texts = [F.col(f"{side}.{c}" if side else c).cast("string") for c in columns]
+
+def _key_text(texts: list[Column]) -> Column:
+    """Key values as text, several as a JSON array of texts; null if any is null."""
     missing = F.lit(False)
     for text in texts:
         missing = missing | text.isNull()
-    return F.when(~missing, F.concat_ws(",", *texts))
+    return F.when(~missing, texts[0] if len(texts) == 1 else F.to_json(F.array(*texts)))
+
+
+def _text_key(columns: list[str], side: str) -> Column:
+    return _key_text([quoted(side, c).cast("string") for c in columns])
 
 
 def capture_snapshot_diff(
@@ -43,13 +50,15 @@ def capture_snapshot_diff(
     added column shows up as a change.
     """
     # A marker tells an absent side from a row of nulls.
-    old = before.select(F.struct(*before.columns).alias("old"), *key_cols)
-    new = after.select(F.struct(*after.columns).alias("new"), *key_cols)
-    pairs = old.join(new, key_cols, "full_outer")
+    keys = {c: f"_key_{n}" for n, c in enumerate(key_cols)}
+    sided = lambda df, side: df.select(
+        F.struct(*map(quoted, df.columns)).alias(side), *[quoted(c).alias(k) for c, k in keys.items()]
+    )
+    pairs = sided(before, "old").join(sided(after, "new"), list(keys.values()), "full_outer")
     common = [c for c in after.columns if c in before.columns and c not in key_cols]
     differs = F.lit(set(before.columns) != set(after.columns))
     for column in common:
-        differs = differs | ~F.col(f"old.{column}").eqNullSafe(F.col(f"new.{column}"))
+        differs = differs | ~quoted("old", column).eqNullSafe(quoted("new", column))
     operation = (
         F.when(F.col("old").isNull(), INSERT)
         .when(F.col("new").isNull(), DELETE)
@@ -64,6 +73,7 @@ def capture_snapshot_diff(
 
     row_id = current(row_key_cols or key_cols)
     entries = changes.select(
+        current(key_cols).alias("_table_key"),
         F.lit(entity_type).alias("entity_type"),
         current([entity_key_col]).alias("entity_id"),
         F.lit(table_name).alias("table_name"),
@@ -74,14 +84,16 @@ def capture_snapshot_diff(
         F.lit(transaction_id).alias("transaction_id"),
         F.lit(captured_at).cast("timestamp").alias("created_at"),
     )
-    identity = ("table_name", "row_id", "operation", "transaction_id")
-    return entries.withColumn("id", content_id(*map(F.col, identity))).select(*CHANGELOG_COLUMNS)
+    # The table's key tells its rows apart, which a configured row key need not do.
+    identity = ("entity_type", "table_name", "_table_key", "operation", "transaction_id")
+    when = F.unix_micros("created_at")
+    return entries.withColumn("id", content_id(*map(F.col, identity), when)).select(*CHANGELOG_COLUMNS)
 
 
 def _image(side: str, columns: list[str], absent_for: str, keep: bool) -> Column:
     if not keep:
         return F.lit(None).cast("string")
-    image = row_image([F.col(f"{side}.{c}").alias(c) for c in columns])
+    image = row_image([quoted(side, c).alias(c) for c in columns])
     return F.when(F.col("operation") != absent_for, image)
 
 
@@ -105,20 +117,29 @@ def resolve_entity_ids(changes: DataFrame, entity_map: DataFrame) -> DataFrame:
     """Owning entity and row id of changes to many tables, from their images.
 
     ``changes`` has table_name, operation, old_values and new_values. The new image decides, for
-    deletes the old one. Changes of tables outside the map are left out. ``entity_map`` is
-    configuration with one row per table; it is broadcast after a size check.
+    deletes the old one. Changes of tables outside the map are left out. If both have a
+    ``schema_name``, a table is known by it and its name, so that one map serves many databases.
+    ``entity_map`` is configuration with one row per table, which is checked; so is its size before
+    it is broadcast.
     """
+    both_named = "schema_name" in changes.columns and "schema_name" in entity_map.columns
+    table = ["schema_name", "table_name"] if both_named else ["table_name"]
+    twice = entity_map.groupBy(*table).count().filter("count > 1").first()
+    if twice:
+        name = ".".join(twice[c] for c in table)
+        raise ValueError(f"table {name!r} has {twice['count']} owners in the entity map; see validate_entity_map")
     image = F.when(F.col("operation") == DELETE, F.col("old_values")).otherwise(
         F.col("new_values")
     )
     mapped = changes.drop("entity_type", "entity_id", "row_id").join(
         broadcast_checked(
-            entity_map.select("table_name", "entity_type", "entity_key_col", "row_key_cols")
+            entity_map.select(*table, "entity_type", "entity_key_col", "row_key_cols")
         ),
-        "table_name",
+        table,
     )
     keys = F.transform("row_key_cols", lambda c: F.col("image")[c])
-    row_id = F.when(~F.exists(keys, F.isnull), F.array_join(keys, ","))
+    several = F.when(F.size(keys) > 1, F.to_json(keys)).otherwise(F.get(keys, F.lit(0)))
+    row_id = F.when(~F.exists(keys, F.isnull), several)
     return (
         mapped.withColumn("image", image_text(image))
         .withColumn("entity_id", F.col("image")[F.col("entity_key_col")])
@@ -127,15 +148,6 @@ def resolve_entity_ids(changes: DataFrame, entity_map: DataFrame) -> DataFrame:
     )
 
 
-def valid_entry() -> Column:
-    """What the changelog requires of a row."""
-    required = ["entity_type", "entity_id", "table_name", "row_id", "transaction_id", "created_at"]
-    valid = F.col("operation").isin(*OPERATIONS, "SCHEMA_CHANGE")
-    for column in required:
-        valid = valid & F.col(column).isNotNull()
-    return F.coalesce(valid, F.lit(False))
-
-
 def split_rejects(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries fit for the changelog, and the rest (no entity id, unknown operation, …)."""
     return entries.filter(valid_entry()), entries.filter(~valid_entry())
@@ -150,7 +162,9 @@ def capture_change_feed(
     """Change-feed rows (seq, table_name, operation, old_values, new_values, transaction_id,
     created_at) -> entries, one per row; updates that change nothing are kept.
 
-    A projection and one map lookup, on a batch or on a stream.
+    A projection and one map lookup, on a batch or on a stream. A row without entity id or with an
+    unknown operation is an entry, too, which ``split_rejects`` and the changelog's sinks tell apart. A
+    ``schema_name`` of the feed is kept as a last column.
     """
     operation = F.upper("operation")
     sided = feed.withColumns(
@@ -169,7 +183,8 @@ def capture_change_feed(
         entries = entries.withColumn("old_values", nothing)
     if not capture_new_values:
         entries = entries.withColumn("new_values", nothing)
-    return entries.select(*CHANGELOG_COLUMNS)
+    database = ["schema_name"] if "schema_name" in feed.columns else []
+    return entries.select(*CHANGELOG_COLUMNS, *database)
 
 
 def capture_keyed_changes(

@@ -12,7 +12,8 @@ A changeset is known by its first entry (start_at, start_id, start_tx). The work
 row per (scope, transaction) and never carries row images. Scopes with more than ``heavy_rows``
 entries leave the one-task-per-scope windows and take the range-partitioned way, with equal results.
 
-Scope columns and transaction ids are never null in a changelog; ``capture.split_rejects`` sees to it.
+Scope columns and transaction ids are never null in a stored changelog, for its sinks see to it. In other
+frames a null is a value like any other here: such entries form a scope or transaction of their own.
 """
 
 from __future__ import annotations
@@ -40,7 +41,8 @@ START = ["start_at", "start_id", "start_tx"]
 FIRST = ["first_at", "first_id", "transaction_id"]
 # Explicit transactions sort before autocommit groups of the same millisecond.
 CHANGESET_ORDER = ["start_ms", "is_autocommit", *START]
-ENTRY_ORDER = ["created_at", "id", "transaction_id"]
+# Behind the id only for logs whose ids are not unique: the order stays the same on every run.
+ENTRY_ORDER = ["created_at", "id", "transaction_id", "table_name", "row_id", "operation"]
 # What the flat form adds to an entry.
 VERSION_COLUMNS = [
     "version",
@@ -204,6 +206,29 @@ def transaction_versions(
     )
 
 
+def _join_versions(log: DataFrame, scope: list[str], window_ms: int) -> DataFrame:
+    """Entries of light scopes with their versions.
+
+    Joined on copies of the keys that are never null: a null-safe join would not see that both sides
+    are already dealt out by the scope.
+    """
+    sealed = {c: f"_on_{c}" for c in [*scope, "transaction_id"]}
+    filled = {
+        k: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c, k in sealed.items()
+    }
+    entries = log.withColumns(filled)
+    on = [sealed[c] for c in scope]
+    keys = entries.select(*on, F.col(sealed["transaction_id"]).alias("transaction_id"), "created_at", "id")
+    first_tx = F.col("changeset_transaction_id")
+    versions = (
+        _versions_light(keys, on, window_ms)
+        .withColumn("changeset_transaction_id", F.when(first_tx != "-", F.substring(first_tx, 2, 1 << 30)))
+        .withColumnRenamed("transaction_id", sealed["transaction_id"])
+        .drop("rows")
+    )
+    return by_key(entries, on).join(versions, list(sealed.values()))
+
+
 def _versioned(
     log: DataFrame, window_ms: int, scope: list[str], heavy_rows: int
 ) -> tuple[DataFrame | None, DataFrame | None]:
@@ -211,8 +236,7 @@ def _versioned(
     on = [*scope, "transaction_id"]
     light, heavy = split_heavy(log, scope, heavy_rows)
     if light is not None:
-        versions = _versions_light(light.select(*on, "created_at", "id"), scope, window_ms)
-        light = by_key(light, scope).join(versions, on)
+        light = _join_versions(light, scope, window_ms)
     if heavy is not None:
         keys = heavy.select(*on, "created_at", "id")
         versions = _versions_heavy(keys, scope, window_ms, heavy_rows)
@@ -238,11 +262,10 @@ def place_operations(
     log: DataFrame,
     window_ms: int = DEFAULT_WINDOW_MS,
     scope: list[str] = ENTITY_SCOPE,
-    rows_per_part: int = ROWS_PER_PART,
     heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
-    """The flat form with each entry's ``position`` in its changeset, the ``part`` it falls into,
-    and the changeset's ``tables`` in order of first appearance."""
+    """The flat form with each entry's ``position`` in its changeset, from 1, and the changeset's
+    ``tables`` in order of first appearance."""
     keys = [*scope, "version"]
     light, heavy = _versioned(log, window_ms, scope, heavy_rows)
     if light is not None:
@@ -263,8 +286,7 @@ def place_operations(
         tables = materialise(changeset_tables(placed, scope, with_size=True), "tables")
         heavy = join_weighted(placed, tables, keys, "table_rows", ["id"], heavy_rows)
         heavy = heavy.drop("table_rows")
-    part = F.floor((F.col("position") - 1) / F.lit(rows_per_part)).cast("long")
-    return both(light, heavy).withColumn("part", part)
+    return both(light, heavy)
 
 
 def nest_operations(
@@ -276,10 +298,12 @@ def nest_operations(
 ) -> DataFrame:
     """Changesets with their ``operations`` (whole entries) in order.
 
-    A changeset with more than ``rows_per_part`` entries takes several rows, ``part`` 0, 1, …,
-    so that no row grows with the changeset. The parts in order are the whole.
+    Arrays are an explicit request; text and JSON come one row per operation. A changeset with more
+    than ``rows_per_part`` entries takes several rows, ``part`` 0, 1, …, so that no row grows with
+    the changeset. The parts in order are the whole.
     """
-    placed = place_operations(log, window_ms, scope, rows_per_part, heavy_rows)
+    part = F.floor((F.col("position") - 1) / F.lit(rows_per_part)).cast("long")
+    placed = place_operations(log, window_ms, scope, heavy_rows).withColumn("part", part)
     return gather_parts(placed, scope, F.struct(*log.columns), "operations")
 
 

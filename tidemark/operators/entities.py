@@ -182,15 +182,19 @@ def entity_warnings(fks: DataFrame, classes: DataFrame, catalog: DataFrame) -> D
 def apply_overrides(entity_map: DataFrame, exclude: DataFrame, reassign: DataFrame) -> DataFrame:
     """Manual changes to the map: leave out child tables, then hand tables to other entities.
 
-    ``exclude(schema_name, table_name)``; ``reassign(schema_name, table_name, to_entity)``, with
-    ``position`` if a table may occur several times (the last counts). A reassigned table leaves
+    ``exclude(schema_name, table_name)``; ``reassign(schema_name, table_name, to_entity)``. A table
+    may occur several times only if there is a ``position``; the last counts. A reassigned table leaves
     all owners and joins the target by its key to it or, if it has none, by the first key it has
     to any entity (entities by number of children). It is gone if the target is no entity.
     """
-    by_table = reassign.groupBy(*TABLE).agg(
-        (F.max_by("to_entity", "position") if "position" in reassign.columns else F.max("to_entity"))
-        .alias("to_entity")
-    )
+    if "position" in reassign.columns:
+        target = F.max_by("to_entity", "position")
+    else:
+        target = F.max("to_entity")
+        repeated = reassign.groupBy(*TABLE).count().filter("count > 1").first()
+        if repeated:
+            raise ValueError(f"table {repeated['table_name']!r} is moved twice: give the moves a position")
+    by_table = reassign.groupBy(*TABLE).agg(target.alias("to_entity"))
     children = entity_map.filter(~F.col("is_root"))
     kept = (
         children.join(exclude.select(*TABLE).distinct(), TABLE, "left_anti")

@@ -10,7 +10,7 @@ from ..functions.images import iso_millis, utc_seconds
 from ..functions.text import filled
 from ..plans.heavy import HEAVY_ROWS
 from ..schemas import DEFAULT_WINDOW_MS, DELETE, ENTITY_SCOPE, INSERT, SCHEMA_CHANGE, UPDATE
-from .changesets import ROWS_PER_PART, gather_parts, place_operations
+from .changesets import place_operations
 from .diff import changed_fields, column_changes, listed_fields, with_parsed
 
 
@@ -72,7 +72,7 @@ def header_text(first_operation: Column) -> Column:
     changeset = filled(
         text.CHANGESET_HEADER,
         F.col("version").cast("string"),
-        F.substring("transaction_id", 1, text.TX_LENGTH),
+        F.substring("changeset_transaction_id", 1, text.TX_LENGTH),
         date,
         F.array_join("tables", text.LIST_SEPARATOR),
     )
@@ -81,42 +81,59 @@ def header_text(first_operation: Column) -> Column:
     ).otherwise(changeset)
 
 
+def _with_header(placed: DataFrame, scope: list[str], header: Column, item: Column, out: str) -> DataFrame:
+    """One row per operation, and at position 0 one for the changeset, made from its first entry."""
+    line = lambda position, value: F.struct(position.alias("position"), value.alias(out))
+    own = line(F.col("position"), item)
+    lines = F.when(
+        F.col("position") == 1, F.array(line(F.lit(0).cast("long"), header), own)
+    ).otherwise(F.array(own))
+    return placed.select(*scope, "version", F.inline(lines))
+
+
 def render_text(
     log: DataFrame,
     window_ms: int = DEFAULT_WINDOW_MS,
     verbose: bool = False,
     scope: list[str] = ENTITY_SCOPE,
-    rows_per_part: int = ROWS_PER_PART,
     heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
-    """One row per changeset with its ``text``; a changeset above ``rows_per_part`` entries is
-    continued in further parts, which follow each other line by line.
+    """(scope, version, position, text): a header row at position 0 and one row per operation.
 
-    Every entry is printed before the grouping, so only finished blocks travel.
+    The same shape for a changeset of any size; its rows in order, put together by line breaks, are
+    its text (``whole_text``).
     """
-    placed = place_operations(log, window_ms, scope, rows_per_part, heavy_rows)
-    printed = with_parsed(placed, verbose).withColumn("block", operation_text(verbose))
-    parts = gather_parts(printed, scope, F.struct("block", "operation"), "items")
-    blocks = F.array_join("items.block", "\n")
-    header = header_text(F.col("items")[0]["operation"])
-    whole = F.when(F.col("part") == 0, F.concat_ws("\n", header, blocks)).otherwise(blocks)
-    return parts.select(*scope, "version", "part", whole.alias("text"))
+    placed = place_operations(log, window_ms, scope, heavy_rows)
+    printed = with_parsed(placed, verbose)
+    header = header_text(F.col("operation"))
+    return _with_header(printed, scope, header, operation_text(verbose), "text")
 
 
 def newest_first(rendered: DataFrame, scope: list[str] = ENTITY_SCOPE) -> DataFrame:
-    """The printing order: per entity the newest changeset first, its parts in sequence."""
-    return rendered.orderBy(*scope, F.desc("version"), "part")
+    """The printing order: per entity the newest changeset first, its rows in sequence."""
+    return rendered.orderBy(*scope, F.desc("version"), "position")
+
+
+def _in_order(rows: DataFrame, scope: list[str], column: str) -> DataFrame:
+    listed = F.array_sort(F.collect_list(F.struct("position", column)))
+    return rows.groupBy(*scope, "version").agg(listed.alias("listed"))
+
+
+def whole_text(rendered: DataFrame, scope: list[str] = ENTITY_SCOPE) -> DataFrame:
+    """One row per changeset with its whole ``text``: for changesets that fit into one row."""
+    whole = F.array_join("listed.text", "\n")
+    return _in_order(rendered, scope, "text").select(*scope, "version", whole.alias("text"))
 
 
 def changesets_json(
     log: DataFrame,
     window_ms: int = DEFAULT_WINDOW_MS,
     scope: list[str] = ENTITY_SCOPE,
-    rows_per_part: int = ROWS_PER_PART,
     heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
-    """One JSON document per changeset (per part of one), images embedded, ids as strings."""
-    placed = place_operations(log, window_ms, scope, rows_per_part, heavy_rows)
+    """(scope, version, position, json): at position 0 the changeset, behind it one document per
+    operation, images embedded, ids as strings. ``whole_documents`` puts them together."""
+    placed = place_operations(log, window_ms, scope, heavy_rows)
     operation = F.struct(
         F.col("id").cast("string").alias("id"),
         F.col("entity_type").alias("entityType"),
@@ -129,28 +146,36 @@ def changesets_json(
         F.col("transaction_id").alias("transactionId"),
         iso_millis("created_at").alias("createdAt"),
     )
-    document = F.to_json(operation, {"ignoreNullFields": "false"})
-    parts = gather_parts(placed, scope, document, "items")
     head = F.struct(
         "version",
-        F.col("transaction_id").alias("transactionId"),
+        F.col("changeset_transaction_id").alias("transactionId"),
         iso_millis("timestamp").alias("timestamp"),
+        F.col("is_autocommit_grouped").alias("isAutocommitGrouped"),
     )
-    json = F.concat(
-        F.regexp_replace(F.to_json(head), r"\}$", ""),
-        F.lit(',"operations":['),
-        F.array_join("items", ","),
-        F.lit('],"isAutocommitGrouped":'),
-        F.col("is_autocommit_grouped").cast("string"),
-        F.lit("}"),
-    )
-    return parts.select(*scope, "version", "part", json.alias("json"))
+    document = F.to_json(operation, {"ignoreNullFields": "false"})
+    return _with_header(placed, scope, F.to_json(head), document, "json")
 
 
 def oldest_first(documents: DataFrame, scope: list[str] = ENTITY_SCOPE) -> DataFrame:
-    return documents.orderBy(*scope, "version", "part")
+    return documents.orderBy(*scope, "version", "position")
+
+
+def whole_documents(documents: DataFrame, scope: list[str] = ENTITY_SCOPE) -> DataFrame:
+    """One JSON document per changeset with its operations: for changesets that fit into one row."""
+    head, operations = F.element_at("listed.json", 1), F.slice("listed.json", 2, F.size("listed"))
+    flag = ',"isAutocommitGrouped"'
+    json = F.concat(
+        F.substring_index(head, flag, 1),
+        F.lit(',"operations":['),
+        F.array_join(operations, ","),
+        F.lit("]"),
+        F.lit(flag),
+        F.substring_index(head, flag, -1),
+    )
+    return _in_order(documents, scope, "json").select(*scope, "version", json.alias("json"))
 
 
-def write_json(documents: DataFrame, path: str) -> None:
-    """One document per line, in scope and version order across the files."""
-    oldest_first(documents).select("json").write.text(path)
+def write_json(documents: DataFrame, path: str, scope: list[str] = ENTITY_SCOPE) -> None:
+    """One line per row, each with its scope, version and position, in order across the files."""
+    line = F.struct(*scope, "version", "position", F.parse_json("json").alias("document"))
+    oldest_first(documents, scope).select(F.to_json(line)).write.text(path)

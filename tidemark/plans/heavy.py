@@ -166,11 +166,11 @@ def join_weighted(
     hot = broadcast_checked(
         dim.filter(F.col(weight) > limit).select(*on, copies.alias("_copies"))
     )
-    salted_facts = facts.join(hot, on, "left").withColumn(
+    salted_facts = match(facts, hot, on, "left").withColumn(
         "_salt",
         F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_copies")), F.lit(0)).cast("int"),
     )
     salted_dim = dim.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.greatest(copies, F.lit(1)) - 1))
     )
-    return salted_facts.drop("_copies").join(salted_dim, [*on, "_salt"]).drop("_salt")
+    return match(salted_facts.drop("_copies"), salted_dim, [*on, "_salt"], "inner").drop("_salt")

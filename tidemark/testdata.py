@@ -27,9 +27,9 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = (event % 50).cast("string")
     return table(spark, sf_dir, "events").select(
         event.alias("id"),
-        F.when(user % 3 == 0, "course")
-        .when(user % 3 == 1, "billing")
-        .otherwise("class")
+        F.when(user % 3 == 0, "vessel")
+        .when(user % 3 == 1, "voyage")
+        .otherwise("crew")
         .alias("entity_type"),
         user.cast("string").alias("entity_id"),
         F.when(event % 4 == 0, "root")
@@ -151,7 +151,7 @@ def skewed_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
     hot = F.col("id") % 3 == 0
     return log_keys(spark, sf_dir).withColumns(
         {
-            "entity_type": F.when(hot, "course").otherwise(F.col("entity_type")),
+            "entity_type": F.when(hot, "vessel").otherwise(F.col("entity_type")),
             "entity_id": F.when(hot, "hot").otherwise(F.col("entity_id")),
         }
     )
