@@ -49,7 +49,8 @@ FROM numbered GROUP BY conv_id
 """
 
 ORACLES["op7_source_mix"] = """
-WITH RECURSIVE sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+WITH RECURSIVE numbered AS MATERIALIZED (SELECT *, row_number() OVER () AS r FROM documents),
+sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 weighed AS (SELECT source, n, pow(n::DOUBLE, 0.5)::DECIMAL(38, 6) AS exact, pow(n::DOUBLE, 0.5) AS w FROM sizes),
 rates AS (
     SELECT source, w * (SELECT sum(n) FROM sizes)::DOUBLE / ((SELECT sum(exact) FROM weighed)::DOUBLE * n) AS rate
@@ -65,13 +66,13 @@ drawn AS (
     SELECT d.r, d.doc_id, d.source, part,
         (CAST('0x' || substr(md5('mix-1|' || coalesce(d.doc_id::VARCHAR, 'null') || '|' || part), 1, 13) AS BIGINT)
          + 0.5) / 4503599627370496 AS u
-    FROM (SELECT *, row_number() OVER () AS r FROM documents) d
+    FROM numbered d
     JOIN means m ON d.source IS NOT DISTINCT FROM m.source, unnest(generate_series(1, m.parts)) t(part)),
 counts AS (
-    SELECT r, doc_id, d.source, count(*) AS copies
+    SELECT r, count(*) AS copies
     FROM drawn d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source AND s.cdf <= d.u
-    GROUP BY r, doc_id, d.source)
-SELECT doc_id, source, (c - 1)::INT AS mix_copy,
+    GROUP BY r)
+SELECT doc_id, text, lang, source, n_chars, (c - 1)::INT AS mix_copy,
     md5('mix-1/order|' || coalesce(doc_id::VARCHAR || '|', '') || (c - 1)) AS mix_order
-FROM counts, unnest(generate_series(1, copies)) t(c)
+FROM counts JOIN numbered USING (r), unnest(generate_series(1, copies)) t(c)
 """

@@ -49,8 +49,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.mix_sources(docs)
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 @registered
