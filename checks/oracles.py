@@ -21,9 +21,9 @@ e0 AS (
     CASE user_id % 3 WHEN 0 THEN 'vessel' WHEN 1 THEN 'voyage' ELSE 'crew' END AS entity_type,
     CAST(user_id AS VARCHAR) AS entity_id,
     CASE WHEN event_id % 4 = 0 THEN 'root' ELSE 'child' || (event_id % 3) END AS table_name,
-    CAST(event_id % 50 AS VARCHAR) AS row_id,
+    CAST(event_id % 50 + event_id // 5000 * 50 AS VARCHAR) AS row_id,
     CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END AS operation,
-    '{"id":' || (event_id % 50) || ',"k":' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 5)
+    '{"id":' || (event_id % 50 + event_id // 5000 * 50) || ',"k":' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 5)
       || ',"kind":"' || event_type || '"}' AS image,
     user_id || '-' || strftime(ts, '%Y%m%d') AS transaction_id,
     ts AS created_at

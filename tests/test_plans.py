@@ -73,3 +73,11 @@ def test_snapshot_diff_joins_once_and_writes_json_of_changes_only(spark):
     assert text.count("Join ") == 1
     # The filter on the operation lies below the projection that makes the images.
     assert text.index("StructsToJson") < text.index("Filter") < text.index("Join ")
+
+
+def test_entity_history_prunes_folders(spark):
+    stored = td.stored_changelog(spark, DATA)
+    found = changesets.entity_history(stored, "vessel", "3", since="2024-01-05 00:00:00")
+    folders, pushed = plan(found).split("PartitionFilters: ")[1].split("PushedFilters: ")[:2]
+    assert "entity_type" in folders and "created_date" in folders
+    assert "EqualTo(entity_id,3)" in pushed
