@@ -78,6 +78,39 @@ def test_near_duplicates_equal_brute_force(spark, copied):
     assert sorted(r.doc_id for r in got if r.is_first) == sorted({r.class_id for r in got})
 
 
+def test_pairs_within_a_family_just_below_the_threshold(spark):
+    """Texts of one template, 0.77 alike, with pairs of 0.83: leaders are alike to none of them."""
+    chosen = random.Random(11)
+    template, texts = said(chosen, 200), []
+    for _ in range(150):
+        own = [f"{template} {said(chosen, 8)}"] * 2
+        texts += [f"{text} {said(chosen, 21)}" for text in own]
+    chosen.shuffle(texts)
+    texts = list(enumerate(texts))
+    want = classes_by_brute_force(texts)
+    assert len(set(want.values())) == 150
+    got = near_dup.near_duplicates(docs_frame(spark, texts)).collect()
+    assert {r.doc_id: r.class_id for r in got} == want
+    # Few pairs are formed: not those that share the template alone.
+    open_ = spark.createDataFrame([(n.to_bytes(8), n.to_bytes(8), t) for n, t in texts], "node binary, component binary, text string")
+    assert 150 <= near_dup.candidates(open_, 0.8).count() < 1000
+
+
+def test_candidates_hold_all_alike_pairs(spark, copied):
+    chosen = random.Random(12)
+    slots = [said(chosen, 3) for _ in range(6)]
+    texts = [t for _, t in copied if t and t.strip()][::2]
+    for _ in range(80):
+        texts.append(" ".join(said(random.Random(k), 12) + " " + chosen.choice(slots) for k in range(8)))
+        texts.append(texts[-1] + " " + said(chosen, chosen.randint(1, 25)))
+    weights = [weighted(shingle_hashes(t)) for t in texts]
+    want = {(b, a) for a in range(len(texts)) for b in range(a) if similarity(weights[a], weights[b]) >= 0.8}
+    rows = [(n.to_bytes(4), n.to_bytes(4), t) for n, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "node binary, component binary, text string")
+    got = {(int.from_bytes(r.a), int.from_bytes(r.b)) for r in near_dup.candidates(frame, 0.8).collect()}
+    assert len(want) > 500 and want <= got
+
+
 def test_one_row_of_each_class_stays(spark, copied, odd_docs, no_docs):
     frame = docs_frame(spark, copied)
     kept = near_dup.drop_near_duplicates(frame.union(frame.limit(5)))

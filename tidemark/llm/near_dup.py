@@ -21,6 +21,14 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
 LEADERS = 4
+COUNTERS = 1 << 20
+
+
+def units(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One value per unit of weight: the weighted similarity of two texts is the plain one of their units."""
+    first = np.cumsum(counts) - counts
+    unit = np.arange(int(counts.sum()), dtype=np.uint64) - np.repeat(first, counts).astype(np.uint64)
+    return mix(np.repeat(hashes, counts) + unit * np.uint64(0xA0761D6478BD642F))
 
 
 def dart_signature(hashes: np.ndarray, counts: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
@@ -32,9 +40,7 @@ def dart_signature(hashes: np.ndarray, counts: np.ndarray, coordinates: int = CO
     coordinate by hash; the dart with the least rank there is its value. Only darts below a rank are
     thrown, at first so that about k ln k + 2k darts land; while a coordinate is empty, the rank doubles.
     """
-    first = np.cumsum(counts) - counts
-    unit = np.arange(int(counts.sum()), dtype=np.uint64) - np.repeat(first, counts).astype(np.uint64)
-    regions = mix(np.repeat(hashes, counts) + unit * np.uint64(0xA0761D6478BD642F))
+    regions = units(hashes, counts)
     limit = (coordinates * math.log(coordinates) + 2 * coordinates) / len(regions)
     while True:
         ranks, darts = _throw(regions, limit)
@@ -133,6 +139,110 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     )
 
 
+def frequencies(texts: DataFrame) -> np.ndarray:
+    """At the hash of a unit modulo ``COUNTERS``: at least the number of texts, of (node, text), that hold it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for value in batch.column(0):
+                held = units(*weighted(shingle_hashes(value.as_py())))
+                np.add.at(table, (held % np.uint64(COUNTERS)).astype(np.int64), 1)
+        slots = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(table[slots])], ["slot", "n"])
+
+    counted = texts.select("text").mapInArrow(count, "slot long, n long")
+    counted = counted.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(COUNTERS, np.int64)
+    table[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    return table
+
+
+def prefixes(texts: DataFrame, often: np.ndarray, threshold: float) -> DataFrame:
+    """(unit, node, component, size, place, indexed): the rarest units of each text of (node, component, text).
+
+    In one order of all units, rare ones first, the first unit that two texts of at least ``threshold``
+    share is among the first ``size - threshold * size + 1`` of both. In the smaller text it is even
+    among the first ``size - 2 * threshold / (1 + threshold) * size + 1``: these are ``indexed``.
+    Units that only one text holds are left out, places count them.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                held = units(*weighted(shingle_hashes(batch.column(2)[n].as_py())))
+                number = often[(held % np.uint64(COUNTERS)).astype(np.int64)]
+                size = len(held)
+                probed, indexed = (
+                    size - math.ceil(part * size - 1e-6) + 1 for part in (threshold, 2 * threshold / (1 + threshold))
+                )
+                order = np.lexsort((held, number))[:probed]
+                places = np.flatnonzero(number[order] > 1)
+                rows = len(places)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(held[order][places].view(np.int64)),
+                        pa.array([batch.column(0)[n].as_py()] * rows, pa.binary()),
+                        pa.array([batch.column(1)[n].as_py()] * rows, pa.binary()),
+                        pa.array(np.full(rows, size, np.int64)),
+                        pa.array(places + 1, pa.int64()),
+                        pa.array(places < indexed),
+                    ],
+                    ["unit", "node", "component", "size", "place", "indexed"],
+                )
+
+    return texts.select("node", "component", "text").mapInArrow(
+        cut, "unit long, node binary, component binary, size long, place long, indexed boolean"
+    )
+
+
+def candidates(texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): all pairs of different components, out of (node, component, text), whose similarity can
+    reach ``threshold``; no such pair is left out.
+
+    Texts meet at a rare unit that both hold. Pairs within the largest component at a unit are not formed.
+    """
+    spots = materialise(prefixes(texts, frequencies(texts), threshold), "spots")
+    parts = spots.groupBy("unit", "component").agg(F.count(F.lit(1)).alias("n"), F.max("indexed").alias("indexed"))
+    met = parts.groupBy("unit").agg(
+        F.max_by("component", "n").alias("major"), F.count(F.lit(1)).alias("parts"), F.max("indexed").alias("any")
+    )
+    met = met.filter(F.col("any") & (F.col("parts") > 1)).select("unit", "major")
+    spots = spots.join(met, "unit").withColumn("minor", F.col("component") != F.col("major")).drop("major")
+    spots = materialise(spots, "met")
+    x, y = (
+        spots.select("unit", *(F.col(c).alias(f"{c}_{side}") for c in spots.columns if c != "unit")) for side in "xy"
+    )
+    x = x.filter("indexed_x")
+    # What both can share from the first unit they share on, against what the threshold asks.
+    shared = 1 + F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
+    enough = shared * (1 + threshold) >= threshold * (F.col("size_x") + F.col("size_y")) - 1e-6
+    fits = (F.col("component_x") != F.col("component_y")) & (F.col("size_x") <= F.col("size_y")) & enough
+    pairs = [
+        left.join(right, (left["unit"] == right["unit"]) & fits).select(
+            F.col("node_x").alias("x"), F.col("node_y").alias("y")
+        )
+        for left, right in ((x.filter("minor_x"), y), (x.filter("not minor_x"), y.filter("minor_y")))
+    ]
+    return _ordered(pairs[0].union(pairs[1]))
+
+
+def _named(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(band, node, component) of all members, and the bands that hold several components."""
+    found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    named = members.join(found, "node", "left").select(
+        "band", "node", F.coalesce("component", "node").alias("component")
+    )
+    named = materialise(named, "named")
+    mixed = (
+        named.groupBy("band")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .filter("low <> high")
+        .select("band")
+    )
+    return named, mixed
+
+
 def near_duplicates(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -144,8 +254,10 @@ def near_duplicates(
     row each and no pairs. Nodes that share a band meet in a bucket. There the node with the most
     company over all its bands, which is the text that copies were made from rather than one of the
     copies, is compared with all others; then the next ``LEADERS`` - 1 with those that are not yet in
-    their class. So rows grow with the size of a bucket, not with its square. All comparisons are
-    exact, on whole texts.
+    their class. What then still shares a bucket with another class goes through an exact join:
+    such texts meet at the rarest parts they share (``candidates``), and every pair that can reach
+    ``threshold`` is compared. So texts that share only what a large group has in common are not
+    paired, and no pair that shares a band is missed. All comparisons are exact, on whole texts.
 
     Null texts are empty. Texts without words are one class, texts of fewer than five words are alike
     only if their words are the same. A null key counts behind all others, so ``class_id`` is null
@@ -172,18 +284,7 @@ def near_duplicates(
     first = _ordered(first.select(F.col("leader").alias("x"), F.col("node").alias("y")))
     compared = materialise(similarities(first, texts), "compared")
     links = compared.filter(F.col("similarity") >= threshold)
-    found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    named = members.join(found, "node", "left").select(
-        "band", "node", F.coalesce("component", "node").alias("component")
-    )
-    named = materialise(named, "named")
-    mixed = (
-        named.groupBy("band")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .filter("low <> high")
-        .select("band")
-    )
+    named, mixed = _named(members, links)
     others = leaders.filter("rank > 1").join(mixed, "band").join(
         named.select("band", F.col("node").alias("leader"), F.col("component").alias("leader_component")),
         ["band", "leader"],
@@ -191,7 +292,14 @@ def near_duplicates(
     second = named.join(others, "band").filter("component <> leader_component")
     second = _ordered(second.select(F.col("leader").alias("x"), F.col("node").alias("y")))
     second = second.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-    more = similarities(second, texts).filter(F.col("similarity") >= threshold)
+    compared = compared.union(materialise(similarities(second, texts), "compared"))
+    links = compared.filter(F.col("similarity") >= threshold)
+
+    named, mixed = _named(members, links)
+    open_ = named.join(mixed, "band", "left_semi").select("node", "component").distinct()
+    open_ = materialise(texts.join(open_, "node").select("node", "component", "text"), "open")
+    third = candidates(open_, threshold).join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    more = similarities(third, texts).filter(F.col("similarity") >= threshold)
     links = materialise(links.union(more), "links")
     found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
