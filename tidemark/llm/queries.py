@@ -8,7 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.session import new_path
 
-from . import ann, chat, decontam, mixing, near_dup, secret_scan, token_counts, token_ids, toxicity, url_filter
+from . import (
+    alignment,
+    ann,
+    chat,
+    decontam,
+    mixing,
+    near_dup,
+    secret_scan,
+    token_counts,
+    token_ids,
+    toxicity,
+    url_filter,
+    vector_codes,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +101,13 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op6_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
+@registered
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@registered
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"))

@@ -134,6 +134,10 @@ class Encoder:
             self.known.update((piece, value) for piece, value in found.items() if len(piece) <= CACHED_LENGTH)
             return ids
 
+    def encode_plain(self, text: str) -> np.ndarray:
+        """Ids of a text in which special tokens are ordinary text."""
+        return np.frombuffer(self._plain(text), np.uint32)
+
     def encode(self, text: str) -> np.ndarray:
         parts, at = [], 0
         for special in self.special.finditer(text):
