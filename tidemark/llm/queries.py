@@ -13,6 +13,7 @@ from . import (
     ann,
     chat,
     decontam,
+    language,
     mixing,
     near_dup,
     secret_scan,
@@ -111,3 +112,8 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokenizers(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_languages(table(spark, sf_dir, "documents"))
