@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -241,3 +242,39 @@ def test_labels_of_held_out_rows_are_not_learned_from(spark):
     turned = labels.withColumn("toxic", F.when(toxicity.held_out("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     models = [toxicity.train(docs, some) for some in (labels, turned)]
     assert (models[0].weights == models[1].weights).all() and models[0].bias == models[1].bias
+
+
+def test_toxicity_weights_equal_a_plain_fit(spark):
+    chosen, rows = random.Random(19), []
+    for n in range(120):
+        text = said(chosen, chosen.choice([1, 20, 60]))
+        rows.append((n, text + " vile rubbish" * (n % 3 == 0), int(n % 3 == 0)))
+    rows += [(0, rows[0][1], 1), (1, "another text of a labelled key", 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, t) for n, _, t in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    learned = sorted({r for r in rows if zlib.crc32(str(r[0]).encode()) % 5})
+    held = np.zeros((len(learned), toxicity.BUCKETS))
+    for row, (_, text, _) in zip(held, learned):
+        row[toxicity.ngram_buckets(text)] = 1
+    y = np.array([t for _, _, t in learned])
+    with_label, without = held[y == 1].sum(axis=0) + 1, held[y == 0].sum(axis=0) + 1
+    ratio = np.log(with_label / with_label.sum()) - np.log(without / without.sum())
+    ratio[held.sum(axis=0) == 0] = 0
+    share = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+
+    def loss(weights, bias):
+        logit = held @ weights + bias
+        data = (share * (np.logaddexp(0, logit) - y * logit)).mean()
+        seen = ratio != 0
+        return data + ((weights[seen] / ratio[seen]) ** 2).sum() / (2 * len(y))
+
+    # No small change of any kind makes the fit better: it is the least value of a convex function.
+    best = loss(model.weights.astype(float), model.bias)
+    for _ in range(30):
+        step = np.random.default_rng(chosen.randint(0, 10**6)).standard_normal(toxicity.BUCKETS) * 0.01 * ratio
+        assert loss(model.weights + step, model.bias) > best - 1e-5
+    assert loss(model.weights.astype(float), model.bias + 0.05) > best and loss(model.weights.astype(float), model.bias - 0.05) > best
+    assert best < loss(model.weights * 0.9, model.bias) and best < loss(model.weights * 1.1, model.bias)
+    used = np.count_nonzero(model.weights)
+    assert used >= 0.95 * np.count_nonzero(ratio)
