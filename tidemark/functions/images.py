@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import canonical_numbers
 from .text import NULL_TEXT
 
 # Nulls stay visible and timestamps keep their microseconds.
@@ -37,15 +38,9 @@ def image_text(image: str | Column) -> Column:
 
 
 def canonical(text: Column) -> Column:
-    """JSON text as ``to_json`` prints a variant, such that equal JSON values give equal texts.
-
-    Spark sorts object keys and trims decimals itself. Numbers in exponent form arrive as doubles;
-    whole ones are printed without fraction, so that 1e2 and 100 agree.
-    """
-    number = text.try_cast("double")
-    whole = (number == F.floor(number)) & (F.abs(number) < 1e21)
-    double_text = ~text.startswith('"') & (text.contains("E") | text.endswith(".0"))
-    return F.when(double_text & whole, number.cast("decimal(22,0)").cast("string")).otherwise(text)
+    """JSON text as ``to_json`` prints a variant, such that equal JSON values give equal texts: Spark sorts
+    object keys itself, numbers get one form per value at any depth."""
+    return canonical_numbers(text)
 
 
 def printed(text: Column, value: Column) -> Column:
