@@ -426,6 +426,13 @@ SELECT id, r_entity_type AS entity_type, r_entity_id AS entity_id, table_name, r
 FROM resolved""",
     "capture_stream": f"""WITH {LOG},
 known AS (SELECT *, lag(new_values) OVER (PARTITION BY table_name, row_id ORDER BY id) AS prev FROM log)
+SELECT table_name, row_id, id AS seq, transaction_id, created_at,
+  CASE WHEN new_values IS NULL THEN 'DELETE' WHEN prev IS NULL THEN 'INSERT' ELSE 'UPDATE' END AS operation,
+  prev AS old_values, new_values FROM known""",
+    "capture_stream_hot": f"""WITH {LOG},
+hot AS (SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN 'hot' ELSE table_name END AS table_name,
+  CASE WHEN id % 3 = 0 THEN 'hot' ELSE row_id END AS row_id) FROM log),
+known AS (SELECT *, lag(new_values) OVER (PARTITION BY table_name, row_id ORDER BY id) AS prev FROM hot)
 SELECT table_name, row_id, id AS seq, transaction_id, created_at,
   CASE WHEN new_values IS NULL THEN 'DELETE' WHEN prev IS NULL THEN 'INSERT' ELSE 'UPDATE' END AS operation,
   prev AS old_values, new_values FROM known""",
@@ -490,6 +497,15 @@ own AS (SELECT * REPLACE (CAST(id AS VARCHAR) AS transaction_id) FROM log){versi
 SELECT entity_type, entity_id, make_timestamp(first_ms * 1000) AS "timestamp", first_id,
   first_tx AS transaction_id, n_operations, n_operations > 1 AS is_autocommit_grouped FROM changesets""",
     "stream_changesets": f"WITH {LOG}{versions()} SELECT entity_type, entity_id, {SUMMARY} FROM numbered",
+    "stream_changesets_corrected": f"WITH {LOG}{versions()} SELECT entity_type, entity_id, {SUMMARY} FROM numbered",
+    "stream_late_rows": f"""WITH {LOG},
+bounds AS (SELECT min(epoch_us(created_at)) AS low, max(epoch_us(created_at)) AS high FROM log),
+delivered AS (SELECT *, (epoch_us(created_at) - low) * 3 // (high - low + 1)
+  + CASE WHEN id % 50 = 7 THEN 1 ELSE 0 END AS turn FROM log, bounds),
+newest AS (SELECT turn, max(epoch_ms(created_at)) AS ms FROM delivered GROUP BY turn),
+marks AS (SELECT t.turn, (SELECT max(ms) FROM newest n WHERE n.turn < t.turn) - 3600000 AS mark FROM newest t)
+SELECT id, entity_type, entity_id, coalesce(epoch_ms(created_at) <= mark, false) AS is_late
+FROM delivered JOIN marks USING (turn)""",
     "field_diff": f"""WITH {LOG},
 fields AS (SELECT *, unnest(json_keys(new_values)) AS field FROM log WHERE operation = 'UPDATE')
 SELECT {CONTEXT}, field, {_value('old_values', 'field')} AS old_value,
@@ -606,3 +622,23 @@ SELECT (SELECT count(*) FROM coverage) AS expected_tables,
   (SELECT count(*) = count(*) FILTER (WHERE entries > 0) FROM coverage)
     AND (SELECT count(*) FROM drift) = 0 AS ok""",
 }
+
+ORACLES["stream_sessions_corrected"] = ORACLES["stream_sessions"]
+ORACLES["stream_changesets_hot"] = (
+    f"WITH {LOG}{SKEWED}{versions('skewed')} SELECT entity_type, entity_id, {SUMMARY} FROM numbered"
+)
+
+# A number of eight digits that begin and end with 1, as in the images.
+_DIGITS = "'1' || lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0') || '1'"
+ORACLES["field_diff_numbers"] = """
+SELECT o_orderkey AS id, 'e' AS field, CAST(o_orderkey AS VARCHAR) AS old_value,
+  o_orderkey || '.25' AS new_value, false AS was_missing
+FROM orders WHERE o_orderkey % 4 = 3"""
+ORACLES["format_numbers"] = f"""
+WITH numbers AS (SELECT o_orderkey AS id, CAST(o_orderkey AS VARCHAR) AS k, {_DIGITS} AS m FROM orders)
+SELECT id, 'a' AS field, '[1' || k || '00,{{"b":' || k || '.5}}]' AS value FROM numbers
+UNION ALL SELECT id, 'c', '1.' || substr(m, 2) || 'e+32' FROM numbers
+UNION ALL SELECT id, 'd', '1.' || substr(m, 2) || 'e-9' FROM numbers"""
+ORACLES["unmapped_changes"] = f"""WITH {LOG}{_map(FEED_MAP[:2])}
+SELECT table_name, count(*) AS changes, min(created_at) AS first_at, max(created_at) AS last_at
+FROM log WHERE table_name NOT IN (SELECT m_table_name FROM entity_map) GROUP BY table_name"""

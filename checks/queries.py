@@ -13,9 +13,16 @@ from tidemark.operators import capture, changesets, diff, drift, entities, query
 from tidemark.schemas import CHANGELOG_COLUMNS, ENTITY_MAP
 from tidemark.session import new_path
 from tidemark.sources import catalog, changelog, profile
-from tidemark.streaming.capture import capture_stream, late_rows
-from tidemark.streaming.changesets import changesets_of, stream_changesets
-from tidemark.streaming.sessions import stream_sessions
+from tidemark.streaming.capture import capture_stream, captured_rows, late_rows
+from tidemark.streaming.changesets import (
+    changesets_of,
+    late_entries,
+    stream_changesets,
+    streamed_entries,
+    streamed_versions,
+)
+from tidemark.streaming.late import corrected
+from tidemark.streaming.sessions import collect_sessions, stream_sessions, streamed_rows, streamed_sessions
 
 WINDOW = td.DERIVED_WINDOW_MS
 CAPTURED_AT = "2024-03-01 12:00:00"
@@ -172,14 +179,27 @@ def resolve_entity_ids(spark, sf):
 
 @registered
 def capture_stream_rows(spark, sf):
-    source = td.log(spark, sf).select(
+    return _captured(spark, td.log(spark, sf), "capture")
+
+
+@registered
+def capture_stream_hot(spark, sf):
+    """A third of all rows belong to one row key, which is cut into range pieces."""
+    hot = F.col("id") % 3 == 0
+    rows = td.log(spark, sf).withColumns(
+        {c: F.when(hot, "hot").otherwise(F.col(c)) for c in ("table_name", "row_id")}
+    )
+    return _captured(spark, rows, "capture-hot", heavy_rows=1_000)
+
+
+def _captured(spark, log, name, **options):
+    source = log.select(
         "table_name", "row_id", F.col("id").alias("seq"), F.col("new_values").alias("image"),
         "transaction_id", "created_at",
     )
-    captured = td.run_in_slices(
-        spark, source, lambda s: capture_stream(s, ["table_name", "row_id"]), "capture"
-    )
-    applied, _ = late_rows(captured)
+    key = ["table_name", "row_id"]
+    folder = td.feed_slices(spark, source, lambda s, *to: capture_stream(s, *to, key, **options), name)
+    applied, _ = late_rows(captured_rows(spark, folder))
     return applied.filter(F.col("table_name") != "sentinel")
 
 
@@ -322,17 +342,72 @@ def stream_sessions_closed(spark, sf):
     ).filter(F.col("entity_type") != "sentinel")
 
 
+def _own_transactions(spark, sf):
+    return td.log_keys(spark, sf).withColumn("transaction_id", F.col("id").cast("string"))
+
+
+# Every fiftieth entry comes one slice later than its time, far behind the watermark.
+POSTPONED = "id % 50 = 7"
+OPEN_FOR = {"tx_timeout_ms": 86_400_000, "delay_ms": 3_600_000}
+
+
 @registered
-def stream_changesets_closed(spark, sf):
-    versions = td.run_in_slices(
-        spark,
-        td.log_keys(spark, sf),
-        lambda s: stream_changesets(s, WINDOW, tx_timeout_ms=86_400_000, delay="1 hour"),
-        "changesets",
+def stream_sessions_corrected(spark, sf):
+    """Time groups of a stream with late rows; entities that these touch are grouped anew."""
+    log = _own_transactions(spark, sf)
+    folder = td.feed_slices(
+        spark, log, lambda s, *to: collect_sessions(s, *to, WINDOW, 3_600_000), "sessions-late", 3, POSTPONED
     )
+    late = streamed_rows(spark, folder).filter("is_late")
+
+    def grouped(entries):
+        sessions = changesets.build_changesets(entries, WINDOW)
+        return sessions.withColumn("first_id", F.col("transaction_id").cast("long"))
+
+    found = corrected(log, late, streamed_sessions(spark, folder), grouped)
+    return found.filter(F.col("entity_type") != "sentinel")
+
+
+def _numbered(spark, log, name, postponed=None, **options):
+    def start(stream, *to):
+        return stream_changesets(stream, *to, WINDOW, **OPEN_FOR, **options)
+
+    return td.feed_slices(spark, log, start, name, 2 if postponed is None else 3, postponed)
+
+
+@registered
+def stream_changesets_closed(spark, sf):
+    versions = streamed_versions(spark, _numbered(spark, td.log_keys(spark, sf), "changesets"))
+    return changesets_of(versions).filter(F.col("entity_type") != "sentinel")
+
+
+@registered
+def stream_changesets_hot(spark, sf):
+    """A third of all rows belong to one entity, which is cut into range pieces."""
+    log = td.skewed_changelog(spark, sf).select(*td.log_keys(spark, sf).columns)
+    versions = streamed_versions(spark, _numbered(spark, log, "changesets-hot", heavy_rows=1_000))
     return changesets_of(versions).filter(F.col("entity_type") != "sentinel")
 
 
+@registered
+def stream_late_rows(spark, sf):
+    """Every entry of a stream with late rows, and whether it came behind the watermark."""
+    folder = _numbered(spark, td.log_keys(spark, sf), "changesets-late", POSTPONED)
+    entries = streamed_entries(spark, folder).filter(F.col("entity_type") != "sentinel")
+    return entries.select("id", "entity_type", "entity_id", "is_late")
+
+
+@registered
+def stream_changesets_corrected(spark, sf):
+    """Changesets of a stream with late rows; entities that these touch are numbered anew."""
+    log = td.log_keys(spark, sf)
+    folder = _numbered(spark, log, "changesets-corrected", POSTPONED)
+    streamed = changesets_of(streamed_versions(spark, folder)).filter(F.col("entity_type") != "sentinel")
+    return corrected(
+        log, late_entries(spark, folder), streamed, lambda entries: changesets.build_changesets(entries, WINDOW)
+    )
+
+
 # --- diffs and rendering --------------------------------------------------------------------
 
 
@@ -341,6 +416,45 @@ def field_diff(spark, sf):
     return diff.field_diff(td.log(spark, sf))
 
 
+def _number_texts(spark, sf):
+    """Each order's price as one entry whose images spell the same numbers differently; every fourth
+    changes in fact."""
+    k = F.col("o_orderkey").cast("string")
+    # Eight digits that begin and end with 1.
+    m = F.concat(F.lit("1"), F.lpad(F.pmod("o_orderkey", F.lit(1_000_000)).cast("string"), 6, "0"), F.lit("1"))
+    changed = F.col("o_orderkey") % 4 == 3
+    old = F.format_string(
+        '{"a":[1%s00,{"b":%s.50}],"c":%s0000000000000000000000000,"d":0.00000000%s,"e":%s}', k, k, m, m, k)
+    new = F.format_string(
+        '{"a":[1%se2,{"b":%s.5e0}],"c":%se25,"d":%se-16,"e":%s}', k, k, m, m,
+        F.when(changed, F.concat(k, F.lit("25e-2"))).otherwise(F.concat(k, F.lit(".0"))))
+    return td.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.lit("order").alias("entity_type"), k.alias("entity_id"),
+        F.lit("orders").alias("table_name"), k.alias("row_id"), F.lit("UPDATE").alias("operation"),
+        old.alias("old_values"), new.alias("new_values"), k.alias("transaction_id"),
+        F.col("o_orderdate").cast("timestamp").alias("created_at"))
+
+
+@registered
+def field_diff_numbers(spark, sf):
+    """Only what is another number is a change, however it is written."""
+    return diff.field_diff(_number_texts(spark, sf)).select("id", "field", "old_value", "new_value", "was_missing")
+
+
+@registered
+def format_numbers(spark, sf):
+    """Numbers at any depth as text, in full, short and scientific form."""
+    fields = diff.with_parsed(_number_texts(spark, sf))
+    listed = fields.select("id", F.inline(diff.listed_fields("_after", hide_id=False)))
+    return listed.filter(F.col("field") != "e")
+
+
+@registered
+def unmapped_changes(spark, sf):
+    changes = td.log(spark, sf).drop("entity_type", "entity_id", "row_id")
+    return capture.unmapped_changes(changes, _entity_map(spark, FEED_MAP[:2]))
+
+
 @registered
 def field_change_counts(spark, sf):
     return diff.field_change_counts(td.log(spark, sf))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.entries import valid_entry
 from ..functions.ids import content_hash, content_id
 from ..functions.images import image_text, row_image
-from ..plans.heavy import HEAVY_ROWS, broadcast_checked, with_previous
+from ..plans.heavy import HEAVY_ROWS, broadcast_checked, match, with_previous
 from ..schemas import CHANGELOG_COLUMNS, DELETE, INSERT, UPDATE
 
 
@@ -117,7 +117,8 @@ def resolve_entity_ids(changes: DataFrame, entity_map: DataFrame) -> DataFrame:
     """Owning entity and row id of changes to many tables, from their images.
 
     ``changes`` has table_name, operation, old_values and new_values. The new image decides, for
-    deletes the old one. Changes of tables outside the map are left out. If both have a
+    deletes the old one. Changes of tables outside the map are left out (``unmapped_changes`` counts
+    them). If both have a
     ``schema_name``, a table is known by it and its name, so that one map serves many databases.
     ``entity_map`` is configuration with one row per table, which is checked; so is its size before
     it is broadcast.
@@ -148,6 +149,17 @@ def resolve_entity_ids(changes: DataFrame, entity_map: DataFrame) -> DataFrame:
     )
 
 
+def unmapped_changes(changes: DataFrame, entity_map: DataFrame) -> DataFrame:
+    """(table, changes, first and last time): what ``resolve_entity_ids`` leaves out because no entity
+    owns the table, counted per table; tables are told apart by database if both frames name it."""
+    both_named = "schema_name" in changes.columns and "schema_name" in entity_map.columns
+    table = ["schema_name", "table_name"] if both_named else ["table_name"]
+    counted = changes.groupBy(*table).agg(
+        F.count(F.lit(1)).alias("changes"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at")
+    )
+    return match(counted, entity_map.select(*table).distinct(), table, "left_anti")
+
+
 def split_rejects(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries fit for the changelog, and the rest (no entity id, unknown operation, …)."""
     return entries.filter(valid_entry()), entries.filter(~valid_entry())

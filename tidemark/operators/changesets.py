@@ -78,7 +78,12 @@ def _opens_group(before: Column, window_ms: int) -> Column:
 
 def _members_light(log: DataFrame, scope: list[str], window_ms: int) -> DataFrame:
     """One row per (scope, transaction) with the start of its changeset; a single exchange."""
-    transactions = _transactions(by_key(log, scope), scope)
+    return _grouped_light(_transactions(by_key(log, scope), scope), scope, window_ms)
+
+
+def _grouped_light(
+    transactions: DataFrame, scope: list[str], window_ms: int, keep: list[str] = []
+) -> DataFrame:
     ordered = window_over([*scope, "is_autocommit"], FIRST)
     opens = ~F.col("is_autocommit") | _opens_group(F.lag("first_ms").over(ordered), window_ms)
     first = F.struct(F.col("first_ms").alias("start_ms"), *_as_start())
@@ -88,13 +93,18 @@ def _members_light(log: DataFrame, scope: list[str], window_ms: int) -> DataFram
     return (
         transactions.withColumn("opens", opens)
         .withColumn("start", start)
-        .select(*scope, "transaction_id", "rows", "is_autocommit", "start.*")
+        .select(*scope, "transaction_id", "rows", "is_autocommit", *keep, "start.*")
     )
 
 
 def _members_heavy(log: DataFrame, scope: list[str], window_ms: int) -> DataFrame:
     """The same for heavy scopes: map-side combined transactions, then pieces of a scope."""
-    transactions = materialise(_transactions(log, scope), "transactions")
+    return _grouped_heavy(materialise(_transactions(log, scope), "transactions"), scope, window_ms)
+
+
+def _grouped_heavy(
+    transactions: DataFrame, scope: list[str], window_ms: int, keep: list[str] = []
+) -> DataFrame:
     explicit = transactions.filter(~F.col("is_autocommit")).withColumns(
         {"start_ms": F.col("first_ms"), **dict(zip(START, map(F.col, FIRST)))}
     )
@@ -112,11 +122,27 @@ def _members_heavy(log: DataFrame, scope: list[str], window_ms: int) -> DataFram
     carried = with_carried(opened, scope, _open=(F.max("opened"), "max"))
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
     start = F.coalesce(F.last("opened", ignorenulls=True).over(running), "_open")
-    columns = [*scope, "transaction_id", "rows", "is_autocommit"]
+    columns = [*scope, "transaction_id", "rows", "is_autocommit", *keep]
     auto = carried.withColumn("start", start).select(*columns, "start.*")
     return explicit.select(*columns, "start_ms", *START).unionByName(auto)
 
 
+def group_transactions(
+    transactions: DataFrame,
+    window_ms: int = DEFAULT_WINDOW_MS,
+    scope: list[str] = ENTITY_SCOPE,
+    heavy_rows: int = HEAVY_ROWS,
+    keep: list[str] = [],
+) -> DataFrame:
+    """The start of its changeset on each of the given transactions, one stored row per (scope,
+    transaction) with rows, first_at, first_id, first_ms, is_autocommit and the columns ``keep``."""
+    light, heavy = split_heavy(transactions, scope, heavy_rows)
+    return both(
+        None if light is None else _grouped_light(light, scope, window_ms, keep),
+        None if heavy is None else _grouped_heavy(heavy, scope, window_ms, keep),
+    )
+
+
 def _as_start() -> list[Column]:
     return [F.col(f).alias(s) for f, s in zip(FIRST, START)]
 

@@ -1,13 +1 @@
 """The same operators on streams."""
-
-from __future__ import annotations
-
-import sys
-
-from pyspark import cloudpickle
-
-
-def ship(module: str) -> None:
-    """Send a module's state processors to the workers by value, so that they run wherever the
-    package is importable only on the driver."""
-    cloudpickle.register_pickle_by_value(sys.modules[module])

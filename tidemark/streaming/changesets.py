@@ -2,149 +2,205 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from . import ship
+from ..operators.changesets import CHANGESET_ORDER, group_transactions
+from ..plans.heavy import (
+    HEAVY_ROWS,
+    both,
+    join_weighted,
+    match,
+    number_heavy,
+    number_light,
+    split_heavy,
+)
 from ..schemas import DEFAULT_WINDOW_MS, ENTITY_SCOPE
+from ..session import materialise
+from .late import advanced, mark_late
+from .store import Commit, Store, run_into
 
-OPEN = T.StructType(
-    [
-        T.StructField("transaction_id", T.StringType()),
-        T.StructField("rows", T.LongType()),
-        T.StructField("first_us", T.LongType()),
-        T.StructField("first_id", T.LongType()),
-        T.StructField("last_us", T.LongType()),
-    ]
-)
-NEXT = T.StructType([T.StructField("version", T.LongType())])
-OUTPUT = [
-    T.StructField("version", T.LongType()),
-    T.StructField("transaction_id", T.StringType()),
-    T.StructField("rows", T.LongType()),
-    T.StructField("changeset_transaction_id", T.StringType()),
-    T.StructField("start_ms", T.LongType()),
-    T.StructField("is_autocommit_grouped", T.BooleanType()),
-]
-
-ship(__name__)
-
-
-def combine(records) -> dict[str, tuple]:
-    """Partial records (transaction, rows, first µs, first id, last µs) -> one per transaction."""
-    known: dict[str, tuple] = {}
-    for tx, rows, us, number, last in records:
-        if tx in known:
-            rows_, us_, number_, last_ = known[tx]
-            known[tx] = (rows_ + rows, *min((us_, number_), (us, number)), max(last_, last))
-        else:
-            known[tx] = (rows, us, number, last)
-    return known
-
-
-class OpenTransactions(StatefulProcessor):
-    """Open transactions of one entity as small records, and its next version number.
-
-    Input only appends to the list, one call per chunk; it is combined when a timer reads it.
-    """
+# Lists of last versions that are read side by side before they are made one.
+DELTAS = 16
+ENTRIES, VERSIONS = "entries", "versions"
+
+
+def _names(scope: list[str]) -> list[T.StructField]:
+    return [T.StructField(c, T.StringType()) for c in scope]
+
+
+def _entries(scope: list[str]) -> T.StructType:
+    more = "id long, transaction_id string, created_at timestamp, is_late boolean"
+    return T.StructType([*_names(scope), *T.StructType.fromDDL(more).fields])
+
+
+def _open(scope: list[str]) -> T.StructType:
+    more = "transaction_id string, rows long, first_at timestamp, first_id long, last_ms long"
+    return T.StructType([*_names(scope), *T.StructType.fromDDL(more).fields])
 
-    def __init__(self, scope: list[str], window_ms: int, tx_timeout_ms: int):
-        self.scope, self.window_ms, self.tx_timeout_ms = scope, window_ms, tx_timeout_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getListState("open", OPEN)
-        self.next = handle.getValueState("next", NEXT)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        newest = 0
-        for chunk in rows:
-            # Chunk by chunk: a hot entity is never held whole.
-            us, number = chunk["us"].tolist(), chunk["id"].tolist()
-            seen = combine(zip(chunk["transaction_id"], [1] * len(us), us, number, us))
-            self.open.appendList([(tx, *record) for tx, record in seen.items()])
-            newest = max(newest, max(us))
-        hold = max(self.window_ms, self.tx_timeout_ms)
-        self.handle.registerTimer(newest // 1000 + hold + 1)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = timerValues.getCurrentWatermarkInMs()
-        still_open = combine(self.open.get())
-        # (start ms, autocommit, first us, first id, transaction, rows, last ms), in entry order
-        known = sorted(
-            (us // 1000, rows == 1, us, number, tx, rows, last // 1000)
-            for tx, (rows, us, number, last) in still_open.items()
+
+def _last(scope: list[str]) -> T.StructType:
+    return T.StructType([*_names(scope), T.StructField("last_version", T.LongType())])
+
+
+def _versions(scope: list[str]) -> T.StructType:
+    more = (
+        "version long, transaction_id string, rows long, changeset_transaction_id string, "
+        "timestamp timestamp, is_autocommit_grouped boolean"
+    )
+    return T.StructType([*_names(scope), *T.StructType.fromDDL(more).fields])
+
+
+def _combined(open_before: DataFrame, entries: DataFrame, scope: list[str]) -> DataFrame:
+    """Open transactions with the entries of a batch: one row each, combined map-side."""
+    fresh = entries.select(
+        *scope,
+        "transaction_id",
+        F.lit(1).cast("long").alias("rows"),
+        F.col("created_at").alias("first_at"),
+        F.col("id").alias("first_id"),
+        F.unix_millis("created_at").alias("last_ms"),
+    )
+    first = F.min(F.struct("first_at", "first_id")).alias("first")
+    return (
+        open_before.unionByName(fresh)
+        .groupBy(*scope, "transaction_id")
+        .agg(F.sum("rows").alias("rows"), first, F.max("last_ms").alias("last_ms"))
+        .select(
+            *scope,
+            "transaction_id",
+            "rows",
+            "first.*",
+            "last_ms",
+            F.unix_millis("first.first_at").alias("first_ms"),
+            (F.col("rows") == 1).alias("is_autocommit"),
         )
-        groups: list[list[tuple]] = [[t] for t in known if not t[1]]
-        last = None
-        for t in sorted((t for t in known if t[1]), key=lambda t: t[2:5]):
-            if last is not None and t[0] - last <= self.window_ms:
-                groups[-1].append(t)
-            else:
-                groups.append([t])
-            last = t[0]
-        version = self.next.get()[0] if self.next.exists() else 1
-        out = []
-        for group in sorted(groups, key=lambda g: g[0]):
-            end = max(t[6] for t in group)
-            settled = end + self.tx_timeout_ms < now
-            if not settled or (group[0][1] and end + self.window_ms >= now):
-                break
-            size = sum(t[5] for t in group)
-            grouped = group[0][1] and size > 1
-            for t in group:
-                out.append((version, t[4], t[5], group[0][4], group[0][0], grouped))
-                del still_open[t[4]]
-            version += 1
-        if out:
-            self.next.update((version,))
-        if still_open:
-            self.open.put([(tx, *record) for tx, record in still_open.items()])
-        else:
-            self.open.clear()
-        if out:
-            yield self.frame(key, out)
-
-    def frame(self, key, rows: list[tuple]) -> pd.DataFrame:
-        columns = {name: [value] * len(rows) for name, value in zip(self.scope, key)}
-        columns |= zip((f.name for f in OUTPUT), map(list, zip(*rows)))
-        return pd.DataFrame(columns)
-
-    def close(self) -> None:
-        pass
+    )
+
+
+def _settled(watermark_ms: int, window_ms: int, tx_timeout_ms: int) -> Column:
+    """No entry above the watermark can join the changeset any more."""
+    ended = F.col("end_ms") + tx_timeout_ms < watermark_ms
+    return ended & (~F.col("is_autocommit") | (F.col("end_ms") + window_ms < watermark_ms))
+
+
+def _numbered(
+    members: DataFrame, last: DataFrame, settled: Column, scope: list[str], heavy_rows: int
+) -> DataFrame:
+    """``members`` with the version of their changeset; null where it, or one before it, is open."""
+    changesets = members.groupBy(*scope, *CHANGESET_ORDER).agg(
+        F.sum("rows").alias("n_operations"),
+        F.max("last_ms").alias("end_ms"),
+        F.count(F.lit(1)).alias("n_members"),
+    )
+    changesets = materialise(changesets, "changesets")
+    order = F.struct(*CHANGESET_ORDER)
+    # One row per scope: its first open changeset, its last version, and how many rows will ask.
+    scopes = changesets.groupBy(*scope).agg(
+        F.min(F.when(~settled, order)).alias("horizon"), F.count(F.lit(1)).alias("_rows")
+    )
+    scopes = match(scopes, last, scope, "left")
+    joined = join_weighted(changesets, scopes, scope, "_rows", ["start_id"], heavy_rows)
+    passed = F.col("horizon").isNull() | (order < F.col("horizon"))
+    joined = joined.withColumn("passed", passed).drop("horizon", "_rows")
+    light, heavy = split_heavy(joined.filter("passed"), scope, heavy_rows)
+    counted = both(
+        None if light is None else number_light(light, scope, CHANGESET_ORDER, "number"),
+        None if heavy is None else number_heavy(heavy, scope, CHANGESET_ORDER, "number"),
+    )
+    version = F.coalesce("last_version", F.lit(0)) + F.col("number")
+    known = counted.withColumn("version", version).drop("number").unionByName(
+        joined.filter("NOT passed").withColumn("version", F.lit(None).cast("long"))
+    )
+    known = known.drop("last_version", "passed", "end_ms")
+    on = [*scope, *CHANGESET_ORDER]
+    return join_weighted(members, known, on, "n_members", ["transaction_id"], heavy_rows)
 
 
 def stream_changesets(
     stream: DataFrame,
+    folder: str,
+    checkpoint: str,
     window_ms: int = DEFAULT_WINDOW_MS,
     tx_timeout_ms: int = 60_000,
-    delay: str = "10 seconds",
+    delay_ms: int = 10_000,
     scope: list[str] = ENTITY_SCOPE,
-) -> DataFrame:
-    """One row per (scope, transaction) with its final version, as ``transaction_versions`` gives.
-
-    A transaction ends ``tx_timeout_ms`` after its last entry; one that goes on after that is
-    split. A changeset is emitted once the watermark passes everything that could still join or
-    precede it, so versions never change. Entries behind the watermark are dropped from the
-    numbering (and counted by the query's metrics); they stay in the stored changelog.
+    heavy_rows: int = HEAVY_ROWS,
+    **trigger,
+):
+    """A query that numbers the changesets of a stream of entries into the tables of ``folder``.
+
+    A transaction ends ``tx_timeout_ms`` after its last entry; one that goes on after that is split. A
+    changeset is numbered once the watermark (newest time less ``delay_ms``) has passed everything that
+    could still join or precede it, so versions never change.
+
+    Each micro-batch is a batch job over its entries and the open transactions: rows are combined
+    map-side, groups and numbers come from the operators of the batch form, which cut a hot entity into
+    range pieces; nothing runs in Python. Kept between batches are one row per open transaction and
+    the last version of every entity. The latter table is read once per batch, so batches should be
+    as large as the wanted delay allows.
+
+    Every entry is kept in the table of entries with ``is_late``: late are those behind the watermark
+    as it stood before their batch, and those without a time. They take no part in the numbering;
+    ``corrected`` of ``streaming.late`` puts touched entities right. Read the tables with
+    ``streamed_versions``, ``streamed_entries`` and ``late_entries``.
     """
-    keyed = stream.select(
-        *scope, "id", "transaction_id", "created_at", F.unix_micros("created_at").alias("us")
-    ).withWatermark("created_at", delay)
-    output = T.StructType([*[T.StructField(c, T.StringType()) for c in scope], *OUTPUT])
-    numbered = keyed.groupBy(*scope).transformWithStateInPandas(
-        statefulProcessor=OpenTransactions(scope, window_ms, tx_timeout_ms),
-        outputStructType=output,
-        outputMode="Append",
-        timeMode="EventTime",
-    )
-    return numbered.withColumn("timestamp", F.timestamp_millis("start_ms")).drop("start_ms")
+    store = Store(folder)
+    store.open(stream.sparkSession, **{ENTRIES: _entries(scope), VERSIONS: _versions(scope)})
+
+    def step(batch: DataFrame, number: int, before: Commit) -> Commit:
+        spark = stream.sparkSession
+        keys = batch.select(*[F.col(c).cast("string") for c in scope], "id", "transaction_id", "created_at")
+        # Written once, so that one reading of the source decides what is late.
+        path = store.write(mark_late(keys, before.watermark_ms), ENTRIES)
+        entries = spark.read.schema(_entries(scope)).parquet(path)
+        watermark = advanced(entries, before.watermark_ms, delay_ms)
+        state, added = dict(before.state), {ENTRIES: [path]}
+        open_now = _combined(store.state(spark, "open", _open(scope)), entries.filter("NOT is_late"), scope)
+        open_now = materialise(open_now, "open")
+        members = group_transactions(
+            open_now, window_ms, scope, heavy_rows, ["first_at", "first_id", "last_ms"]
+        )
+        members = materialise(members, "members")
+        last = store.state(spark, "last", _last(scope)).groupBy(*scope).agg(F.max("last_version").alias("last_version"))
+        settled = F.lit(False) if watermark is None else _settled(watermark, window_ms, tx_timeout_ms)
+        placed = materialise(_numbered(members, last, settled, scope, heavy_rows), "placed")
+        numbered = placed.filter("version IS NOT NULL")
+        versions = numbered.select(
+            *scope,
+            "version",
+            "transaction_id",
+            "rows",
+            F.col("start_tx").alias("changeset_transaction_id"),
+            F.timestamp_millis("start_ms").alias("timestamp"),
+            (F.col("is_autocommit") & (F.col("n_operations") > 1)).alias("is_autocommit_grouped"),
+        )
+        added[VERSIONS] = [store.write(versions, VERSIONS)]
+        still_open = placed.filter("version IS NULL").select(*_open(scope).fieldNames())
+        state["open"] = [store.write(still_open, "open")]
+        fresh = numbered.groupBy(*scope).agg(F.max("version").alias("last_version"))
+        lists = state.get("last", [])
+        if len(lists) >= DELTAS:
+            fresh, lists = last.unionByName(fresh).groupBy(*scope).agg(F.max("last_version").alias("last_version")), []
+        state["last"] = [*lists, store.write(fresh, "last")]
+        return Commit(number, state, added, watermark)
+
+    return run_into(stream, store, checkpoint, step, **trigger)
+
+
+def streamed_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per (scope, transaction) with its final version, as ``transaction_versions`` gives."""
+    return Store(folder).added(spark, VERSIONS)
+
+
+def streamed_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """The keys of all entries that arrived, with ``is_late``."""
+    return Store(folder).added(spark, ENTRIES)
+
+
+def late_entries(spark: SparkSession, folder: str) -> DataFrame:
+    return streamed_entries(spark, folder).filter("is_late").drop("is_late")
 
 
 def changesets_of(versions: DataFrame, scope: list[str] = ENTITY_SCOPE) -> DataFrame:

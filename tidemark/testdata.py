@@ -141,6 +141,34 @@ def run_in_slices(spark: SparkSession, source: DataFrame, build, name: str, slic
     return spark.read.schema(result.schema).parquet(output)
 
 
+def feed_slices(
+    spark: SparkSession, source: DataFrame, start, name: str, slices: int = 2, postponed: str | None = None
+) -> str:
+    """Feed ``source`` to a query in time slices and return the folder of its tables.
+
+    ``start(stream, folder, checkpoint)`` starts the query; it is started on its checkpoint again for
+    each slice. Rows that the condition ``postponed`` holds for come one slice after their own. A row far in the future ends
+    the last slice, so that all that is open closes; callers filter 'sentinel' out.
+    """
+    session = streaming_session(spark)
+    inputs, folder, state = (new_path(spark, f"{name}-{part}") for part in ("in", "tables", "state"))
+    us = F.unix_micros("created_at")
+    first, last = source.agg(F.min(us), F.max(us)).first()
+    number = F.floor((us - first) * slices / F.lit(last - first + 1))
+    if postponed is not None:
+        number, slices = number + F.expr(postponed).cast("int"), slices + 1
+    for turn in range(slices):
+        part = source.filter(number == turn)
+        (part.unionByName(_sentinel(source)) if turn == slices - 1 else part).write.parquet(f"{inputs}/{turn}")
+        stream = (
+            session.readStream.schema(source.schema)
+            .option("recursiveFileLookup", "true")
+            .parquet(inputs)
+        )
+        start(stream, folder, state).awaitTermination()
+    return folder
+
+
 def _sentinel(source: DataFrame) -> DataFrame:
     values = {"timestamp": F.lit("2100-01-01 00:00:00").cast("timestamp"), "string": F.lit("sentinel")}
     values["bigint"] = F.lit(-1).cast("long")
