@@ -8,6 +8,7 @@ from .queries import (
     COVERAGE_MAP,
     ENTITY,
     FEED_MAP,
+    KEY_COLUMNS,
     SINCE,
     UNTIL,
     WINDOW,
@@ -642,3 +643,30 @@ UNION ALL SELECT id, 'd', '1.' || substr(m, 2) || 'e-9' FROM numbers"""
 ORACLES["unmapped_changes"] = f"""WITH {LOG}{_map(FEED_MAP[:2])}
 SELECT table_name, count(*) AS changes, min(created_at) AS first_at, max(created_at) AS last_at
 FROM log WHERE table_name NOT IN (SELECT m_table_name FROM entity_map) GROUP BY table_name"""
+
+_FLEET_LOG = f"WITH {LOG}, fleet AS (SELECT *, 'db' || id % 2 AS schema_name FROM log)"
+ORACLES["entity_history_fleet"] = f"""{_FLEET_LOG}{versions('fleet', 'schema_name, entity_type, entity_id')}
+SELECT {ENTRY}, schema_name, {VERSION} FROM versioned WHERE {ONE_ENTITY} AND {RANGE}"""
+ORACLES["changesets_without_zone"] = ORACLES["build_changesets"]
+ORACLES["capture_coverage_fleet"] = f"""{_FLEET_LOG}{_map(COVERAGE_MAP)},
+captured AS (SELECT * FROM fleet WHERE schema_name = 'db0' OR table_name = 'root')
+SELECT d.schema_name, m_entity_type AS entity_type, m_table_name AS table_name, count(id) AS entries,
+  count(id) = 0 AS is_missing
+FROM entity_map CROSS JOIN (VALUES ('db0'), ('db1')) d(schema_name)
+LEFT JOIN captured c ON entity_type = m_entity_type AND table_name = m_table_name AND c.schema_name = d.schema_name
+GROUP BY ALL"""
+
+_REFERENCES = [(a, x, b, y) for a, xs in KEY_COLUMNS.items() for x in xs for b, ys in KEY_COLUMNS.items() for y in ys if (a, x) != (b, y)]
+ORACLES["discover_foreign_keys"] = "SELECT * FROM (" + " UNION ALL ".join(_key_check(*r) for r in _REFERENCES) + ") WHERE holds"
+_POSSIBLE_KEYS = {
+    "orders": "o_orderkey o_custkey o_orderstatus o_orderpriority",
+    "customer": "c_custkey c_name c_nationkey c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey",
+    "part": "p_partkey p_name p_brand p_type p_size",
+}
+ORACLES["find_keys"] = "SELECT table_name, column_name, n_rows FROM (" + " UNION ALL ".join(
+    _profile(table, columns) for table, columns in _POSSIBLE_KEYS.items()
+) + ") WHERE is_unique"
+ORACLES["refresh_roundtrip"] = f"""WITH {RECORDED}
+SELECT {content_id('schema_name', 'table_name', 'transaction_id')} AS id, schema_name, table_name,
+  new_values, transaction_id, columns FROM recorded"""

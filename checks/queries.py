@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from tidemark.functions.images import format_value, image_map, row_image
 from tidemark.operators import capture, changesets, diff, drift, entities, query, render
 from tidemark.schemas import CHANGELOG_COLUMNS, ENTITY_MAP
 from tidemark.session import new_path
-from tidemark.sources import catalog, changelog, profile
+from tidemark.sources import catalog, changelog, profile, snapshots
 from tidemark.streaming.capture import capture_stream, captured_rows, late_rows
 from tidemark.streaming.changesets import (
     changesets_of,
@@ -109,6 +110,44 @@ def check_foreign_keys(spark, sf):
     return profile.check_foreign_keys({n: td.table(spark, sf, n) for n in names}, CANDIDATE_KEYS)
 
 
+KEY_COLUMNS = {
+    "region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"],
+    "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey"], "orders": ["o_orderkey", "o_custkey"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], "documents": ["doc_id"],
+    "labels": ["doc_id"], "events": ["event_id", "user_id"],
+}
+
+
+@registered
+def discover_foreign_keys(spark, sf):
+    """Every reference among the whole-number columns of ten tables, found from their values alone."""
+    return profile.discover_foreign_keys({n: td.table(spark, sf, n) for n in KEY_COLUMNS}, KEY_COLUMNS)
+
+
+@registered
+def find_keys(spark, sf):
+    """The unique columns of each table; only likely ones are counted exactly."""
+    found = [
+        profile.find_keys(td.table(spark, sf, name)).withColumn("table_name", F.lit(name))
+        for name in ("orders", "customer", "supplier", "part")
+    ]
+    return reduce(DataFrame.unionByName, found).filter("is_unique").select("table_name", "column_name", "n_rows")
+
+
+@registered
+def refresh_roundtrip(spark, sf):
+    """Both stores after two refreshes in a row: every drifted table is recorded once."""
+    stores = [new_path(spark, name) for name in ("snapshots", "changelog")]
+    snapshots.write_snapshots(td.stored(spark, sf, td.fleet_snapshots), stores[0])
+    for _ in range(2):
+        snapshots.refresh(
+            td.stored(spark, sf, td.fleet_live_catalog), *stores, CAPTURED_AT, td.stored(spark, sf, td.fleet_watched)
+        )
+    kept = snapshots.read_snapshots(spark, stores[0]).filter(F.col("captured_at") == F.lit(CAPTURED_AT).cast("timestamp"))
+    logged = changelog.read_changelog(spark, stores[1]).select("id", "schema_name", "table_name", "new_values", "transaction_id")
+    return logged.join(kept.select("id", "schema_name", "table_name", columns_text().alias("columns")), ["id", "schema_name", "table_name"], "full_outer")
+
+
 @registered
 def schema_snapshot(spark, sf):
     columns = td.stored(spark, sf, td.fleet_catalog)
@@ -312,6 +351,34 @@ def entity_history_full(spark, sf):
     ).drop("created_date", "schema_name")
 
 
+def _fleet_log(spark, sf, log) -> DataFrame:
+    """The changelog as that of two databases whose entities share their names."""
+    return log.withColumn("schema_name", F.concat(F.lit("db"), (F.col("id") % 2).cast("string")))
+
+
+@registered
+def entity_history_fleet(spark, sf):
+    """Each database's history of an entity of the same name, numbered by itself."""
+    log = _fleet_log(spark, sf, td.log(spark, sf))
+    return changesets.entity_history(log, *ENTITY, since=SINCE, until=UNTIL, window_ms=WINDOW, versions="full")
+
+
+@registered
+def changesets_without_zone(spark, sf):
+    """Times without a zone count as UTC."""
+    keys = td.log_keys(spark, sf)
+    return changesets.build_changesets(keys.withColumn("created_at", F.col("created_at").cast("timestamp_ntz")), WINDOW)
+
+
+@registered
+def capture_coverage_fleet(spark, sf):
+    """A table that one database captures and another does not."""
+    log = _fleet_log(spark, sf, td.log_keys(spark, sf)).filter("schema_name = 'db0' OR table_name = 'root'")
+    expected = _entity_map(spark, COVERAGE_MAP)
+    both = [expected.withColumn("schema_name", F.lit(name)) for name in ("db0", "db1")]
+    return drift.capture_coverage(reduce(DataFrame.unionByName, both), log)
+
+
 @registered
 def entity_history_version(spark, sf):
     return changesets.entity_history(td.log(spark, sf), *ENTITY, version=3, window_ms=WINDOW)

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.heavy import (
     HEAVY_ROWS,
@@ -55,7 +56,21 @@ VERSION_COLUMNS = [
 ROWS_PER_PART = 10_000
 
 
+def _timed(log: DataFrame) -> DataFrame:
+    """``log`` with times of the zoned type; times without a zone are UTC, whatever the session's zone."""
+    if isinstance(log.schema["created_at"].dataType, T.TimestampNTZType):
+        since = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', created_at)")
+        return log.withColumn("created_at", F.timestamp_micros(since))
+    return log
+
+
+def scope_of(log: DataFrame) -> list[str]:
+    """What tells entities apart: their type and id, and their database if the log has it."""
+    return ["schema_name", *ENTITY_SCOPE] if "schema_name" in log.columns else ENTITY_SCOPE
+
+
 def _transactions(log: DataFrame, scope: list[str]) -> DataFrame:
+    log = _timed(log)
     first = F.min(F.struct("created_at", "id"))
     return (
         log.groupBy(*scope, "transaction_id")
@@ -280,7 +295,9 @@ def assign_versions(
     scope: list[str] = ENTITY_SCOPE,
     heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
-    """The flat form: every entry of ``log`` with its changeset's version and attributes."""
+    """The flat form: every entry of ``log`` with its changeset's version and attributes. A
+    ``created_at`` without time zone counts, and comes back, as UTC."""
+    log = _timed(log)
     return both(*_versioned(log, window_ms, scope, heavy_rows))
 
 
@@ -292,7 +309,7 @@ def place_operations(
 ) -> DataFrame:
     """The flat form with each entry's ``position`` in its changeset, from 1, and the changeset's
     ``tables`` in order of first appearance."""
-    keys = [*scope, "version"]
+    keys, log = [*scope, "version"], _timed(log)
     light, heavy = _versioned(log, window_ms, scope, heavy_rows)
     if light is not None:
         in_table = F.row_number().over(window_over([*keys, "table_name"], ["position"]))
@@ -396,9 +413,13 @@ def entity_history(
     window_ms: int = DEFAULT_WINDOW_MS,
     versions: str = "filtered",
     heavy_rows: int = HEAVY_ROWS,
+    schema_name: str | None = None,
 ) -> DataFrame:
     """Versioned entries of one entity.
 
+    If the log tells the databases of its entries (``schema_name``), the entity of each database has a
+    history of its own, numbered by itself; ``schema_name`` picks one of them.
+
     ``versions="filtered"``: the time range is applied before grouping, so versions count from the
     start of the range and a transaction cut by it may fall apart into autocommit rows.
     ``versions="full"``: changesets are built from the whole history, then entries outside the
@@ -412,7 +433,9 @@ def entity_history(
     entries = log.filter(
         matching(log, entity_type, entity_id, **(inside if versions == "filtered" else {}))
     )
-    history = assign_versions(entries, window_ms, ENTITY_SCOPE, heavy_rows)
+    if schema_name is not None:
+        entries = entries.filter(F.col("schema_name") == schema_name)
+    history = assign_versions(entries, window_ms, scope_of(log), heavy_rows)
     if versions == "full":
         history = history.filter(matching(history, **inside))
     return history if version is None else history.filter(F.col("version") == version)

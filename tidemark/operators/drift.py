@@ -142,12 +142,14 @@ def schema_timeline(
 def capture_coverage(entity_map: DataFrame, log: DataFrame) -> DataFrame:
     """Per expected table the number of captured entries, and whether it is missing.
 
-    The changelog is reduced to one row per (entity type, table) before the join.
+    If both frames name the database, a table is expected and seen in its own database only. The
+    changelog is reduced to one row per (database, entity type, table) before the join.
     """
-    seen = log.groupBy("entity_type", "table_name").agg(F.count(F.lit(1)).alias("entries"))
-    return entity_map.join(seen, ["entity_type", "table_name"], "left").select(
-        "entity_type",
-        "table_name",
+    both_named = "schema_name" in entity_map.columns and "schema_name" in log.columns
+    table = [*(["schema_name"] if both_named else []), "entity_type", "table_name"]
+    seen = log.groupBy(*table).agg(F.count(F.lit(1)).alias("entries"))
+    return entity_map.join(seen, table, "left").select(
+        *table,
         F.coalesce("entries", F.lit(0)).alias("entries"),
         F.col("entries").isNull().alias("is_missing"),
     )

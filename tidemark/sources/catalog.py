@@ -84,6 +84,7 @@ def column_list() -> Column:
 
 
 def schema_snapshot(catalog: DataFrame, captured_at) -> DataFrame:
-    """One row per table with its columns in order and the capture time."""
+    """One row per table with its columns in order and the capture time; ``write_snapshots`` of
+    ``sources.snapshots`` gives it an id and keeps it."""
     at = captured_at if isinstance(captured_at, Column) else F.lit(captured_at).cast("timestamp")
     return catalog.groupBy(*TABLE).agg(column_list().alias("columns")).withColumn("captured_at", at)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import path_exists
+
 COMMIT = T.StructType(
     [
         T.StructField("batch", T.LongType()),
@@ -44,17 +46,14 @@ class Store:
 
     def open(self, spark: SparkSession, **tables: T.StructType) -> None:
         """Names the output tables; does nothing if the store is there already."""
-        if self._read(spark, missing_ok=True) is not None:
+        if path_exists(spark, f"{self.folder}/commits"):
             return
         added = {name: [self.write(spark.createDataFrame([], schema), name)] for name, schema in tables.items()}
         self._commit(spark, Commit(added=added))
 
-    def _read(self, spark: SparkSession, missing_ok: bool = False) -> DataFrame | None:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/commits")
-        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        if not found and missing_ok:
-            return None
-        return spark.read.schema(COMMIT).option("recursiveFileLookup", "true").parquet(path.toString())
+    def _read(self, spark: SparkSession) -> DataFrame:
+        commits = spark.read.schema(COMMIT).option("recursiveFileLookup", "true")
+        return commits.parquet(f"{self.folder}/commits")
 
     def _commit(self, spark: SparkSession, commit: Commit) -> None:
         row = (commit.batch, commit.state, commit.added, commit.watermark_ms)
