@@ -7,7 +7,7 @@ import pytest
 from tidemark.schemas import CHANGELOG
 from tidemark.session import session
 
-START = datetime(2026, 2, 15, 14, 23, 7)
+START = datetime(2031, 7, 9, 5, 41, 36)
 
 
 @pytest.fixture(scope="session")
@@ -40,9 +40,9 @@ def make_log(spark):
             entry = {
                 "id": number,
                 "entity_type": "vessel",
-                "entity_id": "42",
+                "entity_id": "618",
                 "table_name": "vessel",
-                "row_id": "42",
+                "row_id": "618",
                 "operation": "UPDATE",
                 "old_values": None,
                 "new_values": None,

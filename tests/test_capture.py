@@ -22,7 +22,7 @@ def captured(spark, before, after, **options):
         spark.createDataFrame(before, SCHEMA), spark.createDataFrame(after, SCHEMA), ["row-id"],
         **{
             "table_name": "line", "entity_type": "order", "entity_key_col": "parent",
-            "captured_at": "2026-02-15 14:23:07", "transaction_id": "s1", **options,
+            "captured_at": "2031-07-09 14:23:07", "transaction_id": "s1", **options,
         },
     )
 
@@ -76,14 +76,14 @@ def test_capture_repeats_itself(spark):
 def feed(spark):
     return spark.createDataFrame(
         [
-            (1, "vessel", "insert", None, '{"id":42,"name":"x"}', "t1", START),
-            (2, "cabin", "INSERT", None, '{"id":7,"vesselId":42}', "t1", START),
-            (3, "cabin", "UPDATE", '{"id":7,"vesselId":42}', '{"id":7,"vesselId":43}', "t2", START),
-            (4, "cabin", "DELETE", '{"id":7,"vesselId":43}', None, None, START),
-            (5, "vessel", "UPDATE", '{"id":42}', '{"id":42}', "t3", START),
+            (1, "vessel", "insert", None, '{"id":618,"name":"x"}', "t1", START),
+            (2, "cabin", "INSERT", None, '{"id":7,"vesselId":618}', "t1", START),
+            (3, "cabin", "UPDATE", '{"id":7,"vesselId":618}', '{"id":7,"vesselId":619}', "t2", START),
+            (4, "cabin", "DELETE", '{"id":7,"vesselId":619}', None, None, START),
+            (5, "vessel", "UPDATE", '{"id":618}', '{"id":618}', "t3", START),
             (6, "cabin", "INSERT", None, '{"id":8,"vesselId":null}', "t4", START),
             (7, "other", "INSERT", None, '{"id":1}', "t5", START),
-            (8, "vessel", "TRUNCATE", None, '{"id":42}', "t6", START),
+            (8, "vessel", "TRUNCATE", None, '{"id":618}', "t6", START),
         ],
         "seq long, table_name string, operation string, old_values string, new_values string, "
         "transaction_id string, created_at timestamp",
@@ -101,11 +101,11 @@ def entity_map(spark):
 def test_change_feed(feed, entity_map):
     entries, rejects = capture.split_rejects(capture.capture_change_feed(feed, entity_map))
     assert rows(entries, "id", "entity_type", "entity_id", "row_id", "operation") == [
-        (1, "vessel", "42", "42", "INSERT"),
-        (2, "vessel", "42", "7", "INSERT"),
-        (3, "vessel", "43", "7", "UPDATE"),
-        (4, "vessel", "43", "7", "DELETE"),
-        (5, "vessel", "42", "42", "UPDATE"),
+        (1, "vessel", "618", "618", "INSERT"),
+        (2, "vessel", "618", "7", "INSERT"),
+        (3, "vessel", "619", "7", "UPDATE"),
+        (4, "vessel", "619", "7", "DELETE"),
+        (5, "vessel", "618", "618", "UPDATE"),
     ]
     # No owner, unknown operation; the table outside the map is not captured at all.
     assert rows(rejects, "id") == [(6,), (8,)]
@@ -180,11 +180,11 @@ def test_stored_changelog_prunes_folders(spark, make_log, tmp_path):
     write_changelog(log.withColumn("id", F.col("id") + 10), str(tmp_path / "log"))
     stored = read_changelog(spark, str(tmp_path / "log"))
     assert stored.count() == 6
-    found = query_changelog(stored, "vessel", "42", since="2026-02-16 00:00:00")
+    found = query_changelog(stored, "vessel", "618", since="2031-07-10 00:00:00")
     assert [r.id for r in found.collect()] == [2, 12]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "created_date" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
-    assert "EqualTo(entity_id,42)" in plan
+    assert "EqualTo(entity_id,618)" in plan
 
 
 def test_catalog_frames(spark):

@@ -201,13 +201,13 @@ def test_history_of_a_time_range(make_log):
     log = make_log(("tx1", 0), ("tx1", 1000), ("a1", 2000), ("a2", 9000), ("tx2", 9100))
     since = START + timedelta(milliseconds=1000)
     until = START + timedelta(milliseconds=9000)
-    sliced = cs.entity_history(log, "vessel", "42", since=since, until=until)
+    sliced = cs.entity_history(log, "vessel", "618", since=since, until=until)
     # Both bounds are inclusive; the cut transaction counts as autocommit.
     assert rows(sliced, "id", "version") == [(2, 1), (3, 2), (4, 3)]
-    whole = cs.entity_history(log, "vessel", "42", since=since, until=until, versions="full")
+    whole = cs.entity_history(log, "vessel", "618", since=since, until=until, versions="full")
     assert rows(whole, "id", "version") == [(2, 1), (3, 2), (4, 3)]
     assert rows(whole, "id", "n_operations") == [(2, 2), (3, 1), (4, 2)]
-    second = cs.entity_history(log, "vessel", "42", since=since, version=2)
+    second = cs.entity_history(log, "vessel", "618", since=since, version=2)
     assert rows(second, "id") == [(3,)]
     assert cs.entity_history(log, "vessel", "43").count() == 0
 
@@ -226,7 +226,7 @@ def test_statistics(make_log):
     log = make_log(("tx1", 0), ("tx1", 7, {"operation": "DELETE"}), ("a1", 3, {"entity_id": "43"}))
     assert rows(transaction_groups(log), "transaction_id", "count") == [("a1", 1), ("tx1", 2)]
     assert rows(entity_stats(log), "entity_id", "total", "updates", "deletes") == [
-        ("42", 2, 1, 1),
+        ("618", 2, 1, 1),
         ("43", 1, 1, 0),
     ]
     stats = changelog_stats(log).first()

@@ -7,25 +7,29 @@ import pytest
 from tests.conftest import rows
 from tidemark.operators import diff, render
 
+LONG = "ran aground, " * 40 + "refloated"
 UPDATE = {
-    "old_values": '{"id":42,"name":"Gull","docked":"2026-01-30"}',
-    "new_values": '{"id":42,"name":"Gull","docked":"2026-02-14"}',
+    "old_values": '{"hull":{"length":31.50,"decks":[1,2]},"seaworthy":true,"log":"in port"}',
+    "new_values": '{"hull":{"length":31.5,"decks":[1,2,3]},"seaworthy":false,"log":"%s"}' % LONG,
 }
 CABIN = {
     "table_name": "cabin",
-    "row_id": "9",
+    "row_id": "B/12",
     "operation": "INSERT",
-    "new_values": '{"id":9,"berths":4,"rate":82.30}',
+    "new_values": '{"id":"B/12","suite":true,"beds":[{"width":90},{"width":140}],"view":null}',
 }
 DELETE = {
     "operation": "DELETE",
-    "old_values": '{"id":42,"name":"Gull","docked":"2026-02-14"}',
+    "old_values": '{"id":618,"flags":["P","F"],"insured":false}',
 }
 COLUMNS = (
-    '[{"name":"id","dataType":"integer","nullable":false},'
-    '{"name":"berths","dataType":"smallint","nullable":false}'
+    '[{"name":"id","dataType":"uuid","nullable":false},'
+    '{"name":"suite","dataType":"boolean","nullable":false},'
+    '{"name":"rates","dataType":"jsonb","nullable":true}'
+)
+ADDED = COLUMNS.replace('{"name":"suite","dataType":"boolean","nullable":false},', "") + (
+    ',{"name":"view","dataType":"text","nullable":true},{"name":"floor","dataType":"int2","nullable":false}]'
 )
-ADDED = COLUMNS + ',{"name":"deck","dataType":"varchar","nullable":true}]'
 SCHEMA = {
     "entity_type": "__schema",
     "entity_id": "*",
@@ -33,7 +37,7 @@ SCHEMA = {
     "row_id": "*",
     "operation": "SCHEMA_CHANGE",
 }
-TX = "tide-2026-0007"
+TX = "9f3c51d7e2"
 
 
 def text(log, **options):
@@ -42,12 +46,14 @@ def text(log, **options):
 
 
 def test_text_of_an_update(make_log):
-    assert text(make_log((TX, 0, UPDATE))) == [
-        "changeset v1  [tx: tide-202]  2026-02-15 14:23:07 UTC\n"
-        "  tables: vessel\n"
-        "  -- vessel (id=42)\n"
-        "     UPDATE  docked: 2026-01-30 -> 2026-02-14"
-    ]
+    (found,) = text(make_log((TX, 0, UPDATE)))
+    *head, change = found.splitlines()
+    assert head == ["changeset v1  [tx: 9f3c51d7]  2031-07-09 05:41:36 UTC", "  tables: vessel", "  -- vessel (id=618)"]
+    # Keys of nested objects are in order, their numbers in one form.
+    hull = 'hull: {"decks":[1,2],"length":31.5} -> {"decks":[1,2,3],"length":31.5}'
+    assert change.startswith("     UPDATE  ")
+    assert hull in change and "seaworthy: true -> false" in change
+    assert f"log: in port -> {LONG}" in change
 
 
 def test_text_is_newest_first_with_tables_by_appearance(make_log):
@@ -56,13 +62,14 @@ def test_text_is_newest_first_with_tables_by_appearance(make_log):
     assert newest.splitlines()[0].startswith("changeset v2")
     assert newest.splitlines()[3] == "     DELETE"
     assert oldest.splitlines()[1] == "  tables: vessel, cabin"
-    assert oldest.splitlines()[4:6] == ["  -- cabin (id=9)", "     INSERT  berths=4, rate=82.3"]
+    inserted = '     INSERT  beds=[{"width":90},{"width":140}], suite=true, view=NULL'
+    assert oldest.splitlines()[4] == "  -- cabin (id=B/12)" and sorted(oldest.splitlines()[5]) == sorted(inserted)
 
 
 def test_verbose_shows_ids_and_deleted_values(make_log):
     newest, oldest = text(make_log((TX, 0, CABIN), ("a1", 9000, DELETE)), verbose=True)
-    assert newest.endswith("     DELETE  id=42, name=Gull, docked=2026-02-14")
-    assert oldest.endswith("     INSERT  id=9, berths=4, rate=82.3")
+    assert sorted(newest.splitlines()[-1]) == sorted('     DELETE  id=618, flags=["P","F"], insured=false')
+    assert "id=B/12" in oldest and "suite=true" in oldest and "view=NULL" in oldest
 
 
 def test_missing_images_leave_only_the_label(make_log):
@@ -74,12 +81,14 @@ def test_missing_images_leave_only_the_label(make_log):
 def test_schema_change_text(make_log):
     log = make_log((TX, 0, {**SCHEMA, "old_values": COLUMNS + "]", "new_values": ADDED}))
     assert text(log) == [
-        "schema change  2026-02-15 14:23:07 UTC\n"
+        "schema change  2031-07-09 05:41:36 UTC\n"
         "  -- cabin\n"
-        "     + column 'deck' (varchar, nullable)"
+        "     + column 'view' (text, nullable)\n"
+        "     + column 'floor' (int2)\n"
+        "     - column 'suite'"
     ]
     back = make_log((TX, 0, {**SCHEMA, "old_values": ADDED, "new_values": COLUMNS + "]"}))
-    assert text(back)[0].endswith("     - column 'deck'")
+    assert text(back)[0].endswith("     + column 'suite' (boolean)\n     - column 'view'\n     - column 'floor'")
     blind = make_log((TX, 0, {**SCHEMA, "new_values": ADDED}))
     assert text(blind)[0].endswith("  -- cabin\n     SCHEMA_CHANGE")
     same = make_log((TX, 0, {**SCHEMA, "old_values": ADDED, "new_values": ADDED}))
@@ -126,10 +135,11 @@ def test_field_diff_needs_both_images_and_an_update(make_log):
 def test_listed_fields(make_log):
     log = make_log((TX, 0, CABIN), (TX, 1, DELETE))
     assert rows(diff.image_fields(log, "INSERT"), "field", "value") == [
-        ("berths", "4"),
-        ("rate", "82.3"),
+        ("beds", '[{"width":90},{"width":140}]'),
+        ("suite", "true"),
+        ("view", "NULL"),
     ]
-    assert diff.image_fields(log, "INSERT", verbose=True).count() == 3
+    assert diff.image_fields(log, "INSERT", verbose=True).count() == 4
     assert diff.image_fields(log, "DELETE").count() == 0
     assert diff.image_fields(log, "DELETE", verbose=True).count() == 3
 
@@ -137,7 +147,7 @@ def test_listed_fields(make_log):
 def test_schema_change_diff(make_log):
     log = make_log((TX, 0, {**SCHEMA, "old_values": COLUMNS + "]", "new_values": ADDED}))
     assert rows(diff.schema_change_diff(log), "change", "name", "data_type", "nullable") == [
-        ("added", "deck", "varchar", True)
+        ("added", "floor", "int2", False), ("added", "view", "text", True), ("removed", "suite", "boolean", False)
     ]
 
 
@@ -148,11 +158,12 @@ def test_json_documents(make_log):
     assert list(parsed) == [
         "version", "transactionId", "timestamp", "operations", "isAutocommitGrouped",
     ]
-    assert parsed["timestamp"] == "2026-02-15T14:23:07.000Z"
+    assert parsed["timestamp"] == "2031-07-09T05:41:36.000Z"
     assert parsed["isAutocommitGrouped"] is False
     first, second = parsed["operations"]
-    assert first["id"] == "1" and first["oldValues"]["docked"] == "2026-01-30"
-    assert second["oldValues"] is None and second["newValues"]["rate"] == 82.3
+    assert first["id"] == "1" and first["oldValues"]["hull"] == {"length": 31.5, "decks": [1, 2]}
+    assert first["newValues"]["log"] == LONG
+    assert second["oldValues"] is None and second["newValues"]["beds"][1]["width"] == 140
 
 
 def test_json_export_can_be_put_together_again(spark, make_log, tmp_path):
@@ -161,7 +172,7 @@ def test_json_export_can_be_put_together_again(spark, make_log, tmp_path):
     files = sorted((tmp_path / "out").glob("part-*"))
     lines = [json.loads(line) for f in files for line in f.read_text().splitlines()]
     places = [(line["entity_type"], line["entity_id"], line["version"], line["position"]) for line in lines]
-    assert places == [("vessel", "42", v, p) for v in (1, 2, 3) for p in (0, 1)] + [
-        ("vessel", "42", 4, p) for p in (0, 1, 2)
+    assert places == [("vessel", "618", v, p) for v in (1, 2, 3) for p in (0, 1)] + [
+        ("vessel", "618", 4, p) for p in (0, 1, 2)
     ]
     assert lines[-2]["document"]["tableName"] == "cabin" and lines[-3]["document"]["version"] == 4

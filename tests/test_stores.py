@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timezone
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,9 +101,9 @@ def test_sketches_of_large_columns_lose_no_reference(spark):
 def test_histories_of_databases_do_not_melt(spark, make_log):
     log = make_log(("t1", 0), ("t1", 5), ("t2", 9_000), ("t3", 20_000))
     fleet = log.withColumn("schema_name", F.when(F.col("id") % 2 == 0, "north").otherwise("south"))
-    history = cs.entity_history(fleet, "vessel", "42")
+    history = cs.entity_history(fleet, "vessel", "618")
     assert rows(history, "schema_name", "id", "version") == [("north", 2, 1), ("north", 4, 2), ("south", 1, 1), ("south", 3, 2)]
-    assert rows(cs.entity_history(fleet, "vessel", "42", schema_name="north"), "id", "version") == [(2, 1), (4, 2)]
+    assert rows(cs.entity_history(fleet, "vessel", "618", schema_name="north"), "id", "version") == [(2, 1), (4, 2)]
     expected = spark.createDataFrame([("north", "vessel", "vessel"), ("east", "vessel", "vessel")], "schema_name string, entity_type string, table_name string")
     assert rows(drift.capture_coverage(expected, fleet), "schema_name", "entries") == [("east", 0), ("north", 2)]
 
@@ -117,11 +119,11 @@ def test_times_without_zone_are_utc(spark, make_log, zone):
         offsets = F.when(F.col("id") == 1, 0).when(F.col("id") == 2, 400).otherwise(2_000)
         base = F.lit(START.isoformat(sep=" ")).cast("timestamp_ntz")
         at = base + F.make_dt_interval(secs=offsets / 1000)
-        ntz = bare.select("id", F.lit("vessel").alias("entity_type"), F.lit("42").alias("entity_id"), "transaction_id", at.cast("timestamp_ntz").alias("created_at"))
+        ntz = bare.select("id", F.lit("vessel").alias("entity_type"), F.lit("618").alias("entity_id"), "transaction_id", at.cast("timestamp_ntz").alias("created_at"))
         built = cs.build_changesets(ntz)
         assert rows(built, "version", "n_operations") == want
         micros = built.select(F.unix_millis("timestamp").alias("ms")).filter("version = 1").first()["ms"]
-        assert micros == 1_771_165_387_000
+        assert micros == round(START.replace(tzinfo=timezone.utc).timestamp() * 1000)
         assert cs.assign_versions(ntz).count() == 3 and cs.place_operations(ntz.withColumns({c: F.lit("x") for c in ("table_name", "row_id", "operation")})).count() == 3
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)

@@ -276,7 +276,7 @@ def test_feed_streams_into_the_stored_changelog(spark, tmp_path):
     )
     entity_map = session.createDataFrame([("vessel", "cabin", False, "vesselId", ["id"])], ENTITY_MAP)
     for number in (1, 2):
-        image = f'{{"id":{number},"vesselId":42}}'
+        image = f'{{"id":{number},"vesselId":618}}'
         row = (number, "cabin", "INSERT", None, image, None, START + timedelta(days=number))
         spark.createDataFrame([row], schema).write.mode("append").parquet(str(tmp_path / "in"))
         stream = session.readStream.schema(schema).parquet(str(tmp_path / "in"))
@@ -285,5 +285,5 @@ def test_feed_streams_into_the_stored_changelog(spark, tmp_path):
         )
         query.awaitTermination()
     stored = read_changelog(spark, str(tmp_path / "log"))
-    assert rows(stored, "id", "entity_id", "row_id") == [(1, "42", "1"), (2, "42", "2")]
-    assert (tmp_path / "log" / "entity_type=vessel" / "created_date=2026-02-16").is_dir()
+    assert rows(stored, "id", "entity_id", "row_id") == [(1, "618", "1"), (2, "618", "2")]
+    assert (tmp_path / "log" / "entity_type=vessel" / "created_date=2031-07-10").is_dir()
