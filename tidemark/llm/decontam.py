@@ -16,57 +16,60 @@ from .near_dup import row_id
 from .shingles import WORDS_PER_SHINGLE, mix, shingle_hashes, stream, words_of
 
 THRESHOLD = 0.8
-HASHES = 64
-SMALLEST_CLASS = 0
-CHUNK = 4096  # shingles hashed at once
+BINS = 128  # one minimum for each part of the range of hashes
+SMALL_CLASS = 2  # items up to this class, of fewer than 8 shingles, keep all their hashes
+WINDOWS = 4096  # windows whose minima are taken at once
 FILTER_BITS = 27  # a filter of item keys has at most 2^27 bits, 16 MB
-_MULTIPLIERS = stream(np.arange(HASHES, dtype=np.uint64), 7) | np.uint64(1)
+_EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def size_class(length: int) -> int:
     """Items of 2^c to 2^(c+1) - 1 shingles are of class c."""
-    return max(SMALLEST_CLASS, length.bit_length() - 1)
+    return length.bit_length() - 1
 
 
-def _salts(number: int) -> np.ndarray:
-    """Sets the hash functions of one size class and span apart from those of all others."""
-    return stream(np.arange(HASHES, dtype=np.uint64), 1000 + number)
+def _salt(number: int, span: int) -> np.uint64:
+    """Sets the keys of one size class and span apart from those of all others."""
+    return stream(np.array([8 * number + span], np.uint64), 1000)[0]
 
 
-def _block_minima(hashes: np.ndarray, block: int) -> np.ndarray:
-    """Least value of every hash function in each block of consecutive shingles."""
-    found = []
-    for start in range(0, len(hashes), CHUNK):
-        values = hashes[start : start + CHUNK, None] * _MULTIPLIERS[None, :]
-        whole = len(values) // block * block
-        if whole:
-            found.append(values[:whole].reshape(-1, block, HASHES).min(axis=1))
-        if whole < len(values):
-            found.append(values[whole:].min(axis=0)[None, :])
-    return np.concatenate(found)
+def _minima(hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """One-permutation MinHash of several sets, each a row of ``places`` of hashes, -1 for none: the least
+    hash of every bin that is not empty. An empty bin has no value and takes none from another bin."""
+    rows, _ = np.nonzero(places >= 0)
+    values = hashes[places[places >= 0]]
+    least = np.full(len(places) * BINS, _EMPTY)
+    np.minimum.at(least, rows * BINS + (values >> np.uint64(57)).astype(np.int64), values)
+    return np.unique(least[least != _EMPTY])
 
 
 def item_keys(hashes: np.ndarray, span: int) -> np.ndarray:
-    """One key per hash function for the shingles of an item."""
-    minima = _block_minima(hashes, len(hashes)).min(axis=0)
-    return minima ^ _salts(8 * size_class(len(hashes)) + span)
+    """The MinHash values of an item; all its hashes if it is small."""
+    number = size_class(len(hashes))
+    values = np.unique(hashes) if number <= SMALL_CLASS else _minima(hashes, np.arange(len(hashes))[None, :])
+    return values ^ _salt(number, span)
 
 
-def window_keys(hashes: np.ndarray, classes: list[int], span: int) -> Iterator[np.ndarray]:
-    """Keys of all windows of a document, class by class.
+def window_keys(hashes: np.ndarray, hits: np.ndarray, classes: list[int], span: int) -> Iterator[np.ndarray]:
+    """MinHash values of a document's windows, class by class; ``hits`` are the places of shingles that
+    some item has.
 
     The windows of class c are 2^(c+2) shingles long and begin every 2^(c+1), so an item of the class
-    lies whole within one of them, and is at least a fifth of what it holds: with 64 hash functions
-    a contained item misses its window with a chance of about 10^-6.
+    lies whole within one of them, and is at least a fifth of what it holds. The values are hashes of
+    shingles, so a window without a hit can meet no item and is passed over. A contained item misses
+    its window with a chance below 10^-6; small items, compared by all their hashes, never do.
     """
-    blocks, at = _block_minima(hashes, 2 << classes[0]), classes[0]
     for number in classes:
-        while at < number:
-            pairs = len(blocks) // 2 * 2
-            merged = np.minimum(blocks[0:pairs:2], blocks[1:pairs:2])
-            blocks, at = np.concatenate([merged, blocks[pairs:]]), at + 1
-        windows = np.minimum(blocks[:-1], blocks[1:]) if len(blocks) > 1 else blocks
-        yield windows ^ _salts(8 * number + span)[None, :]
+        if number <= SMALL_CLASS:
+            yield hashes[hits] ^ _salt(number, span)
+            continue
+        step = 2 << number
+        last = max(0, -(-len(hashes) // step) - 2)
+        windows = np.unique(np.clip(np.concatenate([hits // step - 1, hits // step]), 0, last))
+        size = max(1, WINDOWS * 64 // step)
+        for start in range(0, len(windows), size):
+            places = windows[start : start + size, None] * step + np.arange(2 * step)[None, :]
+            yield _minima(hashes, np.where(places < len(hashes), places, -1)) ^ _salt(number, span)
 
 
 class KeyFilter:
@@ -83,11 +86,15 @@ class KeyFilter:
     def _holds(self, place: np.ndarray) -> np.ndarray:
         return (self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The places of keys that may be in."""
+        found = np.flatnonzero(self._holds(keys & self.mask))
+        places = self.places(keys[found], self.mask)
+        return found[self._holds(places[1]) & self._holds(places[2])]
+
     def pick(self, keys: np.ndarray) -> np.ndarray:
         """The different keys that may be in."""
-        keys = np.unique(keys[self._holds(keys & self.mask)])
-        places = self.places(keys, self.mask)
-        return keys[self._holds(places[1]) & self._holds(places[2])]
+        return np.unique(keys[self.find(keys)])
 
 
 def _key_filter(keys: DataFrame) -> KeyFilter:
@@ -184,16 +191,15 @@ def find_contained(
                 text = text.as_py()
                 for span, numbers in spans.items():
                     hashes = shingle_hashes(text, span)
-                    if not len(hashes):
+                    hits = shingle_filter.find(hashes)
+                    if not len(hits):
                         continue
-                    hits = [key_filter.pick(w.ravel()) for w in window_keys(hashes, numbers, span)]
-                    hits = np.concatenate(hits)
-                    if len(hits):
-                        for flag, found in ((True, hits), (False, shingle_filter.pick(hashes))):
-                            rows += [row.as_py()] * len(found)
-                            docs_of += [doc.as_py()] * len(found)
-                            flags += [flag] * len(found)
-                            values.append(found.view(np.int64))
+                    keys = [key_filter.pick(some) for some in window_keys(hashes, hits, numbers, span)]
+                    for flag, found in ((True, np.concatenate(keys)), (False, np.unique(hashes[hits]))):
+                        rows += [row.as_py()] * len(found)
+                        docs_of += [doc.as_py()] * len(found)
+                        flags += [flag] * len(found)
+                        values.append(found.view(np.int64))
             values = np.concatenate(values) if values else np.zeros(0, np.int64)
             columns = [rows, docs_of, flags, values]
             yield pa.RecordBatch.from_arrays(
