@@ -171,12 +171,6 @@ lines AS (
 """
 
 
-def text_sql() -> str:
-    return f"""{text_lines_sql(False)}
-SELECT entity_type, entity_id, version, string_agg(text, chr(10) ORDER BY position) AS text
-FROM lines GROUP BY entity_type, entity_id, version"""
-
-
 # --- the fleet of databases ------------------------------------------------------------------
 
 
@@ -531,7 +525,7 @@ FROM timeline_changes""",
     "format_value": f"""WITH {LOG},
 fields AS (SELECT id, new_values, unnest(json_keys(new_values)) AS field FROM log WHERE new_values IS NOT NULL)
 SELECT id, field, {_value('new_values', 'field')} AS text FROM fields""",
-    "render_text": text_sql(),
+    "render_text": f"{text_lines_sql(False)} SELECT * FROM lines",
     "render_text_verbose": f"{text_lines_sql(True)} SELECT * FROM lines",
     "render_schema_text": f"""WITH {TIMELINE},
 lines_of AS (
@@ -544,17 +538,21 @@ entries AS (
   SELECT {SCHEMA_ENTRY}, schema_name, transaction_id, captured_at AS created_at,
     '  -- ' || table_name || coalesce(chr(10) || changes, '') AS block
   FROM timeline LEFT JOIN lines_of USING (transaction_id)){versions('entries', 'schema_name, entity_type, entity_id', 0)}
-SELECT schema_name, entity_type, entity_id, version,
-  'schema change  ' || strftime(any_value("timestamp"), '%Y-%m-%d %H:%M:%S') || ' UTC' || chr(10)
-  || string_agg(block, chr(10) ORDER BY position) AS text
+SELECT schema_name, entity_type, entity_id, version, position, block AS text FROM versioned
+UNION ALL
+SELECT schema_name, entity_type, entity_id, version, 0,
+  'schema change  ' || strftime(any_value("timestamp"), '%Y-%m-%d %H:%M:%S') || ' UTC'
 FROM versioned GROUP BY schema_name, entity_type, entity_id, version""",
     "changesets_json": f"""WITH {LOG}{versions()}
-SELECT entity_type, entity_id, version, changeset_transaction_id AS transaction_id,
+SELECT entity_type, entity_id, version, 0 AS position, any_value(changeset_transaction_id) AS transaction_id,
   strftime(any_value("timestamp"), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS timestamp_text,
-  is_autocommit_grouped, string_agg(CAST(id AS VARCHAR), ',' ORDER BY position) AS ids,
-  string_agg(strftime(make_timestamp(ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z', ',' ORDER BY position) AS times,
-  string_agg(coalesce(json_extract_string(new_values, '$.kind'), 'NULL'), ',' ORDER BY position) AS kinds
-FROM versioned GROUP BY entity_type, entity_id, version, changeset_transaction_id, is_autocommit_grouped""",
+  any_value(is_autocommit_grouped) AS is_autocommit_grouped, NULL AS id_text, NULL AS operation,
+  NULL AS time_text, NULL AS kind
+FROM versioned GROUP BY entity_type, entity_id, version
+UNION ALL
+SELECT entity_type, entity_id, version, position, transaction_id, NULL, NULL, CAST(id AS VARCHAR), operation,
+  strftime(make_timestamp(ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z', json_extract_string(new_values, '$.kind')
+FROM versioned""",
     "fk_degrees": f"WITH {CLASSES} SELECT * FROM degrees",
     "classify_tables": f"WITH {CLASSES} SELECT * FROM classes",
     "resolve_entities": f"WITH {RESOLVED} SELECT * FROM entity_map",

@@ -553,7 +553,8 @@ def format_values(spark, sf):
 
 @registered
 def render_text(spark, sf):
-    return render.whole_text(render.render_text(td.log(spark, sf), WINDOW))
+    """Row by row: a header and one row per operation, so that no row grows with its changeset."""
+    return render.render_text(td.log(spark, sf), WINDOW)
 
 
 @registered
@@ -566,30 +567,27 @@ def render_text_verbose(spark, sf):
 def render_schema_text(spark, sf):
     """Schema changes as text, one database as one history."""
     entries = drift.schema_timeline(td.stored(spark, sf, td.fleet_snapshots))
-    scope = ["schema_name", "entity_type", "entity_id"]
-    return render.whole_text(render.render_text(entries, 0, scope=scope), scope)
+    return render.render_text(entries, 0, scope=["schema_name", "entity_type", "entity_id"])
 
 
 @registered
 def changesets_json(spark, sf):
-    """The documents, parsed again."""
+    """The documents, one for each changeset's head and one per operation, parsed again."""
     parsed = F.from_json(
         "json",
-        "version long, transactionId string, timestamp string, isAutocommitGrouped boolean, "
-        "operations array<struct<id:string, operation:string, createdAt:string, "
-        "newValues:struct<kind:string>>>",
+        "transactionId string, timestamp string, isAutocommitGrouped boolean, id string, "
+        "operation string, createdAt string, newValues struct<kind:string>",
     )
-    documents = render.whole_documents(render.changesets_json(td.log(spark, sf), WINDOW))
-    return documents.select("entity_type", "entity_id", parsed.alias("d")).select(
-        "entity_type",
-        "entity_id",
-        F.col("d.version").alias("version"),
+    documents = render.changesets_json(td.log(spark, sf), WINDOW).withColumn("d", parsed)
+    return documents.select(
+        "entity_type", "entity_id", "version", "position",
         F.col("d.transactionId").alias("transaction_id"),
         F.col("d.timestamp").alias("timestamp_text"),
         F.col("d.isAutocommitGrouped").alias("is_autocommit_grouped"),
-        text_list("d.operations.id").alias("ids"),
-        text_list("d.operations.createdAt").alias("times"),
-        F.array_join("d.operations.newValues.kind", ",", "NULL").alias("kinds"),
+        F.col("d.id").alias("id_text"),
+        F.col("d.operation").alias("operation"),
+        F.col("d.createdAt").alias("time_text"),
+        F.col("d.newValues.kind").alias("kind"),
     )
 
 
