@@ -47,6 +47,14 @@ def _basic() -> re.Pattern:
     return re.compile(pattern.replace(r"\S", f"[^{_ranges(chr(92) + 's')}]"))
 
 
+def byte_level() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: bytes that print stand for
+    themselves, the others follow from 256 on."""
+    printing = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [byte for byte in range(256) if byte not in printing]
+    return {byte: chr(byte) for byte in printing} | {byte: chr(256 + n) for n, byte in enumerate(hidden)}
+
+
 def special_tokens(described: dict) -> regex.Pattern:
     """Finds the special tokens of a tokenizer file, which are taken out before a text is cut."""
     contents = [token["content"] for token in described["added_tokens"]]

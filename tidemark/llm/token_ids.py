@@ -7,7 +7,7 @@ import os
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import quoted, text_of
-from .pieces import special_tokens, split
+from .pieces import byte_level, special_tokens, split
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
@@ -113,26 +113,37 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             self.special = special_tokens(json.load(file))
         self.known: dict[str, bytes] = {}
+        self.shown = byte_level()
 
-    def _ask(self, pieces: list[str]) -> Iterator[bytes]:
-        for start in range(0, len(pieces), 4096):
-            some = pieces[start : start + 4096]
-            for encoding in self.library.encode_batch_fast(some, add_special_tokens=False):
-                yield array("I", encoding.ids).tobytes()
+    def _special(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _ask(self, pieces: Iterable[str]) -> Iterator[bytes]:
+        """The library's model on each piece as it stands in the vocabulary: cutting is done already."""
+        model = self.library.model
+        for piece in pieces:
+            tokens = model.tokenize(piece.encode().decode("latin-1").translate(self.shown))
+            yield array("I", [token.id for token in tokens]).tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        fresh = set(pieces).difference(self.known)
+        if len(self.known) + len(fresh) > CACHED_PIECES:
+            self.known.clear()
+            fresh = set(pieces)
+        self.known.update(zip(fresh, self._ask(fresh)))
 
     def _plain(self, text: str) -> bytes:
         pieces = split(text)
         try:
             return b"".join(map(self.known.__getitem__, pieces))
         except KeyError:
-            fresh = list({piece for piece in pieces if piece not in self.known})
-            if len(self.known) + len(fresh) > CACHED_PIECES:
-                self.known.clear()
-                fresh = list(set(pieces))
-            found = dict(zip(fresh, self._ask(fresh)))
-            ids = b"".join([found.get(piece) or self.known[piece] for piece in pieces])
-            self.known.update((piece, value) for piece, value in found.items() if len(piece) <= CACHED_LENGTH)
-            return ids
+            self._learn(pieces)
+            ids = b"".join(map(self.known.__getitem__, pieces))
+        if max(map(len, pieces), default=0) > CACHED_LENGTH:
+            for piece in pieces:
+                if len(piece) > CACHED_LENGTH:
+                    self.known.pop(piece, None)
+        return ids
 
     def encode_plain(self, text: str) -> np.ndarray:
         """Ids of a text in which special tokens are ordinary text."""
@@ -141,7 +152,7 @@ class Encoder:
     def encode(self, text: str) -> np.ndarray:
         parts, at = [], 0
         for special in self.special.finditer(text):
-            parts += [self._plain(text[at : special.start()]), *self._ask([special[0]])]
+            parts += [self._plain(text[at : special.start()]), self._special(special[0])]
             at = special.end()
         return np.frombuffer(b"".join([*parts, self._plain(text[at:])]), np.uint32)
 
