@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +24,9 @@ LEXICON_ROWS = 3  # training rows that hold a word of the lexicon at least
 RUN = 20  # words of one language in a row in the chains that are trained on
 BLOCK_WORDS = 1 << 16  # words of a stored block, or one text's
 ROUNDS, PENALTY = 30, 1.0
-KNOWN_WORDS, KNOWN_LENGTH = 200_000, 40
+KNOWN_WORDS, KNOWN_LENGTH = 1_000_000, 40
 UNDETERMINED = "und"
+_MULTIPLIER, _MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -36,15 +36,33 @@ def words_of(text: str) -> list[str]:
     return found if text.isascii() else [w for w in found if any(map(str.isalpha, w))]
 
 
-def word_features(word: str) -> list[int]:
-    """Buckets of the word itself, its affixes of one to four characters, and its n-grams of two to four."""
-    marked = f"^{word}$"
-    names = [marked]
-    for size in range(1, min(4, len(word)) + 1):
-        names += [f"<{word[:size]}", f">{word[-size:]}"]
-    for size in (2, 3, 4):
-        names += [marked[at : at + size] for at in range(len(marked) - size + 1)]
-    return sorted({zlib.crc32(name.encode("utf-8", "replace")) % BUCKETS for name in names})
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, number of the word) of every feature of all words, in the order of the words: n-grams of
+    two to four of the word between its marks, of which those at a mark are affixes, the longer affixes
+    of four letters, and the word itself. A feature counts as often as it occurs."""
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    letters = np.frombuffer(("^" + "$^".join(words) + "$").encode("utf-32-le", "replace"), np.uint32)
+    letters = letters.astype(np.uint64) + np.uint64(1)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    starts, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(words)), sizes)
+    first, last = np.zeros(len(letters), bool), np.zeros(len(letters), bool)
+    first[starts], last[starts + sizes - 1] = True, True
+    hashes, found = letters, []
+    for size in range(2, 6):
+        hashes = hashes[: len(letters) - size + 1] * _MULTIPLIER + letters[size - 1 :]
+        inside = of[: len(hashes)] == of[size - 1 :]
+        if size == 5:
+            inside &= first[: len(hashes)] | last[size - 1 :]
+        places = np.flatnonzero(inside)
+        found.append((hashes[places] + np.uint64(size), of[places]))
+    at = np.arange(len(letters)) - np.repeat(starts, sizes)
+    powers = np.cumprod(np.full(int(sizes.max()), _MULTIPLIER), dtype=np.uint64)
+    found.append((np.add.reduceat(letters * powers[at], starts), np.arange(len(words))))
+    values, numbers = (np.concatenate(column) for column in zip(*found))
+    order = np.argsort(numbers, kind="stable")
+    mixed = (values ^ (values >> np.uint64(29))) * _MIXER
+    return (mixed[order] >> np.uint64(48)).astype(np.int32), numbers[order]
 
 
 @dataclass(frozen=True)
@@ -59,9 +77,15 @@ class Model:
     lexicon: dict[str, int]
 
 
-def features_of(word: str, lexicon: dict[str, int], languages: int) -> list[int]:
-    seen = lexicon.get(word, 0)
-    return word_features(word) + [BUCKETS + n for n in range(languages) if seen >> n & 1]
+def features_of(words: list[str], lexicon: dict[str, int], languages: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features of words with those of the lexicon: one for each language that has the word."""
+    buckets, of = word_features(words)
+    seen = np.fromiter((lexicon.get(w, 0) for w in words), object, len(words))
+    listed = [(n, k) for n, bits in enumerate(seen) if bits for k in range(languages) if bits >> k & 1]
+    more = np.array(listed, np.int64).reshape(-1, 2)
+    order = np.argsort(np.concatenate([of, more[:, 0]]), kind="stable")
+    buckets = np.concatenate([buckets, (BUCKETS + more[:, 1]).astype(np.int32)])[order]
+    return buckets, np.concatenate([of, more[:, 0]])[order]
 
 
 class Labeller:
@@ -75,9 +99,8 @@ class Labeller:
         if len(self.known) + len(fresh) > KNOWN_WORDS:
             self.known, fresh = {}, dict.fromkeys(words)
         if fresh:
-            flat = [features_of(w, model.lexicon, len(model.languages)) for w in fresh]
-            at = np.cumsum([0, *map(len, flat[:-1])])
-            scores = np.add.reduceat(model.weights[np.concatenate(flat)], at, axis=0)
+            buckets, of = features_of(list(fresh), model.lexicon, len(model.languages))
+            scores = np.stack([np.bincount(of, w[buckets], len(fresh)) for w in model.weights.T], axis=1)
             base = len(self.known)
             while base + len(fresh) > len(self.scores):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
@@ -156,8 +179,8 @@ def training_blocks(rows: DataFrame, languages: list[str], lexicon: dict[str, in
         known: dict[str, int] = {}
         words = [known.setdefault(w, len(known)) for *_, some in runs for w in some]
         labels = [label for *_, label, some in runs for _ in some]
-        features = [features_of(w, lexicon, len(languages)) for w in known]
-        columns = [words, labels, [len(f) for f in features], [x for f in features for x in f]]
+        features, of = features_of(list(known), lexicon, len(languages))
+        columns = [words, labels, np.bincount(of, minlength=len(known)), features]
         return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds)], ["words", "labels", "sizes", "features"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
