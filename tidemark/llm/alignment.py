@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -17,7 +19,8 @@ from pyspark.sql import functions as F
 from tidemark.session import materialise
 
 from .common import quoted, text_of
-from .token_ids import Encoder, encoder
+from .pieces import byte_level
+from .token_ids import CACHED_LENGTH, CACHED_PIECES, Encoder, encoder
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SHIFT = 32  # a pair of ids is one number: first id << 32 | second id
@@ -26,14 +29,6 @@ SLICE = 400_000  # characters of texts that are cut together
 SPACE = "▁"
 
 
-def _byte_level() -> dict[str, int]:
-    """The byte of each character of a byte-level vocabulary: bytes that print are themselves, the
-    others follow from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [byte for byte in range(256) if byte not in shown]
-    return {chr(byte): byte for byte in shown} | {chr(256 + n): byte for n, byte in enumerate(hidden)}
-
-
 class ByteLevel:
     """Ids of a byte-level tokenizer, without special tokens, and the bytes of every id."""
 
@@ -41,33 +36,85 @@ class ByteLevel:
         self.encoder: Encoder = encoder(path)
         with open(path, encoding="utf-8") as file:
             vocabulary = json.load(file)["model"]["vocab"]
-        byte_of = _byte_level()
+        byte_of = {shown: byte for byte, shown in byte_level().items()}
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
         for entry, number in vocabulary.items():
             known = all(character in byte_of for character in entry)
             self.bytes[number] = bytes(map(byte_of.__getitem__, entry)) if known else entry.encode()
         self.sizes = np.array([len(b) for b in self.bytes], np.int64)
 
-    def encode(self, text: str) -> np.ndarray:
-        return self.encoder.encode_plain(" " + text).astype(np.int64)
+    def encode(self, text: str) -> np.ndarray | None:
+        """The ids of space and text; None if their bytes are not as many as those of these."""
+        ids = self.encoder.encode_plain(" " + text).astype(np.int64)
+        return ids if int(self.sizes[ids].sum()) == len(text.encode()) + 1 else None
 
 
 class Pieces:
-    """Ids of a sentence-piece model, and the bytes of every id."""
+    """Ids of a sentence-piece model, and the bytes of every id.
+
+    No entry of such a vocabulary goes on from a word into the space behind it, so nothing is merged
+    across a place where a space follows another sign. The library is asked once for each different
+    chunk between such places; the space that it adds is the one that each chunk begins with.
+    """
+
+    _CHUNKS = re.compile(" +[^ ]*")
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.bytes = []
+        self.bytes, self.apart = [], True
         for number in range(self.model.get_piece_size()):
             piece = self.model.id_to_piece(number)
             is_byte = self.model.is_byte(number)
             self.bytes.append(bytes([int(piece[3:5], 16)]) if is_byte else piece.replace(SPACE, " ").encode())
+            self.apart &= not re.search(f"[^{SPACE}]{SPACE}", piece)
         self.sizes = np.array([len(b) for b in self.bytes], np.int64)
-
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text, num_threads=1), np.int64)
+        self.known: dict[str, bytes] = {}
+        self.broken: set[str] = set()
+
+    def _ask(self, chunks: list[str]) -> list[list[int]]:
+        # A space alone has nothing left that the library would put its own before.
+        alone = [self.model.piece_to_id(SPACE)]
+        return [ids or alone for ids in self.model.encode([chunk[1:] for chunk in chunks], num_threads=1)]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Ids of the new ones among some chunks: of all in one text, cut where their bytes end. If the
+        ids do not give these bytes back, each is asked for by itself."""
+        fresh = list(set(chunks).difference(self.known))
+        if len(self.known) + len(fresh) > CACHED_PIECES:
+            self.known, self.broken, fresh = {}, set(), list(set(chunks))
+        # Chunks of spaces alone would run into the next one.
+        alone = [chunk for chunk in fresh if chunk[-1] == " " or not self.apart]
+        joined = [chunk for chunk in fresh if chunk[-1] != " " and self.apart]
+        data = [chunk.encode() for chunk in joined]
+        ids = np.array(self.model.encode("".join(joined)[1:], num_threads=1) if joined else [], np.uint32)
+        if b"".join(map(self.bytes.__getitem__, ids.tolist())) == b"".join(data):
+            places = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(d) for d in data])) + 1
+            raw, at = ids.tobytes(), 0
+            for chunk, place in zip(joined, (4 * places).tolist()):
+                self.known[chunk], at = raw[at:place], place
+        else:
+            alone = fresh
+        for chunk, found in zip(alone, self._ask(alone) if alone else ()):
+            if b"".join([self.bytes[n] for n in found]) != chunk.encode():
+                self.broken.add(chunk)
+            self.known[chunk] = array("I", found).tobytes()
+
+    def encode(self, text: str) -> np.ndarray | None:
+        """The ids of a text that is not empty; None if they do not give the bytes of space and text back."""
+        chunks = self._CHUNKS.findall(" " + text) if self.apart else [" " + text]
+        try:
+            ids = b"".join(map(self.known.__getitem__, chunks))
+        except KeyError:
+            self._learn(chunks)
+            ids = b"".join(map(self.known.__getitem__, chunks))
+        broken = not self.broken.isdisjoint(chunks)
+        for chunk in chunks if len(text) > CACHED_LENGTH * len(chunks) else ():
+            if len(chunk) > CACHED_LENGTH:
+                self.known.pop(chunk, None)
+                self.broken.discard(chunk)
+        return None if broken else np.frombuffer(ids, np.uint32).astype(np.int64)
 
 
 @cache
@@ -108,7 +155,8 @@ def shared_cuts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             waiting, near, far = waiting[left], far, 2 * far
         whole = cut >= 0
         found.append(cut[whole])
-        low, high = np.concatenate([low[whole], cut[whole]]), np.concatenate([cut[whole], high[whole]])
+        # Left and right halves in turn, so that intervals stay in order.
+        low, high = (np.stack(pair, axis=1).ravel() for pair in ((low[whole], cut[whole]), (cut[whole], high[whole])))
     at_a = np.sort(np.concatenate(found))
     return at_a, np.searchsorted(b, a[at_a])
 
@@ -159,9 +207,8 @@ def align(texts: list[str], first: ByteLevel, second: Pieces) -> list[Aligned |
     found: list = [None] * len(texts)
     for number, text in enumerate(texts):
         if text:
-            data = (" " + text).encode()
             a, b = first.encode(text), second.encode(text)
-            if all(b"".join(map(t.bytes.__getitem__, ids.tolist())) == data for t, ids in ((first, a), (second, b))):
+            if a is not None and b is not None:
                 found[number] = (a, b)
     used = [pair for pair in found if pair]
     if not used:
