@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-DEGREE, LEAF = 8, 8  # children of a node, entries that are not split further
+DEGREE, LEAF = 16, 16  # children of a node, entries that are not split further
 EXACT = 1 << 52  # whole numbers below it are exact as doubles
 
 
@@ -94,17 +94,21 @@ class CodeTree:
         points, children, low, high = node
         distances = self._compare(queries, active, points, best, index)
         lower, upper = _below(distances), _above(distances)
-        # Children of the nearest split points first: their entries make the reach small.
-        for rank in np.argsort(distances.astype(np.float64), axis=1, kind="stable").T:
-            for number in range(DEGREE):
-                if children[number] is None:
-                    continue
-                mine = np.flatnonzero(rank == number)
-                reach = _above(best[active[mine]])[:, None]
-                ruled_out = (lower[mine] - reach > high[:, number]) | (upper[mine] + reach < low[:, number])
-                mine = mine[~ruled_out.any(axis=1)]
-                if len(mine):
-                    self._search(children[number], queries, active[mine], best, index)
+        # First every query in the child of its nearest split point: what it finds there makes its
+        # reach small. Then each other child with those queries that it may still hold something for.
+        nearest = np.argmin(distances, axis=1)
+        for number, child in enumerate(children):
+            mine = np.flatnonzero(nearest == number)
+            if child is not None and len(mine):
+                self._search(child, queries, active[mine], best, index)
+        for number, child in enumerate(children):
+            if child is None:
+                continue
+            reach = _above(best[active])[:, None]
+            ruled_out = (lower - reach > high[:, number]) | (upper + reach < low[:, number])
+            mine = np.flatnonzero(~ruled_out.any(axis=1) & (nearest != number))
+            if len(mine):
+                self._search(child, queries, active[mine], best, index)
 
     def nearest(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the nearest entry, squared distance to it) of each query."""
