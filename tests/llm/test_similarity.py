@@ -278,3 +278,17 @@ def test_toxicity_weights_equal_a_plain_fit(spark):
     assert best < loss(model.weights * 0.9, model.bias) and best < loss(model.weights * 1.1, model.bias)
     used = np.count_nonzero(model.weights)
     assert used >= 0.95 * np.count_nonzero(ratio)
+
+
+def test_nearest_of_all_lengths_and_repeated_keys(spark):
+    random_ = np.random.default_rng(18)
+    rows = [(n, random_.standard_normal(n % 3 + 2).tolist()) for n in range(90)]
+    rows += [(20, random_.standard_normal(4).tolist()), (20, [1.0, 2.0, 3.0, 4.0]), (7, rows[7][1]), (40, rows[40][1])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.nearest(frame, lambda n: n % 20 == 0, k=4).collect())
+    want = []
+    for number, (query_id, query) in enumerate(rows):
+        if query_id % 20 == 0:
+            scores = sorted((-float(np.dot(query, v)), i) for n, (i, v) in enumerate(rows) if n != number and len(v) == len(query))
+            want += [(query_id, rank, i, round(-score, 9)) for rank, (score, i) in enumerate(scores[:4], 1)]
+    assert got == sorted(want)

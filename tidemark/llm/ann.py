@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialise
 
-from .common import quoted
+from .common import broadcast_if_small, quoted
 
-ROWS_PER_BLOCK, QUERIES_PER_BLOCK = 16_384, 1_024
+ROWS_PER_BLOCK, QUERIES_PER_BLOCK = 16_384, 8_192
+QUERIES_AT_ONCE = 64
 BOUND = 2.5  # standard errors of an estimate within which a vector is reranked
 SEED = 20_240_501
 
@@ -44,15 +45,11 @@ class Codes:
         self.scale = norm / c / np.sqrt(size)
         self.error = norm * np.sqrt(np.maximum(0, 1 - c * c)) / c / np.sqrt(max(1, size - 1))
 
-    _SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) * 2.0 - 1.0
-
-    def estimate(self, turned_query: np.ndarray) -> np.ndarray:
-        """Estimated inner products, out of one table of 256 sums per byte of the codes."""
-        tables = turned_query.reshape(-1, 8) @ self._SIGNS.T
-        sums = np.zeros(len(self.bits))
-        for place, sums_of_byte in enumerate(tables):
-            sums += sums_of_byte[self.bits[:, place]]
-        return sums * self.scale
+    def estimate(self, turned_queries: np.ndarray) -> np.ndarray:
+        """Estimated inner products, vectors by queries: sums of the queries' components with the signs
+        that the bits tell."""
+        signs = np.unpackbits(self.bits, axis=1).astype(np.float32) * 2 - 1
+        return (signs @ turned_queries.T.astype(np.float32)).astype(np.float64) * self.scale[:, None]
 
 
 def _exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -60,34 +57,35 @@ def _exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return (vectors * query).sum(axis=1)
 
 
-def nearest_in_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
-    """(query id, id, score) of the k nearest vectors of the block to each query but itself."""
+def nearest_in_block(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int):
+    """(query row, id, score) of the k nearest vectors of the block to each query but its own row."""
     codes, turned = Codes(vectors), queries @ rotation(queries.shape[1])
-    found = []
-    for query, query_id, turned_query in zip(queries, query_ids, turned):
-        estimate = codes.estimate(turned_query)
-        slack = BOUND * np.linalg.norm(query) * codes.error
-        estimate[ids == query_id] = -np.inf
-        few = min(4 * k, len(ids))
-        first = np.argpartition(-estimate, few - 1)[:few]
-        scores = np.sort(_exact(query, vectors[first[ids[first] != query_id]]))
-        least = scores[-k] if len(scores) >= k else -np.inf
-        chosen = np.flatnonzero((estimate + slack >= least) & (ids != query_id))
-        exact = _exact(query, vectors[chosen])
-        best = np.lexsort((ids[chosen], -exact))[:k]
-        found.append((np.full(len(best), query_id), ids[chosen][best], exact[best]))
+    lengths, found = np.linalg.norm(queries, axis=1), []
+    few = min(4 * k, len(rows))
+    for start in range(0, len(queries), QUERIES_AT_ONCE):
+        estimates = codes.estimate(turned[start : start + QUERIES_AT_ONCE])
+        for number, estimate in enumerate(np.ascontiguousarray(estimates.T), start):
+            query, query_row = queries[number], query_rows[number]
+            own = rows == query_row
+            estimate[own] = -np.inf
+            first = np.argpartition(-estimate, few - 1)[:few]
+            scores = np.sort(_exact(query, vectors[first[rows[first] != query_row]]))
+            least = scores[-k] if len(scores) >= k else -np.inf
+            chosen = np.flatnonzero((estimate + BOUND * lengths[number] * codes.error >= least) & ~own)
+            exact = _exact(query, vectors[chosen])
+            best = np.lexsort((ids[chosen], -exact))[:k]
+            found.append((np.full(len(best), query_row), ids[chosen][best], exact[best]))
     return [np.concatenate(column) for column in zip(*found)]
 
 
 def _usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, vector) of the rows that take part, all of the most frequent length."""
+    """(row, id, vector, length) of the rows that take part, each with a number of its own."""
     rows = vectors.select(
         quoted(key).cast("long").alias("id"), quoted(vector).cast("array<double>").alias("vector")
     )
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.filter(F.col("id").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
-    length = rows.groupBy(F.size("vector").alias("length")).count().orderBy(F.desc("count"), "length").first()
-    return rows.filter(F.size("vector") == (length["length"] if length else 0))
+    return rows.withColumns({"length": F.size("vector"), "row": F.monotonically_increasing_id()})
 
 
 def nearest(
@@ -105,24 +103,27 @@ def nearest(
     estimates all products from the codes, reranks the vectors whose upper bound reaches the k-th best
     exact product so far, and hands on k rows a query. Every row is coded; nothing is fitted.
 
-    A null key, a null or zero vector, or one with a null or non-finite component takes no part, nor
-    does one of another length than most. Rows with the query's own key are not its neighbours; other
-    repeated rows are neighbours each. Other columns are not looked at.
+    A null key, a null or zero vector, or one with a null or non-finite component takes no part. Vectors
+    of one length are searched among each other, each length by itself. Every row is asked and every
+    other row may be found: rows that repeat a key, or a whole row, are queries and neighbours each, so
+    a key that stands for several query rows has a list for each. Other columns are not looked at.
     """
+    # Stored, so that the numbers of the rows are the same each time they are read.
     rows = materialise(_usable(vectors, key, vector), "vectors")
-    counts = rows.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(is_query(F.col("id"))).alias("queries")
-    ).first()
-    blocks = max(1, -(-counts["rows"] // ROWS_PER_BLOCK))
-    query_blocks = max(1, -(-counts["queries"] // QUERIES_PER_BLOCK))
-    # The table is stored, so the numbers of its rows are the same each time they are read.
-    dealt = lambda df, n: F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    base = rows.withColumn("block", dealt(rows, blocks)).withColumn("query_block", every(query_blocks))
-    asked = rows.filter(is_query(F.col("id"))).dropDuplicates(["id"])
-    asked = asked.withColumn("query_block", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int"))
-    asked = asked.withColumn("block", every(blocks))
-    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+    cut = lambda name, size: F.greatest(F.ceil(F.col(name) / F.lit(size)), F.lit(1)).cast("int").alias(name)
+    sizes = rows.groupBy("length").agg(
+        F.count(F.lit(1)).alias("blocks"), F.count_if(is_query(F.col("id"))).alias("query_blocks")
+    )
+    sizes = materialise(sizes.select("length", cut("blocks", ROWS_PER_BLOCK), cut("query_blocks", QUERIES_PER_BLOCK)), "lengths")
+    rows = rows.join(broadcast_if_small(sizes, F.lit(0)), "length")
+    dealt = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    base = rows.select("length", "row", "id", "vector", dealt("blocks").alias("block"), every("query_blocks").alias("query_block"))
+    asked = rows.filter(is_query(F.col("id")))
+    asked = asked.select("length", "row", "id", "vector", dealt("query_blocks").alias("query_block"), every("blocks").alias("block"))
+    # Columns of their own, for both sides come from one table.
+    asked = asked.toDF(*asked.columns)
+    schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
     def matrix(table: pa.Table) -> np.ndarray:
         column = table.column("vector").combine_chunks()
@@ -132,14 +133,14 @@ def nearest(
     def search(some_queries: pa.Table, some_rows: pa.Table) -> pa.Table:
         if not some_queries.num_rows or not some_rows.num_rows:
             return schema.empty_table()
-        ids = [t.column("id").to_numpy() for t in (some_queries, some_rows)]
-        found = nearest_in_block(matrix(some_queries), ids[0], matrix(some_rows), ids[1], k)
+        numbers = [t.column("row").to_numpy() for t in (some_queries, some_rows)]
+        ids = some_rows.column("id").to_numpy()
+        found = nearest_in_block(matrix(some_queries), numbers[0], matrix(some_rows), numbers[1], ids, k)
         return pa.table([pa.array(c, f.type) for c, f in zip(found, schema)], schema=schema)
 
-    cell = ["query_block", "block"]
-    found = asked.groupBy(*cell).cogroup(base.groupBy(*cell)).applyInArrow(
-        search, "query_id long, id long, score double"
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    cell = ["length", "query_block", "block"]
+    found = asked.groupBy(*cell).cogroup(base.groupBy(*cell)).applyInArrow(search, "row long, id long, score double")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(key), "score")
+    query_ids = rows.filter(is_query(F.col("id"))).select("row", F.col("id").alias("query_id")).toDF("row", "query_id")
+    return ranked.join(query_ids, "row").select("query_id", "rank", F.col("id").alias(key), "score")
