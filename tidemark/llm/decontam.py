@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialise
 
-from .common import broadcast_if_small, quoted, text_of
+from .common import broadcast_if_small, free_name, quoted, text_of
 from .near_dup import row_id
 from .shingles import WORDS_PER_SHINGLE, mix, shingle_hashes, stream, words_of
 
@@ -232,7 +232,7 @@ def find_contained(
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without those that hold an item; all columns and all other rows stay."""
-    mark = "__contaminated_row"
+    mark = free_name(docs, "__contaminated_row")
     held = find_contained(docs, items, key=key, text=text).select(F.col("row").alias(mark)).distinct()
     held = broadcast_if_small(materialise(held, "held"), F.lit(32))
     return docs.withColumn(mark, row_id(key, text)).join(held, mark, "left_anti").drop(mark)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialise
 
-from .common import broadcast_if_small, quoted
+from .common import broadcast_if_small, free_name, quoted
 
 CHUNK = 16.0  # a larger mean is split into equal parts; Poisson numbers add up
 STEPS = 96  # beyond this many, the upper tail of a mean of 16 is below 2^-53
@@ -83,38 +83,42 @@ def mix_sources(
     files in any order are one uniformly random order of all rows.
 
     Rows with equal keys (also null keys) share one draw. A null source is a source of its own, no
-    documents give no rows, existing columns of the added names are replaced. Rates are broadcast
+    documents give no rows, existing columns of the two added names are replaced, all others stay. Rates are broadcast
     only if their measured size is small; else the join is salted, so that a source with a third of
     all rows meets many tasks.
     """
     copy, order = f"{prefix}copy", f"{prefix}order"
     kept = [c for c in docs.columns if c not in (copy, order)]
+    # Names for what is joined in that the documents do not have, whatever their columns are called.
+    source_, parts_, cdf_, rate_salt, salt_, copies_ = (
+        free_name(docs, name) for name in ("__source", "__parts", "__cdf", "__rate_salt", "__salt", "__copies")
+    )
     parts = F.ceil(F.col("rate") / CHUNK).cast("int")
     rates = source_rates(docs, weights, source, power).select(
-        F.col("source").alias("__source"),
-        F.greatest(parts, F.lit(1)).alias("__parts"),
-        _distribution(F.col("rate") / F.greatest(parts, F.lit(1))).alias("__cdf"),
+        F.col("source").alias(source_),
+        F.greatest(parts, F.lit(1)).alias(parts_),
+        _distribution(F.col("rate") / F.greatest(parts, F.lit(1))).alias(cdf_),
     )
     rates = materialise(rates, "source-rates")
-    small = broadcast_if_small(rates, F.octet_length("__source") + 8 * STEPS)
-    matches = quoted(source).eqNullSafe(F.col("__source"))
+    small = broadcast_if_small(rates, F.octet_length(source_) + 8 * STEPS)
+    matches = quoted(source).eqNullSafe(F.col(source_))
     if small is rates:
-        salted = rates.withColumn("__rate_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = rates.withColumn(rate_salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salt = F.pmod(F.xxhash64(quoted(key)), F.lit(SALTS)).cast("int")
-        joined = docs.withColumn("__salt", salt).join(
-            salted, matches & (F.col("__salt") == F.col("__rate_salt"))
+        joined = docs.withColumn(salt_, salt).join(
+            salted, matches & (F.col(salt_) == F.col(rate_salt))
         )
     else:
         joined = docs.join(small, matches)
     draws = F.transform(
-        F.sequence(F.lit(1), F.col("__parts")),
+        F.sequence(F.lit(1), F.col(parts_)),
         lambda part: F.size(
-            F.filter("__cdf", lambda c: c <= uniform(F.lit(seed), quoted(key), part))
+            F.filter(cdf_, lambda c: c <= uniform(F.lit(seed), quoted(key), part))
         ),
     )
     copies = F.aggregate(draws, F.lit(0), lambda a, n: a + n)
-    n = F.col("__copies")
-    repeated = joined.withColumn("__copies", copies).filter(n > 0)
+    n = F.col(copies_)
+    repeated = joined.withColumn(copies_, copies).filter(n > 0)
     repeated = repeated.select(
         *map(quoted, kept), F.explode(F.sequence(F.lit(0), n - 1)).alias(copy)
     )

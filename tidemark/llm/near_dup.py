@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialise
 
-from .common import broadcast_if_small, quoted, text_of
+from .common import broadcast_if_small, free_name, quoted, text_of
 from .components import connected_components
 from .shingles import mix, shingle_hashes, similarity, stream, weighted, words_of
 
@@ -318,7 +318,7 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each class of near duplicates, the one of the least key; all columns
     stay. Of equal rows one stays."""
-    mark = "__near_dup_row"
+    mark = free_name(docs, "__near_dup_row")
     kept = near_duplicates(docs, key=key, text=text).filter("is_first").select(F.col("row").alias(mark)).distinct()
     marked = docs.withColumn(mark, row_id(key, text))
     return marked.join(kept, mark, "left_semi").dropDuplicates([mark]).drop(mark)
