@@ -78,7 +78,7 @@ def test_empty_log(make_log):
 
 
 def test_transaction_over_two_entities_is_autocommit_in_both(make_log):
-    log = make_log(("tx1", 0), ("tx1", 10, {"entity_id": "43"}))
+    log = make_log(("tx1", 0), ("tx1", 10, {"entity_id": "619"}))
     found = cs.classify_transactions(log)
     assert rows(found, "id", "is_explicit") == [(1, False), (2, False)]
     unscoped = cs.classify_transactions(log, scope=[])
@@ -209,7 +209,7 @@ def test_history_of_a_time_range(make_log):
     assert rows(whole, "id", "n_operations") == [(2, 2), (3, 1), (4, 2)]
     second = cs.entity_history(log, "vessel", "618", since=since, version=2)
     assert rows(second, "id") == [(3,)]
-    assert cs.entity_history(log, "vessel", "43").count() == 0
+    assert cs.entity_history(log, "vessel", "619").count() == 0
 
 
 def test_empty_filter_values_mean_no_filter(make_log):
@@ -223,11 +223,11 @@ def test_empty_filter_values_mean_no_filter(make_log):
 def test_statistics(make_log):
     from tidemark.operators.query import changelog_stats, entity_stats, transaction_groups
 
-    log = make_log(("tx1", 0), ("tx1", 7, {"operation": "DELETE"}), ("a1", 3, {"entity_id": "43"}))
+    log = make_log(("tx1", 0), ("tx1", 7, {"operation": "DELETE"}), ("a1", 3, {"entity_id": "619"}))
     assert rows(transaction_groups(log), "transaction_id", "count") == [("a1", 1), ("tx1", 2)]
     assert rows(entity_stats(log), "entity_id", "total", "updates", "deletes") == [
         ("618", 2, 1, 1),
-        ("43", 1, 1, 0),
+        ("619", 1, 1, 0),
     ]
     stats = changelog_stats(log).first()
     assert (stats.total, stats.entity_types, stats.oldest) == (3, 1, START)
