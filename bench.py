@@ -39,6 +39,10 @@ HEADLINE = [
     "stream_sessions",
     "stream_changesets",
     "capture_stream",
+    "stream_late_rows",
+    "field_diff_numbers",
+    "find_keys",
+    "refresh_roundtrip",
 ]
 
 
