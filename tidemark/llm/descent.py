@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+ROWS_AT_ONCE = 256  # rows that a task works on at a time, so that its memory does not grow with batches
 PIECES = 8  # tasks of one sum, so the driver receives that many arrays at most
 MEMORY = 6  # pairs of steps that the curvature is estimated from
 
@@ -24,7 +25,8 @@ def sum_over(rows: DataFrame, part: Callable[[Any, pa.RecordBatch], np.ndarray],
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
-            total += part(shared.value, batch)
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                total += part(shared.value, batch.slice(start, ROWS_AT_ONCE))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
     parts = rows.coalesce(PIECES).mapInArrow(add, "total binary").toArrow().column("total")
