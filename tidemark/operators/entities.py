@@ -17,6 +17,7 @@ from ..functions.text import (
     filled,
 )
 from ..plans.heavy import HEAVY_ROWS, with_previous
+from ..session import materialise
 
 TABLE = ["schema_name", "table_name"]
 LOOKUP, ROOT, ISOLATED, OTHER = "lookup", "root", "isolated", "other"
@@ -60,15 +61,19 @@ def classify_tables(degrees: DataFrame) -> DataFrame:
 
 
 def _facts(classes: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Per table its class, whether the catalog knows it, and its (first) key column."""
+    """Per table its class, whether the catalog knows it, and its (first) key column.
+
+    Written once: roots and children are picked from it several times.
+    """
     keys = catalog.groupBy(*TABLE).agg(
         F.min(F.when(F.col("is_pk"), F.struct("ordinal", "name"))).alias("pk"),
         F.lit(True).alias("in_catalog"),
     )
-    return classes.join(keys, TABLE, "left").select(
+    facts = classes.join(keys, TABLE, "left").select(
         *TABLE, "class", F.coalesce("in_catalog", F.lit(False)).alias("in_catalog"),
         F.col("pk.name").alias("pk_column"),
     )
+    return materialise(facts, "facts")
 
 
 def _claims(fks: DataFrame, facts: DataFrame) -> DataFrame:
@@ -195,6 +200,7 @@ def apply_overrides(entity_map: DataFrame, exclude: DataFrame, reassign: DataFra
         if repeated:
             raise ValueError(f"table {repeated['table_name']!r} is moved twice: give the moves a position")
     by_table = reassign.groupBy(*TABLE).agg(target.alias("to_entity"))
+    entity_map = materialise(entity_map, "entity-map")  # read six times below
     children = entity_map.filter(~F.col("is_root"))
     kept = (
         children.join(exclude.select(*TABLE).distinct(), TABLE, "left_anti")
@@ -244,6 +250,7 @@ def validate_entity_map(
 
     Owners of a table are told in map order: by ``position`` if there is one, else by entity name.
     """
+    entity_map = materialise(entity_map, "entity-map")  # counted, put in order, searched for schemas
     order = ["position"] if "position" in entity_map.columns else []
     owned = with_previous(
         entity_map, TABLE, [*order, "entity_type", "is_root"], ["entity_type"], heavy_rows
