@@ -38,12 +38,20 @@ def write_snapshots(snapshots: DataFrame, path: str) -> None:
     """Appends the snapshots that the store does not hold: safe to repeat, also after a run that
     ended half-way. Takes what ``schema_snapshot`` or ``record_schema_changes`` gives."""
     spark = snapshots.sparkSession
-    fresh = _missing(identified(snapshots).dropDuplicates(["id", *TABLE]), read_snapshots(spark, path))
+    # Compared first: only what is new is searched for duplicates.
+    fresh = _missing(identified(snapshots), read_snapshots(spark, path)).dropDuplicates(["id", *TABLE])
     # Settled before the store is written that it was compared with.
     fresh = materialise(fresh, "fresh-snapshots")
     fresh.sortWithinPartitions(*TABLE, "captured_at").write.mode("append").parquet(path)
 
 
+def _newest(snapshots: DataFrame) -> DataFrame:
+    """The snapshot of each table that ``latest_snapshot`` takes, as a whole row."""
+    rest = [c for c in SNAPSHOTS.fieldNames() if c not in TABLE]
+    newest = F.max_by(F.struct(*rest), F.struct("captured_at", "id")).alias("newest")
+    return snapshots.groupBy(*TABLE).agg(newest).select(*TABLE, "newest.*").select(*SNAPSHOTS.fieldNames())
+
+
 def _schema_changes(spark: SparkSession, path: str) -> DataFrame:
     return read_changelog(spark, path).filter(
         (F.col("entity_type") == SCHEMA_ENTITY_TYPE) & (F.col("operation") == SCHEMA_CHANGE)
@@ -69,8 +77,9 @@ def refresh(
     """
     spark = current.sparkSession
     _catch_up(spark, snapshots, changelog)
-    # Pinned: the store grows below, and what is returned is what was found.
-    known = materialise(read_snapshots(spark, snapshots), "known-snapshots")
+    # Pinned: the store grows below, and what is returned is what was found. One row per table, however
+    # long the history is.
+    known = materialise(_newest(read_snapshots(spark, snapshots)), "known-snapshots")
     drift = materialise(schema_drift(current, known, watched), "drift")
     entries, _ = record_schema_changes(drift, current, known, recorded_at)
     if path_exists(spark, changelog):
