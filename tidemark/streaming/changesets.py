@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.changesets import CHANGESET_ORDER, group_transactions
+from ..operators.changesets import CHANGESET_ORDER, grouped_heavy, grouped_light
 from ..plans.heavy import (
     HEAVY_ROWS,
     both,
+    by_key,
     join_weighted,
     match,
     number_heavy,
     number_light,
     split_heavy,
+    window_over,
 )
 from ..schemas import DEFAULT_WINDOW_MS, ENTITY_SCOPE
 from ..session import materialise
@@ -24,6 +26,7 @@ from .store import Commit, Store, run_into
 # Lists of last versions that are read side by side before they are made one.
 DELTAS = 16
 ENTRIES, VERSIONS = "entries", "versions"
+KEPT = ["first_at", "first_id", "last_ms"]
 
 
 def _names(scope: list[str]) -> list[T.StructField]:
@@ -85,10 +88,46 @@ def _settled(watermark_ms: int, window_ms: int, tx_timeout_ms: int) -> Column:
     return ended & (~F.col("is_autocommit") | (F.col("end_ms") + window_ms < watermark_ms))
 
 
-def _numbered(
-    members: DataFrame, last: DataFrame, settled: Column, scope: list[str], heavy_rows: int
+def _sealed(df: DataFrame, scope: list[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with copies of the scope's columns that are never null, and their names: a join on them
+    uses the exchange of a window over them, which a null-safe join would not."""
+    names = {c: f"_on_{c}" for c in scope}
+    filled = {n: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c, n in names.items()}
+    return df.withColumns(filled), list(names.values())
+
+
+def _placed(scope: list[str]) -> list[str]:
+    return [*scope, "transaction_id", *KEPT, "rows", "is_autocommit", "start_ms", "start_tx", "n_operations", "version"]
+
+
+def _placed_light(
+    open_now: DataFrame, last: DataFrame, settled: Column, scope: list[str], window_ms: int
 ) -> DataFrame:
-    """``members`` with the version of their changeset; null where it, or one before it, is open."""
+    """Open transactions of light scopes with the version of their changeset; null where it, or one
+    before it, is open. Groups, horizons, numbers and last versions use one exchange of the rows."""
+    sealed, on = _sealed(open_now, scope)
+    members = grouped_light(by_key(sealed, on), on, window_ms, [*scope, *KEPT])
+    changeset, whole, order = window_over([*on, *CHANGESET_ORDER]), window_over(on), F.struct(*CHANGESET_ORDER)
+    members = members.withColumns(
+        {"n_operations": F.sum("rows").over(changeset), "end_ms": F.max("last_ms").over(changeset)}
+    )
+    members = members.withColumn("horizon", F.min(F.when(~settled, order)).over(whole))
+    # What has passed comes before all that is open, so open changesets do not count in its numbers.
+    members = members.withColumn("number", F.dense_rank().over(window_over(on, CHANGESET_ORDER)))
+    lasts, _ = _sealed(last, scope)
+    lasts = lasts.groupBy(*on).agg(F.max("last_version").alias("last_version"))
+    passed = F.col("horizon").isNull() | (order < F.col("horizon"))
+    version = F.when(passed, F.coalesce("last_version", F.lit(0)) + F.col("number"))
+    known = members.join(lasts, on, "left") if on else members.crossJoin(lasts)
+    return known.withColumn("version", version).select(*_placed(scope))
+
+
+def _placed_heavy(
+    open_now: DataFrame, last: DataFrame, settled: Column, scope: list[str], window_ms: int, heavy_rows: int
+) -> DataFrame:
+    """The same for heavy scopes, which are cut into range pieces."""
+    heavy = materialise(open_now, "heavy")
+    members = materialise(grouped_heavy(heavy, scope, window_ms, KEPT), "members")
     changesets = members.groupBy(*scope, *CHANGESET_ORDER).agg(
         F.sum("rows").alias("n_operations"),
         F.max("last_ms").alias("end_ms"),
@@ -100,22 +139,23 @@ def _numbered(
     scopes = changesets.groupBy(*scope).agg(
         F.min(F.when(~settled, order)).alias("horizon"), F.count(F.lit(1)).alias("_rows")
     )
-    scopes = match(scopes, last, scope, "left")
+    last = last.groupBy(*scope).agg(F.max("last_version").alias("last_version"))
+    scopes = materialise(match(scopes, last, scope, "left"), "scopes")
     joined = join_weighted(changesets, scopes, scope, "_rows", ["start_id"], heavy_rows)
     passed = F.col("horizon").isNull() | (order < F.col("horizon"))
-    joined = joined.withColumn("passed", passed).drop("horizon", "_rows")
-    light, heavy = split_heavy(joined.filter("passed"), scope, heavy_rows)
+    joined = materialise(joined.withColumn("passed", passed).drop("horizon", "_rows"), "joined")
+    few, many = split_heavy(joined.filter("passed"), scope, heavy_rows)
     counted = both(
-        None if light is None else number_light(light, scope, CHANGESET_ORDER, "number"),
-        None if heavy is None else number_heavy(heavy, scope, CHANGESET_ORDER, "number"),
+        None if few is None else number_light(few, scope, CHANGESET_ORDER, "number"),
+        None if many is None else number_heavy(many, scope, CHANGESET_ORDER, "number"),
     )
     version = F.coalesce("last_version", F.lit(0)) + F.col("number")
     known = counted.withColumn("version", version).drop("number").unionByName(
         joined.filter("NOT passed").withColumn("version", F.lit(None).cast("long"))
     )
-    known = known.drop("last_version", "passed", "end_ms")
+    known = materialise(known.drop("last_version", "passed", "end_ms"), "known")
     on = [*scope, *CHANGESET_ORDER]
-    return join_weighted(members, known, on, "n_members", ["transaction_id"], heavy_rows)
+    return join_weighted(members, known, on, "n_members", ["transaction_id"], heavy_rows).select(*_placed(scope))
 
 
 def stream_changesets(
@@ -159,13 +199,14 @@ def stream_changesets(
         state, added = dict(before.state), {ENTRIES: [path]}
         open_now = _combined(store.state(spark, "open", _open(scope)), entries.filter("NOT is_late"), scope)
         open_now = materialise(open_now, "open")
-        members = group_transactions(
-            open_now, window_ms, scope, heavy_rows, ["first_at", "first_id", "last_ms"]
-        )
-        members = materialise(members, "members")
-        last = store.state(spark, "last", _last(scope)).groupBy(*scope).agg(F.max("last_version").alias("last_version"))
+        last = store.state(spark, "last", _last(scope))
         settled = F.lit(False) if watermark is None else _settled(watermark, window_ms, tx_timeout_ms)
-        placed = materialise(_numbered(members, last, settled, scope, heavy_rows), "placed")
+        light, heavy = split_heavy(open_now, scope, heavy_rows)
+        placed = both(
+            None if light is None else _placed_light(light, last, settled, scope, window_ms),
+            None if heavy is None else _placed_heavy(heavy, last, settled, scope, window_ms, heavy_rows),
+        )
+        placed = materialise(placed, "placed")
         numbered = placed.filter("version IS NOT NULL")
         versions = numbered.select(
             *scope,
