@@ -7,16 +7,30 @@ stage takes an empty table, and columns of any name beside those of the document
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontam, mixing, near_dup, token_ids, toxicity
-from tidemark.llm.common import free_name, quoted, table
+from tidemark.llm.common import bound_batches, free_name, quoted, table
 from tidemark.session import materialise, new_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage in a session of small Arrow batches. The setting stays, for the frame that the stage
+    returns is worked out later; results do not depend on it."""
+
+    @wraps(stage)
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return bounded
+
+
+@in_small_batches
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels, scores below one half.
 
@@ -26,6 +40,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+@in_small_batches
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, that of the least key; null keys come last.
 
@@ -34,6 +49,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return near_dup.drop_near_duplicates(docs)
 
 
+@in_small_batches
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark; null and empty texts hold none."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -50,6 +66,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs, prefix=prefix).select(*map(quoted, docs.columns))
 
 
+@in_small_batches
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of all documents as files; what was read back from them, per document.
 

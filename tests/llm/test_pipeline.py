@@ -6,12 +6,16 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import decontam, mixing, near_dup
+from tidemark.llm.common import bound_batches
 from tidemark.llm.shingles import shingle_hashes, similarity, weighted
+from tidemark.llm.token_ids import TOKENIZER, Encoder
 from tidemark.session import materialise
 
 WORDS = [f"{a}{b}" for a in "ba ce di fo gu ha ke li mo nu".split() for b in "lan rik tos mer vid sun pel dor".split()]
@@ -135,3 +139,39 @@ def test_columns_of_any_name_stay(spark):
         rows = found.select(*[f"`{n}`" for n in names]).distinct().collect()
         assert [tuple(r) for r in rows] == [tuple(range(len(names)))]
     assert decontam.drop_contaminated(docs, items).count() == 7
+
+
+def batch_sizes(spark):
+    """Bytes of the batches that 20 MB of long texts come to Python in."""
+    texts = spark.range(0, 40, 1, 1).select(F.concat(F.col("id").cast("string"), F.repeat(F.lit("word "), 100_000)))
+
+    def measure(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    return [r["size"] for r in texts.mapInArrow(measure, "size long").collect()]
+
+
+def test_stages_hand_texts_to_python_in_small_batches(spark, folder):
+    session = spark.newSession()
+    docs = session.read.parquet(f"{folder}/documents.parquet")
+    corpus_pipeline.drop_contaminated(session, docs, folder)
+    sizes = batch_sizes(session)
+    assert sum(sizes) > 19_000_000 and max(sizes) < 8_000_000
+
+
+def test_a_bound_that_the_user_set_stays(spark):
+    session = spark.newSession()
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1000000")
+    bound_batches(session)
+    assert max(batch_sizes(session)) < 2_000_000
+
+
+def test_remembered_pieces_are_few(spark):
+    encoder, letters = Encoder(public_tokenizers.path(TOKENIZER)), "bcdfghjklmnpqrstvwxz"
+    name = lambda n: "".join(letters[n // 20**k % 20] for k in range(5))
+    for start in range(0, 320_000, 40_000):
+        text = " ".join(map(name, range(start, start + 40_000)))
+        ids = encoder.encode(text)
+        assert len(encoder.known) <= 250_000
+    assert ids.tolist() == encoder.library.encode(text, add_special_tokens=False).ids

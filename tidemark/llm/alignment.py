@@ -20,8 +20,9 @@ from tidemark.session import materialise
 
 from .common import quoted, text_of
 from .pieces import byte_level
-from .token_ids import CACHED_LENGTH, CACHED_PIECES, Encoder, encoder
+from .token_ids import CACHED_LENGTH, Encoder, encoder
 
+CACHED_PIECES = 1_000_000
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SHIFT = 32  # a pair of ids is one number: first id << 32 | second id
 FREQUENT = 1 << 20  # pairs whose counts are broadcast, 16 MB; all others are joined
